@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latewin.operators.ordering import BLOCK_ROWS, POINT_BLOCK, running
+from latewin.operators.ordering import BLOCK_ROWS, POINT_BLOCK, running, with_run_value
 from latewin.schema import LatenessConfig
 
 
@@ -341,11 +341,8 @@ def ordering_metrics(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def policy_replay(
-    events: DataFrame, cfg: LatenessConfig = LatenessConfig(), by: Sequence[str] = ()
-) -> DataFrame:
-    """The budget policy alone over a stream, with no state or memory signal."""
-    timed = adaptive_watermark(observe_lateness(events, by), cfg, by)
+def policy_replay(timed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What the budget policy alone does over a stream."""
     total = F.count(F.lit(1))
     ooo = F.sum(F.col("out_of_order").cast("long"))
     return timed.groupBy(*by).agg(
@@ -359,15 +356,13 @@ def policy_replay(
     )
 
 
-def policy_snapshot(
-    obs: DataFrame, timed: DataFrame, cfg: LatenessConfig = LatenessConfig(), by: Sequence[str] = ()
-) -> DataFrame:
+def policy_snapshot(timed: DataFrame, cfg: LatenessConfig = LatenessConfig()) -> DataFrame:
     """State of controller and policy after the last arrival.
 
-    The rolling figures cover the last ``history`` arrivals: rows ordered by n
-    descending and limited, which Spark runs as a distributed top-k.
+    The rolling figures cover the last ``history`` arrivals, which Spark finds as
+    a distributed top-k.
     """
-    last = timed.groupBy(*by).agg(
+    last = timed.agg(
         F.count(F.lit(1)).alias("events_seen"),
         F.sum(F.col("out_of_order").cast("long")).alias("ooo_events"),
         F.max("max_event_time").alias("max_event_time"),
@@ -377,16 +372,10 @@ def policy_snapshot(
         F.round(F.max_by("arrival_rate", "n"), 9).alias("last_arrival_rate"),
         F.max_by("watermark_lag", "n").alias("last_watermark_lag"),
     )
-    if by:
-        raise ValueError("a policy snapshot covers one run")
-    tail = obs.orderBy(F.col("n").desc()).limit(cfg.history)
+    tail = timed.orderBy(F.col("n").desc()).limit(cfg.history)
     recent = tail.agg(
         F.count(F.lit(1)).alias("observations"),
         F.round(F.percentile("lateness", F.lit(cfg.cut)), 6).alias("lateness_percentile"),
         F.round(F.avg(F.col("out_of_order").cast("double")), 6).alias("recent_ooo_ratio"),
     )
-    return with_scalars(last, recent)
-
-
-def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+    return with_run_value(last, recent, recent.columns, ())

@@ -770,3 +770,11 @@ def state_summary(log: DataFrame) -> DataFrame:
         F.round(F.avg("state_size_after"), 6).alias("average_entries"),
         F.sum("newly_finalized").alias("finalized_windows"),
     )
+
+
+def trajectory(timed: DataFrame, keys: DataFrame, every: int) -> DataFrame:
+    """The control log at every ``every``-th arrival and at the last."""
+    last = timed.agg(F.max("n")).scalar()
+    log = control_log(timed, keys)
+    number = F.col("event_number")
+    return log.filter((number % every == 0) | (number == last))
