@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latewin.operators.ordering import BLOCK_ROWS, with_arrival_index
 
@@ -108,7 +109,13 @@ def buffer_disorder(
     random order (in file order when the probability is 0). ``position`` must be
     dense from 0. Adds ``n`` and ``disorder_release``.
     """
-    schema = df.schema.add("_slot", "long").add("disorder_release", "boolean")
+    schema = T.StructType(
+        [
+            *df.schema.fields,
+            T.StructField("_slot", T.LongType()),
+            T.StructField("disorder_release", T.BooleanType()),
+        ]
+    )
 
     def reorder(block: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(position).reset_index(drop=True)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latewin.operators.features import FEATURES, window_features
 from latewin.operators.ordering import with_run_value
@@ -122,6 +123,7 @@ def score(features: DataFrame, forest: DataFrame, sample: int) -> DataFrame:
         for _, part in nodes.groupby("tree", sort=True)
     ]
     norm = float(average_path([sample])[0]) or 1.0
+    schema = T.StructType([*features.schema.fields, T.StructField("score", T.DoubleType())])
     names = list(FEATURES)
 
     def run(batches):
@@ -141,7 +143,7 @@ def score(features: DataFrame, forest: DataFrame, sample: int) -> DataFrame:
                 total += depth[at]
             yield rows.assign(score=np.power(2.0, -total / len(trees) / norm))
 
-    return features.mapInPandas(run, features.schema.add("score", "double"))
+    return features.mapInPandas(run, schema)
 
 
 class Detection:

@@ -139,9 +139,11 @@ def with_arrival_index(
     )
 
 
-def index_file_rows(df: DataFrame, name: str = "n") -> DataFrame:
+def index_file_rows(df: DataFrame, name: str = "n", per_file: bool = False) -> DataFrame:
     """Dense 1-based position in file order, for rows just read from files.
 
+    Files follow each other by name, or with ``per_file`` each starts at 1.
+
     Needs columns ``_file`` and ``_split`` (file name and split start from
     ``_metadata``). Every split is read by one task front to back, so a running
     id within the task plus the row counts of earlier splits is the position;
@@ -173,7 +175,11 @@ def index_file_rows(df: DataFrame, name: str = "n") -> DataFrame:
         .select(
             "_file",
             "_split",
-            (F.col("_file_offset") + F.col("_split_offset") - F.col("_first")).alias("_shift"),
+            (
+                (F.lit(0) if per_file else F.col("_file_offset"))
+                + F.col("_split_offset")
+                - F.col("_first")
+            ).alias("_shift"),
         )
     )
     return numbered.join(offsets, ["_file", "_split"]).select(

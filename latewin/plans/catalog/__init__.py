@@ -5,6 +5,10 @@ from latewin.plans.catalog import (  # noqa: F401
     lateness,
     lifecycle,
     compare,
+    matrix,
+    anomalies,
+    tables,
+    streams,
 )
 from latewin.plans.catalog.registry import ENTRIES
 

@@ -233,31 +233,33 @@ def lifecycle(
     return ",\n".join(parts)
 
 
-def timeline(asked: str | None = None, offloadable: bool = False) -> str:
+def timeline(asked: str | None = None, offloadable: bool = False, by: str = "") -> str:
     """``line``: tier sizes at every position where something happens or is asked."""
+    lead, p = _lead(by), _part(by)
     moves = ["opened", "archived", "released"] + (["offloadable"] if offloadable else [])
     steps = [
-        f"SELECT {m} AS position, '{m}' AS move FROM keys WHERE {m} IS NOT NULL" for m in moves
+        f"SELECT {lead}{m} AS position, '{m}' AS move FROM keys WHERE {m} IS NOT NULL"
+        for m in moves
     ]
     if offloadable:
         steps.append(
-            "SELECT released, 'gone' FROM keys WHERE released IS NOT NULL "
+            f"SELECT {lead}released, 'gone' FROM keys WHERE released IS NOT NULL "
             "AND offloadable IS NOT NULL"
         )
         moves.append("gone")
     if asked:
-        steps.append(f"SELECT position, 'asked' FROM ({asked})")
+        steps.append(f"SELECT {lead}position, 'asked' FROM ({asked})")
     here = ", ".join(f"count(*) FILTER (move = '{m}') AS d_{m}" for m in moves)
     run = ", ".join(
-        f"CAST(sum(d_{m}) OVER (ORDER BY position) AS BIGINT) AS c_{m}" for m in moves
+        f"CAST(sum(d_{m}) OVER ({p}ORDER BY position) AS BIGINT) AS c_{m}" for m in moves
     )
     off = ", c_offloadable - c_gone + d_gone AS offloadable" if offloadable else ""
     return f"""steps AS ({" UNION ALL ".join(steps)}),
-per AS (SELECT position, count(*) FILTER (move = 'asked') > 0 AS asked, {here}
-  FROM steps GROUP BY position),
+per AS (SELECT {lead}position, count(*) FILTER (move = 'asked') > 0 AS asked, {here}
+  FROM steps GROUP BY {lead}position),
 summed AS (SELECT *, {run} FROM per),
 line AS (
-  SELECT position, asked, d_opened AS newly_opened, d_archived AS newly_archived,
+  SELECT {lead}position, asked, d_opened AS newly_opened, d_archived AS newly_archived,
          d_released AS newly_released, c_opened - c_archived + d_archived AS hot_peak,
          c_opened - c_archived AS hot, c_archived - c_released + d_released AS archive_before,
          c_archived - c_released AS archive, c_released AS frozen{off}
