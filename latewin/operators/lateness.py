@@ -38,7 +38,7 @@ def observe_lateness(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     The rate divides by the event-time span since the first *arrival*.
     """
-    t, n = F.col("event_time"), F.col("n")
+    t = F.col("event_time")
     out = running(
         _blocked(events),
         "n",
@@ -47,7 +47,36 @@ def observe_lateness(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         by,
         inclusive=False,
     )
-    before = F.col("max_before")
+    return _observed(out)
+
+
+def observe_arrivals(
+    df: DataFrame, order: Sequence[str], block: Column, by: Sequence[str] = ()
+) -> DataFrame:
+    """Arrival index and observations in one scan, for rows not numbered yet.
+
+    ``order`` is a total order and ``block`` a non-decreasing function of it, as
+    for the arrival index; both come from the same block summaries.
+    """
+    t = F.col("event_time")
+    out = running(
+        df.withColumn("block", block),
+        F.struct(*order),
+        "block",
+        {
+            "_before": (F.lit(1).cast("long"), "sum"),
+            "max_before": (t, "max"),
+            "_first": (t, "first"),
+        },
+        by,
+        inclusive=False,
+    )
+    numbered = out.withColumn("n", F.coalesce("_before", F.lit(0)).cast("long") + 1)
+    return _observed(numbered.drop("_before"))
+
+
+def _observed(out: DataFrame) -> DataFrame:
+    t, n, before = F.col("event_time"), F.col("n"), F.col("max_before")
     late = F.greatest(F.coalesce(before - t, F.lit(0)), F.lit(0)).cast("long")
     out = out.withColumns(
         {
@@ -106,15 +135,19 @@ def _history_points(n: Column, cfg: LatenessConfig) -> Column:
     return F.concat(F.coalesce(extra, F.array().cast("array<bigint>")), regular)
 
 
-def rolling_lateness(
+def _aligned(cfg: LatenessConfig) -> bool:
+    """Every arrival is in the history of exactly one recalculation point."""
+    return cfg.history == cfg.interval and cfg.min_observations % cfg.interval == 0
+
+
+def _point_groups(
     obs: DataFrame,
-    cfg: LatenessConfig = LatenessConfig(),
-    by: Sequence[str] = (),
-    state_size: str | None = None,
-    memory_utilization: str | None = None,
+    cfg: LatenessConfig,
+    by: Sequence[str],
+    state_size: str | None,
+    memory_utilization: str | None,
 ) -> DataFrame:
-    """Per recalculation point: lateness percentile and out-of-order ratio of the last
-    ``history`` arrivals, and the signals seen by the arrival at the point itself."""
+    """One aggregate per recalculation point over the arrivals of its history."""
     n = F.col("n")
     narrow = obs.select(
         *by,
@@ -123,15 +156,15 @@ def rolling_lateness(
         F.col("out_of_order").cast("double").alias("ooo"),
         "arrival_rate",
         "watermark_lag",
+        "max_event_time",
         (F.col(state_size) if state_size else F.lit(0)).cast("double").alias("state_size"),
         (F.col(memory_utilization) if memory_utilization else F.lit(0.0))
         .cast("double")
         .alias("memory_utilization"),
     )
-    if cfg.history == cfg.interval and cfg.min_observations % cfg.interval == 0:
-        point = (F.ceil(n / cfg.interval) * cfg.interval).cast("long")
-        placed = narrow.withColumn("point", point).filter(
-            F.col("point") >= cfg.min_observations
+    if _aligned(cfg):
+        placed = narrow.withColumn(
+            "point", (F.ceil(n / cfg.interval) * cfg.interval).cast("long")
         )
     else:
         placed = narrow.withColumn("point", F.explode(_history_points(n, cfg)))
@@ -139,20 +172,33 @@ def rolling_lateness(
     def at_point(c: str) -> Column:
         return F.max(F.when(n == F.col("point"), F.col(c))).alias(c)
 
-    return (
-        placed.groupBy(*by, "point")
-        .agg(
-            F.percentile("lateness", F.lit(cfg.cut)).alias("lateness_percentile"),
-            F.avg("ooo").alias("ooo_ratio"),
-            at_point("arrival_rate"),
-            at_point("watermark_lag"),
-            at_point("state_size"),
-            at_point("memory_utilization"),
-        )
-        .filter(F.col("arrival_rate").isNotNull())
+    return placed.groupBy(*by, "point").agg(
+        F.percentile("lateness", F.lit(cfg.cut)).alias("lateness_percentile"),
+        F.avg("ooo").alias("ooo_ratio"),
+        at_point("arrival_rate"),
+        at_point("watermark_lag"),
+        at_point("state_size"),
+        at_point("memory_utilization"),
+        F.max(F.when(n < F.col("point"), F.col("max_event_time"))).alias("_reached_before"),
+        F.max(F.when(n == F.col("point"), F.col("max_event_time"))).alias("_reached_at"),
     )
 
 
+def rolling_lateness(
+    obs: DataFrame,
+    cfg: LatenessConfig = LatenessConfig(),
+    by: Sequence[str] = (),
+    state_size: str | None = None,
+    memory_utilization: str | None = None,
+) -> DataFrame:
+    """Per recalculation point: lateness percentile and out-of-order ratio of the last
+    ``history`` arrivals, and the signals seen by the arrival at the point itself."""
+    groups = _point_groups(obs, cfg, by, state_size, memory_utilization)
+    return groups.filter(
+        F.col("arrival_rate").isNotNull() & (F.col("point") >= cfg.min_observations)
+    ).drop("_reached_before", "_reached_at")
+
+
 def budget_expression(cfg: LatenessConfig) -> Column:
     """Bounded budget in whole seconds from the rolling signals, half-even rounded.
 
@@ -187,14 +233,43 @@ def adaptive_budget(
     ``watermark_before`` is the watermark reached before the point's first arrival.
     """
     by = list(by)
-    stats = rolling_lateness(obs, cfg, by, state_size, memory_utilization)
-    stats = stats.select(*by, "point", budget_expression(cfg).alias("budget"))
-    in_force = obs.groupBy(*by, budget_point(F.col("n"), cfg).alias("point")).agg(
-        F.max("max_event_time").alias("reached")
-    )
-    table = in_force.join(stats, [*by, "point"], "left").withColumn(
-        "budget", F.coalesce("budget", F.lit(cfg.initial)).cast("long")
+    decided = (
+        F.col("arrival_rate").isNotNull() & (F.col("point") >= cfg.min_observations)
     )
+    budget = F.when(decided, budget_expression(cfg))
+    if _aligned(cfg):
+        # The arrivals before a point belong to the period of the point before, so
+        # one pass over the events gives both the budgets and how far each reached.
+        groups = _point_groups(obs, cfg, by, state_size, memory_utilization)
+        sides = F.explode(
+            F.array(
+                F.struct(
+                    (F.col("point") - cfg.interval).alias("at"),
+                    F.col("_reached_before").alias("reached"),
+                    F.lit(None).cast("long").alias("budget"),
+                ),
+                F.struct(
+                    F.col("point").alias("at"),
+                    F.col("_reached_at").alias("reached"),
+                    budget.alias("budget"),
+                ),
+            )
+        )
+        table = (
+            groups.select(*by, sides.alias("s"))
+            .select(*by, "s.*")
+            .filter("reached is not null")
+            .groupBy(*by, budget_point(F.col("at"), cfg).alias("point"))
+            .agg(F.max("reached").alias("reached"), F.max("budget").alias("budget"))
+        )
+    else:
+        stats = rolling_lateness(obs, cfg, by, state_size, memory_utilization)
+        stats = stats.select(*by, "point", budget_expression(cfg).alias("budget"))
+        in_force = obs.groupBy(*by, budget_point(F.col("n"), cfg).alias("point")).agg(
+            F.max("max_event_time").alias("reached")
+        )
+        table = in_force.join(stats, [*by, "point"], "left")
+    table = table.withColumn("budget", F.coalesce("budget", F.lit(cfg.initial)).cast("long"))
     return running(
         table,
         "point",
@@ -207,20 +282,19 @@ def adaptive_budget(
 
 def adaptive_watermark(
     obs: DataFrame,
+    budgets: DataFrame,
     cfg: LatenessConfig = LatenessConfig(),
     by: Sequence[str] = (),
-    state_size: str | None = None,
-    memory_utilization: str | None = None,
 ) -> DataFrame:
     """Add ``budget``, ``watermark`` and ``watermark_before`` (that of the arrival before).
 
-    Inside one budget period the watermark follows the largest event time, so
-    only the periods, not the events, need a running maximum.
+    ``budgets`` is the table of :func:`adaptive_budget`. Inside one budget period
+    the watermark follows the largest event time, so only the periods, not the
+    events, need a running maximum.
     """
     by = list(by)
-    table = adaptive_budget(obs, cfg, by, state_size, memory_utilization)
     joined = obs.withColumn("point", budget_point(F.col("n"), cfg)).join(
-        table, [*by, "point"]
+        budgets, [*by, "point"]
     )
     entering = F.col("watermark_before")
     return joined.withColumns(

@@ -33,7 +33,7 @@ VALUE_BLOCK = 1 << 16
 FANOUT = 1 << 10
 
 
-# -- first position at which a rising series reaches a value ------------------
+# -- first position at which a series reaches a value --------------------------
 
 
 def watermark_steps(timed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -54,8 +54,8 @@ def first_reached(
 ) -> DataFrame:
     """For every value, the first position at which each series is at or above it.
 
-    ``series`` holds rising step tables (value, position). Values and steps are
-    laid on one line and scanned from the top in value blocks; no pair of a
+    ``series`` holds tables (value, position); they need not rise. Values and steps
+    are laid on one line and scanned from the top in value blocks; no pair of a
     value and a step is ever formed, and gaps between steps cost nothing.
     """
     by = list(by)
@@ -124,18 +124,26 @@ def cycle_table(
         },
         by,
     ).drop("group_lateness", "group_overflow")
-    columns = [c for c in groups.columns if c not in by]
-    regular = groups.filter(F.pmod(F.col("position") - offset, F.lit(cycle_events)) == 0)
-    closing = (
-        groups.groupBy(*by)
-        .agg(F.max_by(F.struct(*columns), "ordinal").alias("_last"))
-        .select(*by, *[F.col(f"_last.{c}").alias(c) for c in columns])
-        .filter(F.col("ordinal").isNotNull())
-        .withColumns({"ordinal": F.col("ordinal") + 1, "position": F.col("position") + 1})
-    )
-    return regular.withColumn("closing", F.lit(False)).unionByName(
-        closing.withColumn("closing", F.lit(True))
-    ).withColumn(
+    last = timed.groupBy(*by).agg(F.max("n").alias("_last"))
+    groups = with_run_value(groups, last, ["_last"], by)
+    position, ordinal = F.col("position"), F.col("ordinal")
+
+    def cycle(shift: int, closing: bool) -> Column:
+        return F.struct(
+            (ordinal + shift).alias("ordinal"),
+            (position + shift).alias("position"),
+            F.lit(closing).alias("closing"),
+        )
+
+    fired = F.array_compact(
+        F.array(
+            F.when(F.pmod(position - offset, F.lit(cycle_events)) == 0, cycle(0, False)),
+            F.when(position == F.col("_last"), cycle(1, True)),
+        )
+    )
+    seen = ("watermark", "budget", "max_lateness", "max_overflow")
+    cycles = groups.select(*by, F.explode(fired).alias("_c"), *seen)
+    return cycles.select(*by, "_c.*", *seen).withColumn(
         "events_seen", F.col("position") - F.when(F.col("closing"), 1).otherwise(offset)
     )
 
@@ -214,102 +222,142 @@ def _first_cycle_reaching(asked: DataFrame, cycles: DataFrame, by: Sequence[str]
 # -- the key table ---------------------------------------------------------------
 
 
+def window_ends(
+    timed: DataFrame, cfg: WindowConfig, by: Sequence[str] = (), horizon: int | None = None
+) -> DataFrame:
+    """All distinct window ends, and the same moved up by ``horizon``."""
+    panes = timed.select(*by, pane_of(F.col("event_time"), cfg.slide).alias("p")).distinct()
+    last = F.col("p") + cfg.window
+    ends = F.sequence(F.col("p") + cfg.slide, last, F.lit(cfg.slide).cast("long"))
+    if horizon is not None:
+        ends = F.concat(ends, F.transform(ends, lambda e: e + horizon))
+    return panes.select(*by, F.explode(ends).alias("value")).distinct()
+
+
+def reach_table(
+    timed: DataFrame,
+    cfg: WindowConfig = WindowConfig(),
+    cycles: DataFrame | None = None,
+    by: Sequence[str] = (),
+    horizon: int | None = None,
+) -> DataFrame:
+    """When the watermark (``reached``) and the frontier (``cleared``) got to each window end.
+
+    One row per distinct window end, however many keys end there.
+    """
+    series = {"reached": watermark_steps(timed, by)}
+    if cycles is not None:
+        series["cleared"] = cycles.select(
+            *by, F.col("frontier").alias("value"), "position"
+        )
+    table = first_reached(window_ends(timed, cfg, by, horizon), series, by)
+    return table if cycles is not None else table.withColumn(
+        "cleared", F.lit(None).cast("long")
+    )
+
+
+def never_reached(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The reach table of a stream without a watermark: no end is ever reached."""
+    kinds = ", ".join([*(f"{c} {dict(events.dtypes)[c]}" for c in by), "value long"])
+    return events.sparkSession.createDataFrame(
+        [], f"{kinds}, reached long, cleared long"
+    )
+
+
 def lifecycle_keys(
     timed: DataFrame,
+    reach: DataFrame,
     cfg: WindowConfig = WindowConfig(),
-    guard: GuardConfig | None = None,
     by: Sequence[str] = (),
     horizon: int | None = None,
-    cycles: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per window key with ``opened``, ``archived`` and ``released``.
+    """One row per window key with ``opened``, ``archived`` and ``cleared``.
 
-    With ``horizon`` also ``offloadable``: the first position at which the
-    archived key lies that many seconds behind the watermark, if it is still held.
-    ``cycles`` is the stored :func:`guard_series`, derived here when not given.
+    With ``horizon`` also ``behind``: when the watermark was that many seconds past
+    the end. ``released`` follows from ``cleared``, see :func:`with_release`.
     """
     by = list(by)
     keys = window_partials(timed, cfg, [*by, *KEYS], first="n").withColumn(
         "end", F.col("start") + cfg.window
     )
-    ends = keys.select(*by, F.col("end").alias("value"))
-    series = {"reached": watermark_steps(timed, by)}
-    if guard is not None:
-        cycles = guard_series(timed, guard, by) if cycles is None else cycles
-        climbed = running(
-            cycles.select(*by, "ordinal", "position", "frontier"),
-            "ordinal",
-            F.floor(F.col("ordinal") / POINT_BLOCK),
-            {"before": (F.col("frontier"), "max")},
-            by,
-            inclusive=False,
-        )
-        rises = F.col("before").isNull() | (F.col("frontier") > F.col("before"))
-        series["cleared"] = climbed.filter(rises).select(
-            *by, F.col("frontier").alias("value"), "position"
-        )
-    asked = ends
-    if horizon is not None:
-        asked = ends.union(ends.withColumn("value", F.col("value") + horizon))
-    reached = first_reached(asked, series, by)
-    keys = keys.join(reached.withColumnRenamed("value", "end"), [*by, "end"], "left")
-    keys = keys.withColumnRenamed("f", "opened").withColumn(
-        "archived", F.when(F.col("reached").isNotNull(), F.greatest("opened", "reached"))
-    )
+    keys = keys.join(reach.withColumnRenamed("value", "end"), [*by, "end"], "left")
+    extra = []
     if horizon is not None:
-        behind = reached.select(
+        behind = reach.select(
             *by,
             (F.col("value") - horizon).alias("end"),
             F.col("reached").alias("behind"),
         )
         keys = keys.join(behind, [*by, "end"], "left")
-    if guard is None:
-        keys = keys.withColumn("released", F.lit(None).cast("long"))
-    else:
-        keys = _with_release(keys, cycles, guard, by)
-    extra = []
-    if horizon is not None:
-        when = F.greatest("archived", "behind")
-        held = F.col("released").isNull() | (when <= F.col("released"))
-        keys = keys.withColumn(
-            "offloadable",
-            F.when(F.col("archived").isNotNull() & F.col("behind").isNotNull() & held, when),
-        )
-        extra = ["offloadable"]
+        extra = ["behind"]
+    archived = F.when(F.col("reached").isNotNull(), F.greatest("f", "reached"))
     return keys.select(
-        *by, "start", "end", *KEYS, *PARTIALS, "opened", "archived", "released", *extra
+        *by,
+        "start",
+        "end",
+        *KEYS,
+        *PARTIALS,
+        F.col("f").alias("opened"),
+        archived.alias("archived"),
+        "cleared",
+        *extra,
     )
 
 
-def _with_release(
-    keys: DataFrame, cycles: DataFrame, guard: GuardConfig, by: Sequence[str]
+def opened_behind() -> Column:
+    """The key was archived only after the frontier had first cleared its end."""
+    return F.coalesce(F.col("archived") > F.col("cleared"), F.lit(False))
+
+
+def with_release(
+    keys: DataFrame,
+    guard: GuardConfig | None,
+    cycles: DataFrame | None,
+    by: Sequence[str] = (),
+    search: bool = True,
 ) -> DataFrame:
+    """Add ``released``, and ``offloadable`` where ``behind`` is known.
+
+    ``search`` may be False when no key :func:`opened_behind` the frontier.
+    """
+    by = list(by)
     archived, cleared = F.col("archived"), F.col("cleared")
-    ordinal = F.ceil((archived - guard.offset) / guard.cycle_events).cast("long")
-    if guard.policy == "fixed":
+    if guard is None:
+        out = keys.withColumn("released", F.lit(None).cast("long"))
+    elif guard.policy == "fixed":
         # The frontier never dips: any cycle after the clearing one will do.
         last = cycles.filter("closing").select(*by, F.col("position").alias("_last"))
-        keys = with_run_value(keys, last, ["_last"], by)
+        out = with_run_value(keys, last, ["_last"], by)
+        ordinal = F.ceil((archived - guard.offset) / guard.cycle_events).cast("long")
         following = F.least(ordinal * guard.cycle_events + guard.offset, F.col("_last"))
-        return keys.withColumn(
-            "released",
-            F.when(
-                archived.isNotNull() & cleared.isNotNull(), F.greatest(cleared, following)
-            ),
+        both = archived.isNotNull() & cleared.isNotNull()
+        out = out.withColumn(
+            "released", F.when(both, F.greatest(cleared, following))
         ).drop("_last")
-    # Only a key that opened behind the frontier needs the search.
-    behind = archived.isNotNull() & cleared.isNotNull() & (archived > cleared)
-    plain = keys.filter(~F.coalesce(behind, F.lit(False))).withColumn(
-        "released", F.when(archived.isNotNull(), cleared)
-    )
-    searched = _first_cycle_reaching(
-        keys.filter(behind).withColumn("ordinal", ordinal), cycles, by
-    )
+    else:
+        out = keys.filter(~opened_behind()).withColumn(
+            "released", F.when(archived.isNotNull(), cleared)
+        )
+        if search:
+            out = out.unionByName(_searched(keys.filter(opened_behind()), guard, cycles, by))
+    if "behind" in keys.columns:
+        when = F.greatest("archived", "behind")
+        held = F.col("released").isNull() | (when <= F.col("released"))
+        counted = archived.isNotNull() & F.col("behind").isNotNull() & held
+        out = out.withColumn("offloadable", F.when(counted, when)).drop("behind")
+    return out.drop("cleared")
+
+
+def _searched(
+    keys: DataFrame, guard: GuardConfig, cycles: DataFrame, by: Sequence[str]
+) -> DataFrame:
+    """``released`` for keys that opened behind an adaptive frontier."""
+    ordinal = F.ceil((F.col("archived") - guard.offset) / guard.cycle_events).cast("long")
+    found = _first_cycle_reaching(keys.withColumn("ordinal", ordinal), cycles, by)
     positions = cycles.select(
         *by, F.col("ordinal").alias("found"), F.col("position").alias("released")
     )
-    searched = searched.join(positions, [*by, "found"], "left").drop("found", "ordinal")
-    return plain.unionByName(searched.select(plain.columns))
+    return found.join(positions, [*by, "found"], "left").select(*keys.columns, "released")
 
 
 # -- late events ------------------------------------------------------------------

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latewin.operators.disorder import SCENARIOS, inject_disorder
+from latewin.operators.disorder import (
+    DEFAULT_BUFFER,
+    SCENARIOS,
+    displacement,
+    inject_disorder,
+)
+from latewin.operators.lateness import observe_arrivals
+from latewin.operators.ordering import BLOCK_ROWS
 from latewin.plans.mechanisms import presets
 from latewin.schema import LatenessConfig, WindowConfig
 
@@ -52,8 +59,8 @@ def arrivals(
     return inject_disorder(canonical(spark, sf_dir), p, seed=0)
 
 
-def all_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events once per scenario, each in its own arrival order."""
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events once per scenario."""
     profiles = F.explode(
         F.array(
             *[
@@ -62,5 +69,29 @@ def all_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
             ]
         )
     )
-    tagged = canonical(spark, sf_dir).withColumn("_s", profiles).select("*", "_s.*").drop("_s")
+    return canonical(spark, sf_dir).withColumn("_s", profiles).select("*", "_s.*").drop("_s")
+
+
+def all_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events once per scenario, each in its own arrival order."""
+    tagged = _tagged(spark, sf_dir)
     return inject_disorder(tagged, F.col("p"), seed=0, by=["scenario"]).drop("p")
+
+
+def observed(spark: SparkSession, sf_dir: str, scenario: str = "heavy_ooo") -> DataFrame:
+    """Arrival index and lateness observations in one scan."""
+    rows = canonical(spark, sf_dir)
+    shift = displacement(
+        F.col("i"), SCENARIOS[scenario].disorder_probability, DEFAULT_BUFFER, 0
+    )
+    keyed = rows.withColumn("_key", F.col("i") + shift)
+    block = F.floor(F.col("_key") / BLOCK_ROWS)
+    return observe_arrivals(keyed, ["_key", "i"], block).drop("_key")
+
+
+def observed_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tagged(spark, sf_dir)
+    shift = displacement(F.col("i"), F.col("p"), DEFAULT_BUFFER, 0)
+    keyed = rows.withColumn("_key", F.col("i") + shift)
+    block = F.floor(F.col("_key") / BLOCK_ROWS)
+    return observe_arrivals(keyed, ["_key", "i"], block, ["scenario"]).drop("_key", "p")

@@ -16,7 +16,7 @@ FIXED = f"{BASE}, {s.fixed(3600)}"
 
 
 def _run(spark, d, name="aloa"):
-    return Run(b.arrivals(spark, d), b.mechanisms()[name], b.WINDOW)
+    return Run(b.observed(spark, d), b.mechanisms()[name], b.WINDOW)
 
 
 @query(
@@ -27,7 +27,7 @@ def _run(spark, d, name="aloa"):
     max_event_time, round(arrival_rate, 9) AS arrival_rate, watermark_lag FROM obs""",
 )
 def lateness_observations(spark, d):
-    obs = lt.with_disorder_counts(lt.observe_lateness(b.arrivals(spark, d)))
+    obs = lt.with_disorder_counts(b.observed(spark, d))
     return obs.select(
         "n",
         "event_time",
@@ -47,7 +47,7 @@ def lateness_observations(spark, d):
     round(lateness_percentile, 6) AS lateness_percentile FROM points""",
 )
 def rolling_lateness_p95(spark, d):
-    stats = lt.rolling_lateness(lt.observe_lateness(b.arrivals(spark, d)), b.LATENESS)
+    stats = lt.rolling_lateness(b.observed(spark, d), b.LATENESS)
     return stats.select("point", F.round("lateness_percentile", 6).alias("lateness_percentile"))
 
 
@@ -57,7 +57,7 @@ def rolling_lateness_p95(spark, d):
     round(arrival_rate, 9) AS arrival_rate, watermark_lag FROM points""",
 )
 def rolling_ooo_ratio(spark, d):
-    stats = lt.rolling_lateness(lt.observe_lateness(b.arrivals(spark, d)), b.LATENESS)
+    stats = lt.rolling_lateness(b.observed(spark, d), b.LATENESS)
     return stats.select(
         "point",
         F.round("ooo_ratio", 6).alias("ooo_ratio"),
@@ -163,7 +163,7 @@ def budget_split(spark, d):
 )
 def policy_replay(spark, d):
     """The policy over every scenario at once."""
-    run = Run(b.all_scenarios(spark, d), b.mechanisms()["aloa"], b.WINDOW, ["scenario"])
+    run = Run(b.observed_scenarios(spark, d), b.mechanisms()["aloa"], b.WINDOW, ["scenario"])
     return lt.policy_replay(run.timed, ["scenario"])
 
 
@@ -211,7 +211,7 @@ PRESSURE = f"""{BASE}, signalled AS (
 @query("budget_under_pressure", f"WITH {PRESSURE} SELECT point, budget FROM pressed")
 def budget_under_pressure(spark, d):
     """The budget with state and memory signals given as columns."""
-    obs = lt.observe_lateness(b.arrivals(spark, d)).withColumns(
+    obs = b.observed(spark, d).withColumns(
         {
             "state_size": F.col("n") * 37 % 90000,
             "memory_utilization": (F.col("n") % 1000) / 1000.0,

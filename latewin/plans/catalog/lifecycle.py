@@ -22,12 +22,12 @@ ALOA = s.lifecycle(policy=None)
 
 
 def full(spark, d, horizon=None) -> Run:
-    return Run(b.arrivals(spark, d), b.mechanisms()["full"], W, horizon=horizon)
+    return Run(b.observed(spark, d), b.mechanisms()["full"], W, horizon=horizon)
 
 
 def tight(spark, d) -> Run:
     """Small budgets and a small fixed guard, so that every category occurs."""
-    return Run(b.arrivals(spark, d), b.mechanisms(b.TIGHT)["earm_agg"], W)
+    return Run(b.observed(spark, d), b.mechanisms(b.TIGHT)["earm_agg"], W)
 
 
 KEY_COLUMNS = f'start, "end", device_id, sensor, count, round(sum, 6) AS sum, min, max, opened'
@@ -56,7 +56,7 @@ TIGHT_ADAPTIVE = s.lifecycle(b.TIGHT, "adaptive", GUARD)
 )
 def lifecycle_keys_adaptive_tight(spark, d):
     """Small budgets under the adaptive guard: keys that open behind the frontier."""
-    run = Run(b.arrivals(spark, d), b.mechanisms(b.TIGHT)["full"], W)
+    run = Run(b.observed(spark, d), b.mechanisms(b.TIGHT)["full"], W)
     return run.keys.withColumn("sum", F.round("sum", 6))
 
 
@@ -112,7 +112,7 @@ def finalization_audit(spark, d):
     WHERE archived IS NOT NULL AND "end" + {GUARD} <= (SELECT max(watermark) FROM timed)""",
 )
 def evictable(spark, d):
-    run = Run(b.arrivals(spark, d), b.mechanisms()["aloa"], W)
+    run = Run(b.observed(spark, d), b.mechanisms()["aloa"], W)
     now = run.timed.agg(F.max("watermark")).scalar()
     return lc.evictable(run.keys, now, GUARD).select("start", "end", *KEYS, "archived")
 
@@ -349,7 +349,9 @@ def _round(rows):
 def _result_query(name: str, sql: str, lateness=b.LATENESS):
     @query(f"mechanism_result_{name}", sql)
     def run(spark, d):
-        return _round(Run(b.arrivals(spark, d), b.mechanisms(lateness)[name], W).result)
+        mech = b.mechanisms(lateness)[name]
+        events = b.arrivals(spark, d) if mech.guard is None else b.observed(spark, d)
+        return _round(Run(events, mech, W).result)
 
     return run
 
@@ -410,4 +412,4 @@ def run_snapshot_tight(spark, d):
 
 @query("run_snapshot_fixed", _snapshot_sql(FIXED))
 def run_snapshot_fixed(spark, d):
-    return Run(b.arrivals(spark, d), b.mechanisms()["fixed"], W).snapshot
+    return Run(b.observed(spark, d), b.mechanisms()["fixed"], W).snapshot

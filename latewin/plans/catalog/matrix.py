@@ -26,7 +26,7 @@ def _rows(name: str, chain: str) -> str:
   peaks AS (SELECT scenario, max(hot_peak) AS peak_hot FROM line GROUP BY scenario),
   lates AS (SELECT scenario, count(*) FILTER (category = 'B') AS reconciled,
     count(*) FILTER (category = 'C') AS late_after_eviction FROM categorized GROUP BY scenario),
-  matched AS (SELECT t.scenario, count(*) AS both,
+  matched AS (SELECT t.scenario, count(*) AS matched_rows,
     CAST(sum({" + ".join(
         f"CASE WHEN abs(t.{f} - r.{f}) <= 1e-6 THEN 0 ELSE 1 END"
         for f in ("count", "sum", "avg", "min", "max")
@@ -36,9 +36,9 @@ def _rows(name: str, chain: str) -> str:
     FROM (SELECT scenario, count(*) AS c FROM truth GROUP BY scenario) t
     JOIN (SELECT scenario, count(*) AS c FROM result GROUP BY scenario) r USING (scenario))
   SELECT scenario, '{name}' AS mechanism,
-    ground_truth_rows = both AND result_rows = both AND field_mismatches = 0 AS exact,
-    ground_truth_rows, result_rows, ground_truth_rows - both AS missing_in_result,
-    result_rows - both AS extra_in_result, field_mismatches, peak_hot, final_hot, final_archive,
+    ground_truth_rows = matched_rows AND result_rows = matched_rows AND field_mismatches = 0 AS exact,
+    ground_truth_rows, result_rows, ground_truth_rows - matched_rows AS missing_in_result,
+    result_rows - matched_rows AS extra_in_result, field_mismatches, peak_hot, final_hot, final_archive,
     frozen, reconciled, reconciled AS late_after_finalization, late_after_eviction,
     round((keys - peak_hot) / keys * 100, 4) AS peak_hot_reduction_percent
   FROM totals JOIN peaks USING (scenario) JOIN lates USING (scenario)
@@ -73,7 +73,7 @@ LADDER = f"all_rows AS ({_all(mx.LADDER)})"
 
 def _matrix(spark, d, names=tuple(_MECHANISMS)) -> mx.Matrix:
     chosen = {n: m for n, m in b.mechanisms().items() if n in names}
-    return mx.Matrix(b.all_scenarios(spark, d), chosen, W)
+    return mx.Matrix(b.observed_scenarios(spark, d), chosen, W)
 
 
 @query("mechanism_matrix", f"WITH {ALL} SELECT * FROM all_rows")
@@ -90,7 +90,7 @@ def mechanism_matrix(spark, d):
 )
 def mode_comparison(spark, d):
     """The four modes over one disorder profile."""
-    events = b.all_scenarios(spark, d).filter(F.col("scenario") == "heavy_ooo")
+    events = b.observed_scenarios(spark, d).filter(F.col("scenario") == "heavy_ooo")
     chosen = {n: m for n, m in b.mechanisms().items() if n in mx.LADDER}
     return mx.Matrix(events, chosen, W).summary().select(
         "mechanism", "peak_hot", "final_hot", "final_archive", "frozen", "reconciled", "exact"

@@ -60,10 +60,12 @@ class Matrix:
         cfg: WindowConfig = WindowConfig(),
     ):
         by = ["scenario"]
-        obs = stage(inversions(observe_lateness(events, by), by), "matrix-observations")
+        if "arrival_rate" not in events.columns:
+            events = observe_lateness(events, by)
+        obs = stage(events, "matrix-observations")
         self.by, self.cfg, self.obs = by, cfg, obs
         self.runs = {
-            name: Run(obs, mech, cfg, by, obs=obs) for name, mech in mechanisms.items()
+            name: Run(obs, mech, cfg, by, observed=True) for name, mech in mechanisms.items()
         }
         # The same mechanism under two names is run once.
         seen: dict[tuple, Run] = {}
@@ -129,7 +131,7 @@ class Matrix:
         """Disorder and budget per scenario and mechanism."""
         total = F.count(F.lit(1))
         ooo = F.sum(F.col("out_of_order").cast("long"))
-        disorder = self.obs.groupBy("scenario").agg(
+        disorder = inversions(self.obs, self.by).groupBy("scenario").agg(
             total.alias("events"),
             ooo.alias("ooo_events"),
             F.round(ooo / total, 6).alias("ooo_ratio"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from latewin.operators import lifecycle as lc
 from latewin.operators.lateness import (
-    adaptive_watermark,
     fixed_watermark,
     over_budget,
     watermark_updates,
@@ -51,9 +50,7 @@ def presets(
 
 
 def with_watermark(obs: DataFrame, mech: Mechanism, by: Sequence[str] = ()) -> DataFrame:
-    """Budget and watermark columns of a mechanism; null where it has none."""
-    if mech.budget == "adaptive":
-        return adaptive_watermark(obs, mech.lateness, by)
+    """Budget and watermark of a mechanism without adaptation; null where it has none."""
     if mech.budget == "fixed":
         return fixed_watermark(obs, mech.fixed_seconds, by)
     none = F.lit(None).cast("long")

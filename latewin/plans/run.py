@@ -8,12 +8,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from latewin.operators import lifecycle as lc
-from latewin.operators.lateness import observe_lateness
+from latewin.operators.lateness import (
+    adaptive_budget,
+    adaptive_watermark,
+    observe_lateness,
+)
 from latewin.operators.windows import finish, window_aggregate
 from latewin.plans import mechanisms as m
 from latewin.schema import Mechanism, WindowConfig
 from latewin.session import stage
 
+# At 40 bytes a row this stays below Spark's default broadcast threshold of 10 MB.
+SMALL_ROWS = 200_000
+
 
 class Run:
     """Tables of a run, each built once on first use.
@@ -31,21 +38,35 @@ class Run:
         cfg: WindowConfig = WindowConfig(),
         by: Sequence[str] = (),
         horizon: int | None = None,
-        obs: DataFrame | None = None,
+        observed: bool = False,
     ):
+        """With ``observed`` the events already are stored observations."""
         self.events, self.mech, self.cfg = events, mech, cfg
         self.by, self.horizon = list(by), horizon
-        if obs is not None:
-            self.obs = obs
+        if observed:
+            self.obs = events
 
     @cached_property
     def obs(self) -> DataFrame:
+        if "arrival_rate" in self.events.columns:
+            return stage(self.events, "observations")
         return stage(observe_lateness(self.events, self.by), "observations")
 
     @cached_property
     def timed(self) -> DataFrame:
-        timed = m.with_watermark(self.obs, self.mech, self.by)
-        return stage(timed, "timed") if self.mech.budget == "adaptive" else timed
+        """Observations with budget and watermark.
+
+        A budget table of proven small size is joined on the fly wherever the
+        columns are needed; beyond that the joined table is stored once.
+        """
+        if self.mech.budget != "adaptive":
+            return m.with_watermark(self.obs, self.mech, self.by)
+        policy = self.mech.lateness
+        budgets = stage(adaptive_budget(self.obs, policy, self.by), "budgets")
+        timed = adaptive_watermark(self.obs, budgets, policy, self.by)
+        if budgets.count() <= SMALL_ROWS:
+            return timed
+        return stage(timed, "timed")
 
     @cached_property
     def cycles(self) -> DataFrame | None:
@@ -55,10 +76,24 @@ class Run:
 
     @cached_property
     def keys(self) -> DataFrame:
-        keys = lc.lifecycle_keys(
-            self.timed, self.cfg, self.mech.guard, self.by, self.horizon, self.cycles
+        """The key table; the search for late-opened keys runs only if there are any."""
+        guard = self.mech.guard
+        if self.mech.budget == "none":
+            reach = lc.never_reached(self.obs, self.by)
+        else:
+            reach = stage(
+                lc.reach_table(self.timed, self.cfg, self.cycles, self.by, self.horizon),
+                "reach",
+            )
+        keys = lc.lifecycle_keys(self.timed, reach, self.cfg, self.by, self.horizon)
+        keys = stage(keys, "keys")
+        search = (
+            guard is not None
+            and guard.policy == "adaptive"
+            and bool(keys.filter(lc.opened_behind()).limit(1).count())
         )
-        return stage(keys, "keys")
+        released = lc.with_release(keys, guard, self.cycles, self.by, search)
+        return stage(released, "released") if search else released
 
     @property
     def late(self) -> DataFrame:
@@ -72,6 +107,10 @@ class Run:
     def snapshot(self) -> DataFrame:
         return m.run_snapshot(self.timed, self.keys, self.cfg, by=self.by)
 
+    @property
+    def _plain(self) -> DataFrame:
+        return self.__dict__.get("obs", self.events)
+
     @property
     def result(self) -> DataFrame:
         """Everything except pairs that met a released window.
@@ -79,6 +118,6 @@ class Run:
         Without a guard nothing can be lost, so the lifecycle is not derived.
         """
         if self.mech.guard is None:
-            return window_aggregate(self.events, self.cfg, by=self.by)
+            return window_aggregate(self._plain, self.cfg, by=self.by)
         partials = lc.surviving_partials(self.timed, self.keys, self.cfg, self.by)
         return finish(partials, self.cfg, by=self.by)

@@ -11,13 +11,13 @@ from latewin.plans.run import Run
 from tests.simulator import simulate
 
 CFG = WindowConfig(60, 10)
-SEEDS = range(12)
+SEEDS = range(6)
 LAT = LatenessConfig(
     initial=6, minimum=2, maximum=30, history=20, min_observations=20, interval=20
 )
 
 
-def stream(seed, rows=700):
+def stream(seed, rows=500):
     """Irregular steps, jitter, a few very late events, sudden gaps."""
     rng = random.Random(seed)
     t, out = 1_000_000, []
