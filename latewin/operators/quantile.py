@@ -9,56 +9,64 @@ BINS = 4096
 GATHER = 20_000
 
 
-def _order_statistic(df: DataFrame, column: str, rank: int, low: float, high: float) -> float:
-    """The value with ``rank`` smaller-or-equal predecessors (0-based), by narrowing.
+def _neighbours(df: DataFrame, rank: int, rows: int, low: float, high: float):
+    """The values at 0-based ranks ``rank`` and ``rank + 1`` of column v, by narrowing.
 
     Each round counts the current range in at most BINS bins and descends into
-    the bin that holds the rank. Equal values are folded into one counted row, so
-    ties cannot keep a bin large.
+    the bin that holds both ranks. When they fall into different bins, the first
+    is the maximum of its bin and the second the minimum of the next. A range of
+    few rows is read off value by value, equal values folded with their number.
     """
-    c = F.col(column)
-    current = df.select(column)
+    v = F.col("v")
     while low < high:
-        width = (high - low) / BINS
-        if width <= 0 or low + width == low:
-            break
-        index = F.least(F.floor((c - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
+        if rows <= GATHER:
+            folded = df.groupBy("v").count().orderBy("v").collect()
+            values = [(r.v, r["count"]) for r in folded]
+        else:
+            width = (high - low) / BINS
+            if low + width == low:
+                # Neighbouring doubles: few distinct values are left.
+                folded = df.groupBy("v").count().orderBy("v").collect()
+                values = [(r.v, r["count"]) for r in folded]
+            else:
+                values = None
+        if values is not None:
+            found = []
+            for wanted in (rank, rank + 1):
+                left = wanted
+                for value, number in values:
+                    if left < number:
+                        break
+                    left -= number
+                found.append(value)
+            return tuple(found)
+        index = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
         bins = (
-            current.groupBy(index.alias("b"))
-            .agg(
-                F.count(F.lit(1)).alias("rows"),
-                F.min(c).alias("low"),
-                F.max(c).alias("high"),
-            )
+            df.groupBy(index.alias("b"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.min(v).alias("low"), F.max(v).alias("high"))
             .orderBy("b")
             .collect()
         )
-        for b in bins:
-            if rank < b.rows:
-                break
-            rank -= b.rows
-        current = current.filter((c >= F.lit(b.low)) & (c <= F.lit(b.high)))
-        low, high = b.low, b.high
-        if b.rows <= GATHER:
-            folded = current.groupBy(c.alias("v")).count().orderBy("v").collect()
-            for r in folded:
-                if rank < r["count"]:
-                    return r.v
-                rank -= r["count"]
-    return low
+        at = 0
+        while rank >= bins[at].rows:
+            rank -= bins[at].rows
+            at += 1
+        here = bins[at]
+        if rank + 1 >= here.rows:
+            after = bins[at + 1].low if at + 1 < len(bins) else here.high
+            return here.high, after
+        df = df.filter((v >= F.lit(here.low)) & (v <= F.lit(here.high)))
+        rows, low, high = here.rows, here.low, here.high
+    return low, high
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
     """Linear-interpolation quantile over all non-null values of a finite column."""
     values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
-    ends = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
-    rows, low, high = ends
+    rows, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
     if not rows:
         return None
     position = (rows - 1) * q
     below = int(position)
-    first = _order_statistic(values, "v", below, low, high)
-    if below == position or below + 1 >= rows:
-        return first
-    second = _order_statistic(values, "v", below + 1, low, high)
-    return first + (second - first) * (position - below)
+    first, second = _neighbours(values, below, rows, low, high)
+    return first if below == position else first + (second - first) * (position - below)

@@ -17,6 +17,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that it appears whole or not at all."""
+    fs, target = _files(spark, path)
+    _, draft = _files(spark, path + "._draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, target):
+        fs.delete(target, False)
+        fs.rename(draft, target)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = _files(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, where = _files(spark, path)
     fs.delete(where, True)

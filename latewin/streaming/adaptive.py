@@ -3,10 +3,10 @@
 Every micro-batch turns state version b-1 into version b:
 
     root/state/version=b/tier=hot|archive|final   window summaries
-    root/control/version=b                        one row, written last
+    root/control/version=b/control.json           the scalars, written last
 
-A version counts once its control row exists. A batch that is run again either
-finds its control row and does nothing, or overwrites its unfinished version.
+A version counts once its control file exists. A batch that is run again either
+finds its control file and does nothing, or overwrites its unfinished version.
 The final rows of all versions together are the append-only result.
 """
 
@@ -23,7 +23,13 @@ from latewin.operators.lateness import arrival_lateness, budget_expression
 from latewin.operators.windows import KEYS, PARTIALS, finish, window_partials
 from latewin.schema import GuardConfig, LatenessConfig, WindowConfig
 from latewin.session import scratch_dir
-from latewin.sources.replay import delete_path, path_exists
+from latewin.sources.replay import (
+    child_names,
+    delete_path,
+    path_exists,
+    read_text,
+    write_text,
+)
 
 _STATE = (
     "start long, device_id string, sensor string, count long, sum double, min double, "
@@ -78,7 +84,7 @@ class AdaptiveStream:
     # -- versions -------------------------------------------------------------
 
     def _control_path(self, version: int) -> str:
-        return f"{self.root}/control/version={version}"
+        return f"{self.root}/control/version={version}/control.json"
 
     def _state_path(self, version: int) -> str:
         return f"{self.root}/state/version={version}"
@@ -87,21 +93,20 @@ class AdaptiveStream:
         if version < 0:
             return Control()
         path = self._control_path(version)
-        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+        if not path_exists(self.spark, path):
             raise RuntimeError(f"state version {version} is missing below {self.root}")
-        text = self.spark.read.text(path).first()[0]
-        return Control(**json.loads(text))
+        return Control(**json.loads(read_text(self.spark, path)))
 
     def last_version(self) -> int:
-        version = -1
-        if path_exists(self.spark, f"{self.root}/control"):
-            done = self.spark.read.text(f"{self.root}/control").select("version")
-            version = done.agg(F.max("version")).first()[0]
-        return int(version)
+        names = child_names(self.spark, f"{self.root}/control")
+        versions = [int(n.split("=")[1]) for n in names]
+        return max(
+            (v for v in versions if path_exists(self.spark, self._control_path(v))), default=-1
+        )
 
     def _commit(self, control: Control) -> None:
-        row = self.spark.createDataFrame([(json.dumps(asdict(control)),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(self._control_path(control.version))
+        text = json.dumps(asdict(control))
+        write_text(self.spark, self._control_path(control.version), text)
 
     def state(self, version: int) -> DataFrame:
         """Hot and archived summaries of a version."""
@@ -123,31 +128,32 @@ class AdaptiveStream:
 
     def __call__(self, batch: DataFrame, version: int) -> None:
         self.spark = batch.sparkSession
-        if path_exists(self.spark, f"{self._control_path(version)}/_SUCCESS"):
+        if path_exists(self.spark, self._control_path(version)):
             return
         before = self.control(version - 1)
         now = Control(**{**asdict(before), "version": version})
-        batch = batch.persist()
+        # Recomputed from the source if an executor is lost with its part of it.
+        obs = arrival_lateness(batch).persist()
         try:
-            self._observe(batch, before, now)
+            self._observe(obs, before, now)
             if now.watermark is not None:
                 release = (version + 1) % self.cycle_batches == 0
-                partials = window_partials(batch, self.cfg).withColumn(
+                partials = window_partials(obs, self.cfg).withColumn(
                     "end", F.col("start") + self.cfg.window
                 )
                 self._advance(partials, before, now, release)
             self._commit(now)
         finally:
-            batch.unpersist()
+            obs.unpersist()
         if version >= 2:
             for tier in ("hot", "archive"):
                 delete_path(self.spark, f"{self._state_path(version - 2)}/tier={tier}")
 
-    def _observe(self, batch: DataFrame, before: Control, now: Control) -> None:
+    def _observe(self, obs: DataFrame, before: Control, now: Control) -> None:
         """Batch statistics, the new budget and the new watermark."""
         carried = F.lit(before.max_time).cast("long")
         top = F.greatest("max_before", carried)
-        obs = arrival_lateness(batch).withColumn(
+        obs = obs.withColumn(
             "lateness",
             F.greatest(F.coalesce(top - F.col("event_time"), F.lit(0)), F.lit(0)),
         )
