@@ -66,6 +66,7 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
             continue
         feature = int(rng.choice(usable))
         cut = float(rng.uniform(low[feature], high[feature]))
+        cut = min(cut, float(np.nextafter(high[feature], low[feature])))
         goes_left = here[:, feature] <= cut
         nodes.append([tree, me, feature, cut, -1, -1, float(depth)])
         todo.append((rows[~goes_left], depth + 1, (me, 5)))
