@@ -153,38 +153,15 @@ def index_file_rows(df: DataFrame, name: str = "n", per_file: bool = False) -> D
     splits = numbered.groupBy("_file", "_split").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first")
     )
-    per_file = splits.groupBy("_file").agg(F.sum("_rows").alias("_file_rows"))
-    earlier = Window.unboundedPreceding, -1
-    files = per_file.select(
-        "_file",
-        F.coalesce(
-            F.sum("_file_rows").over(Window.orderBy("_file").rowsBetween(*earlier)), F.lit(0)
-        ).alias("_file_offset"),
-    )
-    offsets = (
-        splits.withColumn(
-            "_split_offset",
-            F.coalesce(
-                F.sum("_rows").over(
-                    Window.partitionBy("_file").orderBy("_split").rowsBetween(*earlier)
-                ),
-                F.lit(0),
-            ),
-        )
-        .join(files, "_file")
-        .select(
-            "_file",
-            "_split",
-            (
-                (F.lit(0) if per_file else F.col("_file_offset"))
-                + F.col("_split_offset")
-                - F.col("_first")
-            ).alias("_shift"),
-        )
+    # One row per file split: a petabyte in 128 MB splits makes eight million.
+    line = Window.partitionBy("_file") if per_file else Window.partitionBy()
+    earlier = line.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    offsets = splits.select(
+        "_file", "_split", (before - F.col("_first") + 1).alias("_shift")
     )
     return numbered.join(offsets, ["_file", "_split"]).select(
-        *[c for c in df.columns],
-        (F.col("_id") + F.col("_shift") + 1).alias(name),
+        *df.columns, (F.col("_id") + F.col("_shift")).alias(name)
     )
 
 

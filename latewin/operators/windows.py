@@ -11,6 +11,8 @@ from latewin.schema import RESULT_KEYS, WindowConfig
 
 KEYS = ("device_id", "sensor")
 PARTIALS = ("count", "sum", "min", "max")
+# Panes per stretch of time, at least those of one window.
+STRETCH_PANES = 4096
 
 _COMBINE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "f": F.min}
 
@@ -61,9 +63,10 @@ def window_partials(
 
     Events are first reduced to panes, so a hot series shrinks to one row per
     pane before it meets the window expansion. The panes are then spread by
-    series only, which puts all windows of a series in one place and makes the
-    second aggregation shuffle-free; a series holds one row per pane of time,
-    however many events it has.
+    series and stretch of time, which puts all panes of a window in one place and
+    makes the second aggregation shuffle-free. A pane whose windows reach into
+    the stretch before is sent to both, so a stretch never holds more than
+    STRETCH_PANES panes and one window's worth of a series, however many events.
 
     ``first`` names an arrival index whose minimum per window is kept as ``f``.
     """
@@ -73,10 +76,20 @@ def window_partials(
     panes = df.groupBy(pane_of(F.col(ts), cfg.slide).alias("start"), *keys).agg(*aggregates)
     if cfg.window == cfg.slide:
         return panes.select("start", *keys, *columns)
-    spread = panes.repartition(*keys).withColumn(
-        "start", F.explode(window_starts(F.col("start"), cfg))
+    length = cfg.slide * max(STRETCH_PANES, cfg.window // cfg.slide)
+    pane = F.col("start")
+    touched = F.array_distinct(
+        F.array(
+            F.floor((pane - (cfg.window - cfg.slide)) / length), F.floor(pane / length)
+        )
+    )
+    spread = (
+        panes.withColumn("_stretch", F.explode(touched))
+        .repartition(*keys, "_stretch")
+        .withColumn("start", F.explode(window_starts(pane, cfg)))
+        .filter(F.floor(F.col("start") / length) == F.col("_stretch"))
     )
-    return combine(spread, ["start", *keys], columns)
+    return combine(spread, ["_stretch", "start", *keys], columns).drop("_stretch")
 
 
 def merge_partials(
