@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -91,8 +92,8 @@ class Matrix:
         named: dict[int, list[str]] = {}
         for name, run in self.runs.items():
             named.setdefault(id(run), []).append(name)
-        parts = []
-        for names in named.values():
+
+        def rows_of(names: list[str]) -> DataFrame:
             run = self.runs[names[0]]
             start = time.monotonic()
             result = run.result
@@ -126,7 +127,11 @@ class Matrix:
                 ),
             )
             # A handful of rows; stored so that the union stays a scan of small files.
-            parts.append(stage(rows.coalesce(1), "summary"))
+            return stage(rows.coalesce(1), "summary")
+
+        # The runs are independent jobs; only timed ones have the cluster to themselves.
+        with ThreadPoolExecutor(1 if measure else 4) as pool:
+            parts = list(pool.map(rows_of, named.values()))
         return _union(parts).select(*SUMMARY)
 
     def ordering(self) -> DataFrame:
