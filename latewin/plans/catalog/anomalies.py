@@ -13,7 +13,7 @@ from latewin.plans.catalog import sql as s
 from latewin.plans.catalog.registry import query
 
 W = b.WINDOW
-ROWS = f"{s.EV}, {s.pairs(W, 'ev')}, rows AS ({s.agg(places=9)})"
+ROWS = f"{s.EV}, {s.pairs(W, 'ev')}, rows AS ({s.agg(places=None)})"
 
 
 def rows(spark, d):
@@ -23,16 +23,16 @@ def rows(spark, d):
 @query(
     "window_features",
     f"""WITH {ROWS} SELECT start, "DeviceId", "Sensor", CAST(count AS DOUBLE) AS count,
-    round(sum, 6) AS sum, round(avg, 6) AS avg, min, max, round(max - min, 6) AS val_range,
+    round(sum, 6) AS sum, round(avg, 8) AS avg, min, max, round(max - min, 6) AS val_range,
     round((avg - min) / (max - min + 1e-6), 6) AS avg_ratio,
     CAST((start // 3600) % 24 AS DOUBLE) AS window_hour,
     CAST((start // 60) % 60 AS DOUBLE) AS window_minute,
-    round(coalesce(avg - lag(avg) OVER (PARTITION BY "DeviceId", "Sensor" ORDER BY start), 0.0), 5)
+    round(coalesce(avg - lag(avg) OVER (PARTITION BY "DeviceId", "Sensor" ORDER BY start), 0.0), 8)
       AS lag_avg_diff FROM rows""",
 )
 def features(spark, d):
     out = window_features(rows(spark, d))
-    places = {"sum": 6, "avg": 6, "val_range": 6, "avg_ratio": 6, "lag_avg_diff": 5}
+    places = {"sum": 6, "avg": 8, "val_range": 6, "avg_ratio": 6, "lag_avg_diff": 8}
     return out.withColumns({c: F.round(c, k) for c, k in places.items()})
 
 

@@ -119,12 +119,16 @@ def pairs(cfg: WindowConfig = WINDOW, source: str = "timed") -> str:
 
 
 def agg(
-    cfg: WindowConfig = WINDOW, by: str = "", source: str = "pairs", places: int = 6
+    cfg: WindowConfig = WINDOW, by: str = "", source: str = "pairs", places: int | None = 6
 ) -> str:
     """SELECT of result rows over pairs."""
+
+    def fixed(e: str) -> str:
+        return e if places is None else f"round({e}, {places})"
+
     return f"""SELECT {_lead(by)}start, start + {cfg.window} AS "end", device_id AS "DeviceId",
-  sensor AS "Sensor", count(*) AS count, round(sum(value), {places}) AS sum,
-  round(sum(value) / count(*), {places}) AS avg, min(value) AS min, max(value) AS max
+  sensor AS "Sensor", count(*) AS count, {fixed("sum(value)")} AS sum,
+  {fixed("sum(value) / count(*)")} AS avg, min(value) AS min, max(value) AS max
   FROM {source} GROUP BY {_lead(by)}start, device_id, sensor"""
 
 
