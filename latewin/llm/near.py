@@ -12,11 +12,15 @@ the first k - 15 + 1 are indexed: two sketches that share 15 values share one of
 those. Values retained by one class link nothing but take up places, which
 keeps widely shared passages out of the index.
 
-Hot values. A list of the index is never expanded into all its pairs. First
-each list links its members to its least member only. Links confirmed so far
-give components; then a list needs only pairs of *different* components, of which
-at least one member lies outside the list's largest component. All of these
-are examined, so no link between components is missed.
+Hot values. A list of the index is never expanded into all its pairs. First each list
+links its members to its head only, the member with the fewest values of its own.
+Links confirmed so far give components. Texts in lists that still span several
+components go on with their *full* sets: a value that no other of these texts has
+cannot be shared, so the size of the rest bounds every similarity exactly. Members that
+no member of a list can match are taken off it; heads are linked again; then pairs of
+different components are examined, all of them but those that the bound excludes. So no
+link between components is missed, and a large group of loose copies is not paired
+with itself.
 
 A candidate must have sizes within the threshold and an estimate, from the sketch
 of the union, of at least 15 / k; what passes is confirmed on full sets.
@@ -54,7 +58,7 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sketch array<long>; null text as empty."""
+    """doc_id, text_hash, n_shingles, digest of the set, sketch; null text as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,33 +68,67 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
                 digest[i] = _digest(values) if len(values) else b""
                 sketch[i] = values[:k].view(np.int64)
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n_shingles": n, "digest": digest, "sketch": sketch}
+                {
+                    "doc_id": batch["doc_id"],
+                    "text_hash": batch["text_hash"],
+                    "n_shingles": n,
+                    "digest": digest,
+                    "sketch": sketch,
+                }
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_shingles long, digest binary, sketch array<bigint>"
+    return docs.select(
+        "doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")
+    ).mapInPandas(
+        run,
+        f"doc_id {kind}, text_hash long, n_shingles long, digest binary, sketch array<bigint>",
     )
 
 
-def _index(classes: DataFrame, k: int, shared: int, percent: int) -> DataFrame:
-    """(value, node) for the rarest values of every sketch, unshared values left out."""
-    values = classes.select("node", "n_shingles", F.explode("sketch").alias("value"))
+def _index(values: DataFrame, retained: Column, needed: Column) -> DataFrame:
+    """(value, node, n_shingles, alone) for the rarest retained values of every node.
+
+    ``values`` has node, n_shingles and value. Two nodes that can be linked share at
+    least ``needed`` of their ``retained`` values. ``alone`` counts the values no other
+    node retains; they come first in the order but are left out of the lists.
+    """
     spread = values.groupBy("value").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
-    # A set within the sketch must share percent % of itself, a larger one `shared`.
-    needed = F.least(F.ceil(F.col("n_shingles") * percent / 100), F.lit(shared))
-    places = F.least("n_shingles", F.lit(k)) - needed + 1
     seen = (
         values.join(spread, "value")
         .groupBy("node", "n_shingles")
         .agg(F.sort_array(F.collect_list(F.struct("spread", "value"))).alias("seen"))
+        .withColumn("alone", retained - F.size("seen"))
     )
-    # Values of one class come first in the order; the rest follow by spread.
-    alone = F.least("n_shingles", F.lit(k)) - F.size("seen")
-    room = F.greatest(places - alone, F.lit(0)).cast("int")
-    return seen.select("node", F.explode(F.slice("seen", F.lit(1), room)).alias("s")).select(
-        F.col("s.value").alias("value"), "node"
+    room = F.greatest(retained - needed + 1 - F.col("alone"), F.lit(0)).cast("int")
+    return seen.select(
+        "node", "n_shingles", "alone", F.explode(F.slice("seen", F.lit(1), room)).alias("s")
+    ).select(F.col("s.value").alias("value"), "node", "n_shingles", "alone")
+
+
+def _sketch_index(classes: DataFrame, k: int, shared: int, percent: int) -> DataFrame:
+    values = classes.select("node", "n_shingles", F.explode("sketch").alias("value"))
+    # A set within the sketch must share percent % of itself, a larger one `shared`.
+    needed = F.least(F.ceil(F.col("n_shingles") * percent / 100), F.lit(shared))
+    return _index(values, F.least("n_shingles", F.lit(k)), needed)
+
+
+def _full_index(texts: DataFrame, percent: int) -> DataFrame:
+    """The index over full sets of the given (node, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes = batch["node"].to_numpy()
+            for i, values in _sets(batch["text"]):
+                yield pd.DataFrame(
+                    {"node": nodes[i], "n_shingles": len(values), "value": values.view(np.int64)}
+                )
+
+    values = texts.select("node", "text").mapInPandas(
+        run, "node long, n_shingles long, value long"
     )
+    n = F.col("n_shingles")
+    return _index(values, n, F.ceil(n * percent / 100))
 
 
 def _shared_estimate(k: int) -> Column:
@@ -138,36 +176,56 @@ def _confirmed(
                 good.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.loc[good, ["u", "v"]]
 
-    return full.select("u", "v", "text_u", "text_v").mapInPandas(run, "u binary, v binary")
+    return full.select("u", "v", "text_u", "text_v").mapInPandas(run, "u long, v long")
 
 
-def _lists(index: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The index with the component of every node; its own node without links."""
+def _open_lists(index: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The lists that span several components, each member with its component's root."""
     if roots is None:
         return index.withColumn("root", F.col("node"))
-    return index.join(roots, "node", "left").select(
-        "value", "node", F.coalesce("root", "node").alias("root")
+    rooted = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = (
+        rooted.groupBy("value")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low < high")
+        .select("value")
     )
+    return rooted.join(several, "value", "left_semi")
 
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
-    """Each list's least member with the members outside its component."""
-    least = lists.groupBy("value").agg(
-        F.min("node").alias("head"), F.min_by("root", "node").alias("head_root")
-    )
+def _possible(lists: DataFrame, percent: int) -> DataFrame:
+    """Members that the smallest set of their list leaves a chance.
+
+    With c shareable values a set of size n reaches percent % against a set of size m only
+    if (100 + percent) * c >= percent * (n + m).
+    """
+    least = lists.groupBy("value").agg(F.min("n_shingles").alias("least_n"))
+    common = F.col("n_shingles") - F.col("alone")
     return (
         lists.join(least, "value")
+        .where(common * (100 + percent) >= (F.col("n_shingles") + F.col("least_n")) * percent)
+        .drop("least_n")
+    )
+
+
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """Each list's head with the members outside its component."""
+    heads = lists.groupBy("value").agg(
+        F.min(F.struct("alone", "node", "root")).alias("head")
+    ).select("value", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"))
+    return (
+        lists.join(heads, "value")
         .where("root <> head_root")
-        .select(F.col("head").alias("u"), F.col("node").alias("v"))
+        .select(F.least("head", "node").alias("u"), F.greatest("head", "node").alias("v"))
         .distinct()
     )
 
 
-def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of a list that lie in different components.
+def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list in different components that their full sets leave a chance.
 
-    One side is taken outside the list's largest component, so the members of a
-    large group of copies, already connected, are not paired with each other.
+    One side is taken outside the list's largest component, so members already
+    connected are not paired with each other.
     """
     parts = lists.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
     heads = (
@@ -176,15 +234,21 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
         .where("parts > 1")
         .select("value", F.col("top.root").alias("top"))
     )
-    open_lists = lists.join(heads, "value")
+    open_lists = lists.join(heads, "value").withColumn(
+        "common", F.col("n_shingles") - F.col("alone")
+    )
     outside = open_lists.where("root <> top").select(
-        "value", F.col("node").alias("a"), F.col("root").alias("root_a")
+        "value", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n_shingles", "common")]
     )
-    every = open_lists.select("value", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    every = open_lists.select(
+        "value", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n_shingles", "common")]
+    )
+    common = F.least("common_a", "common_b")
     return (
         outside.join(every, "value")
         .where("root_a <> root_b")
-        .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        .where(common * (100 + percent) >= (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent)
+        .select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
         .distinct()
     )
 
@@ -201,44 +265,59 @@ def near_duplicates(
     component are null. ``shared`` must fit ``k`` and ``percent`` (see the module text).
     """
     rows = stage(sketches(docs, k), "sketches")
+    # Numbers given while the table is written hold for all that read it.
     classes = stage(
         rows.where("n_shingles > 0")
-        .groupBy(F.col("digest").alias("node"))
+        .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("least_id"),
+            F.min(
+                F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+            ).alias("least"),
             F.max("n_shingles").alias("n_shingles"),
             F.first("sketch").alias("sketch"),
+        )
+        .select(
+            F.monotonically_increasing_id().alias("node"),
+            "digest",
+            F.col("least.doc_id").alias("least_id"),
+            F.col("least.text_hash").alias("text_hash"),
+            "n_shingles",
+            "sketch",
         ),
         "classes",
     )
-    index = stage(_index(classes, k, shared, percent), "index")
+    index = stage(_sketch_index(classes, k, shared, percent), "index")
     # One text stands for a class: the one of its least doc_id.
-    of_class = rows.where("n_shingles > 0").select("doc_id", F.col("digest").alias("node"))
+    indexed = index.select("node").distinct()
+    chosen = classes.join(indexed, "node", "left_semi").select(
+        "node", F.col("least_id").alias("_least"), "text_hash"
+    )
+    own = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = (
-        docs.select("doc_id", text_of().alias("text"))
-        .join(
-            of_class.join(
-                index.select("node").distinct(), "node", "left_semi"
-            ).join(classes.select("node", "least_id"), "node")
-            .where(F.col("doc_id").eqNullSafe(F.col("least_id")))
-            .select("node", "doc_id")
-            .distinct(),
-            "doc_id",
-        )
+        own.join(chosen, "text_hash")
+        .where(F.col("doc_id").eqNullSafe(F.col("_least")))
         .select("node", "text")
+        .dropDuplicates(["node"])
     )
-    links, roots = None, None
-    for step in (_star_pairs, _star_pairs, _cross_pairs):
-        pairs = stage(step(_lists(index, roots)), "pairs")
-        found = stage(_confirmed(pairs, classes, texts, k, shared, percent), "links")
-        links = found if links is None else links.union(found)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        found = _confirmed(stage(pairs, "pairs"), classes, texts, k, shared, percent)
+        return stage(found, "links")
+
+    links = confirmed(_star_pairs(_open_lists(index, None)))
+    roots = stage(components(links), "roots")
+    still = _open_lists(index, roots).select("node").distinct()
+    full = stage(_full_index(texts.join(still, "node", "left_semi"), percent), "full")
+    for step in (_star_pairs, lambda lists: _cross_pairs(lists, percent)):
+        lists = _possible(_open_lists(full, roots), percent)
+        links = links.union(confirmed(step(lists)))
         roots = stage(components(links), "roots")
     groups = roots.join(classes.select(F.col("node"), "least_id"), "node")
     smallest = groups.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = (
-        classes.select("node", "least_id")
+        classes.select("node", "digest", "least_id")
         .join(groups.join(smallest, "root").select("node", "component_id"), "node", "left")
-        .select(F.col("node").alias("digest"), F.coalesce("component_id", "least_id").alias("class_id"))
+        .select("digest", F.coalesce("component_id", "least_id").alias("class_id"))
     )
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id"))
     return (
