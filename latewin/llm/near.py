@@ -161,7 +161,7 @@ def _confirmed(
         "likely",
     )
     wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-    chosen = stage(texts.join(wanted, "node", "left_semi"), "texts")
+    chosen = texts.join(wanted, "node", "left_semi")
     full = likely.join(chosen.withColumnsRenamed({"node": "u", "text": "text_u"}), "u").join(
         chosen.withColumnsRenamed({"node": "v", "text": "text_v"}), "v"
     )
@@ -293,11 +293,13 @@ def near_duplicates(
         "node", F.col("least_id").alias("_least"), "text_hash"
     )
     own = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = (
+    # Moved once; every later step reads these few texts.
+    texts = stage(
         own.join(chosen, "text_hash")
         .where(F.col("doc_id").eqNullSafe(F.col("_least")))
         .select("node", "text")
-        .dropDuplicates(["node"])
+        .dropDuplicates(["node"]),
+        "texts",
     )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
