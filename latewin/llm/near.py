@@ -87,11 +87,12 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def _index(values: DataFrame, retained: Column, needed: Column) -> DataFrame:
-    """(value, node, n_shingles, alone) for the rarest retained values of every node.
+    """(value, place, node, n_shingles, alone) for the rarest retained values of a node.
 
     ``values`` has node, n_shingles and value. Two nodes that can be linked share at
     least ``needed`` of their ``retained`` values. ``alone`` counts the values no other
-    node retains; they come first in the order but are left out of the lists.
+    node retains; they come first in the order but are left out of the lists. ``place``
+    counts from 1.
     """
     spread = values.groupBy("value").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
     seen = (
@@ -102,8 +103,14 @@ def _index(values: DataFrame, retained: Column, needed: Column) -> DataFrame:
     )
     room = F.greatest(retained - needed + 1 - F.col("alone"), F.lit(0)).cast("int")
     return seen.select(
-        "node", "n_shingles", "alone", F.explode(F.slice("seen", F.lit(1), room)).alias("s")
-    ).select(F.col("s.value").alias("value"), "node", "n_shingles", "alone")
+        "node", "n_shingles", "alone", F.posexplode(F.slice("seen", F.lit(1), room)).alias("at", "s")
+    ).select(
+        F.col("s.value").alias("value"),
+        (F.col("alone") + F.col("at") + 1).alias("place"),
+        "node",
+        "n_shingles",
+        "alone",
+    )
 
 
 def _sketch_index(classes: DataFrame, k: int, shared: int, percent: int) -> DataFrame:
@@ -137,10 +144,10 @@ def _shared_estimate(k: int) -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, "sketch_u"), "sketch_v"))
 
 
-def _confirmed(
-    pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, shared: int, percent: int
+def _likely(
+    pairs: DataFrame, classes: DataFrame, k: int, shared: int, percent: int
 ) -> DataFrame:
-    """Pairs (u, v) of classes whose full sets reach the threshold."""
+    """Pairs whose sizes and sketches leave a chance."""
     side = {
         s: classes.select(
             F.col("node").alias(s),
@@ -152,14 +159,17 @@ def _confirmed(
     small, large = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
     # Below k the union's sketch is the whole union, and the sets decide.
     enough = F.when(small < k, F.lit(1)).otherwise(F.lit(shared))
-    likely = stage(
+    return (
         pairs.join(side["u"], "u")
         .join(side["v"], "v")
         .where(small * 100 >= large * percent)
         .where(_shared_estimate(k) >= enough)
-        .select("u", "v"),
-        "likely",
+        .select("u", "v")
     )
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes whose full sets reach the threshold."""
     wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
     chosen = texts.join(wanted, "node", "left_semi")
     full = likely.join(chosen.withColumnsRenamed({"node": "u", "text": "text_u"}), "u").join(
@@ -237,17 +247,20 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     open_lists = lists.join(heads, "value").withColumn(
         "common", F.col("n_shingles") - F.col("alone")
     )
+    carried = ("node", "root", "n_shingles", "common", "place")
     outside = open_lists.where("root <> top").select(
-        "value", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n_shingles", "common")]
-    )
-    every = open_lists.select(
-        "value", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n_shingles", "common")]
+        "value", *[F.col(c).alias(f"{c}_a") for c in carried]
     )
-    common = F.least("common_a", "common_b")
+    every = open_lists.select("value", *[F.col(c).alias(f"{c}_b") for c in carried])
+    both = F.col("n_shingles_a") + F.col("n_shingles_b")
+    shared = F.ceil(both * percent / (100 + percent))
     return (
         outside.join(every, "value")
         .where("root_a <> root_b")
-        .where(common * (100 + percent) >= (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent)
+        .where(F.least("common_a", "common_b") >= shared)
+        # Two sets that share so many values share one among the first n - shared + 1 of both.
+        .where(F.col("place_a") <= F.col("n_shingles_a") - shared + 1)
+        .where(F.col("place_b") <= F.col("n_shingles_b") - shared + 1)
         .select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
         .distinct()
     )
@@ -302,18 +315,23 @@ def near_duplicates(
         "texts",
     )
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        found = _confirmed(stage(pairs, "pairs"), classes, texts, k, shared, percent)
-        return stage(found, "links")
+    def confirmed(pairs: DataFrame, estimate: bool = True) -> DataFrame:
+        pairs = stage(pairs, "pairs")
+        if estimate:
+            pairs = stage(_likely(pairs, classes, k, shared, percent), "likely")
+        return stage(_confirmed(pairs, texts, percent), "links")
 
     links = confirmed(_star_pairs(_open_lists(index, None)))
     roots = stage(components(links), "roots")
     still = _open_lists(index, roots).select("node").distinct()
     full = stage(_full_index(texts.join(still, "node", "left_semi"), percent), "full")
-    for step in (_star_pairs, lambda lists: _cross_pairs(lists, percent)):
-        lists = _possible(_open_lists(full, roots), percent)
-        links = links.union(confirmed(step(lists)))
-        roots = stage(components(links), "roots")
+    lists = _possible(_open_lists(full, roots), percent)
+    links = links.union(confirmed(_star_pairs(lists)))
+    roots = stage(components(links), "roots")
+    # What the bounds over full sets let pass is beyond the power of the sketches.
+    lists = _possible(_open_lists(full, roots), percent)
+    links = links.union(confirmed(_cross_pairs(lists, percent), estimate=False))
+    roots = stage(components(links), "roots")
     groups = roots.join(classes.select(F.col("node"), "least_id"), "node")
     smallest = groups.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = (
