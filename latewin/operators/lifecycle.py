@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latewin.operators.lateness import over_budget
@@ -482,9 +482,12 @@ def surviving_partials(
 
 
 def finalization_audit(
-    timed: DataFrame, keys: DataFrame, cap: int = 2000, by: Sequence[str] = ()
+    timed: DataFrame, keys: DataFrame, cap: int | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Watermark and budget at which keys were archived, earliest first."""
+    """Watermark and budget at which keys were archived.
+
+    All of them, or with ``cap`` the earliest ``cap`` of every ``by``.
+    """
     by = list(by)
     moments = timed.select(
         *by,
@@ -492,13 +495,13 @@ def finalization_audit(
         F.col("watermark").alias("finalized_at_watermark"),
         F.col("budget").alias("budget_seconds"),
     )
-    first = (
-        keys.filter("archived is not null")
-        .orderBy("archived", "start", *KEYS)
-        .limit(cap)
-        if not by
-        else keys.filter("archived is not null")
-    )
+    first = keys.filter("archived is not null")
+    order = ["archived", "start", *KEYS]
+    if cap is not None and by:
+        ranked = Window.partitionBy(*by).orderBy(*order)
+        first = first.withColumn("_nth", F.row_number().over(ranked)).filter(F.col("_nth") <= cap)
+    elif cap is not None:
+        first = first.orderBy(*order).limit(cap)
     return first.join(moments, [*by, "archived"]).select(
         *by,
         "start",

@@ -6,31 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
-GATHER = 20_000
 
 
-def _neighbours(df: DataFrame, rank: int, rows: int, low: float, high: float):
+def _neighbours(df: DataFrame, rank: int, low: float, high: float):
     """The values at 0-based ranks ``rank`` and ``rank + 1`` of column v, by narrowing.
 
     Each round counts the current range in at most BINS bins and descends into
     the bin that holds both ranks. When they fall into different bins, the first
-    is the maximum of its bin and the second the minimum of the next. A range of
-    few rows is read off value by value, equal values folded with their number.
+    is the maximum of its bin and the second the minimum of the next. A range too
+    narrow to be cut holds a few neighbouring doubles, which are counted one by one.
     """
     v = F.col("v")
     while low < high:
-        if rows <= GATHER:
+        # Divided before the difference is taken, which may lie beyond the doubles.
+        width = high / BINS - low / BINS
+        if low + width == low or high - width == high:
             folded = df.groupBy("v").count().orderBy("v").collect()
             values = [(r.v, r["count"]) for r in folded]
-        else:
-            width = (high - low) / BINS
-            if low + width == low:
-                # Neighbouring doubles: few distinct values are left.
-                folded = df.groupBy("v").count().orderBy("v").collect()
-                values = [(r.v, r["count"]) for r in folded]
-            else:
-                values = None
-        if values is not None:
             found = []
             for wanted in (rank, rank + 1):
                 left = wanted
@@ -56,7 +48,7 @@ def _neighbours(df: DataFrame, rank: int, rows: int, low: float, high: float):
             after = bins[at + 1].low if at + 1 < len(bins) else here.high
             return here.high, after
         df = df.filter((v >= F.lit(here.low)) & (v <= F.lit(here.high)))
-        rows, low, high = here.rows, here.low, here.high
+        low, high = here.low, here.high
     return low, high
 
 
@@ -68,5 +60,5 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
         return None
     position = (rows - 1) * q
     below = int(position)
-    first, second = _neighbours(values, below, rows, low, high)
+    first, second = _neighbours(values, below, low, high)
     return first if below == position else first + (second - first) * (position - below)

@@ -95,8 +95,7 @@ def classify_pairs(spark, d):
 
 @query(
     "finalization_audit",
-    f"""WITH {FULL}, firsts AS (SELECT * FROM keys WHERE archived IS NOT NULL
-      ORDER BY archived, start, device_id, sensor LIMIT 2000)
+    f"""WITH {FULL}, firsts AS (SELECT * FROM keys WHERE archived IS NOT NULL)
     SELECT start, "end", k.device_id, k.sensor, archived,
     watermark AS finalized_at_watermark, budget AS budget_seconds
     FROM firsts k JOIN timed t ON t.n = k.archived""",
@@ -396,7 +395,7 @@ def _snapshot_sql(chain: str) -> str:
     (SELECT count(*) FROM timed WHERE lateness > budget) AS over_budget_events,
     frozen AS frozen_emissions,
     (SELECT count(*) FROM categorized WHERE category = 'C') AS late_after_eviction,
-    frozen AS frozen_keys_size, least(finalized_windows, 2000) AS finalization_audit_records,
+    frozen AS frozen_keys_size, finalized_windows AS finalization_audit_records,
     keys AS total_keys FROM totals, peaks"""
 
 

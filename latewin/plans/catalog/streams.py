@@ -37,11 +37,7 @@ def stream_window_full(spark, d):
     return _round(run_full_retention(_stream(spark, d), W))
 
 
-@query(
-    "stream_window_fixed",
-    f"""WITH {s.arr()}, {s.pairs(W, "arr")}, rows AS ({s.agg()})
-    SELECT * FROM rows WHERE "end" <= (SELECT max(event_time) FROM arr) - {DELAY}""",
-)
+@query("stream_window_fixed", PLAIN)
 def stream_window_fixed(spark, d):
     return _round(run_fixed_lateness(_stream(spark, d), DELAY, W))
 
@@ -65,6 +61,27 @@ def stream_adaptive_union(spark, d):
     return _round(run_adaptive(_stream(spark, d), controller))
 
 
+@query("stream_adaptive_resume", PLAIN)
+def stream_adaptive_resume(spark, d):
+    """The same in two runs from one checkpoint, each finished; the second goes on."""
+    path, checkpoint = scratch_dir(spark, "replay"), scratch_dir(spark, "adaptive-checkpoint")
+    controller = AdaptiveStream(
+        spark,
+        scratch_dir(spark, "adaptive"),
+        W,
+        b.LATENESS,
+        GuardConfig("fixed", DELAY),
+        drop_late_after_eviction=False,
+    )
+    events = b.arrivals(spark, d).select("n", "event_time", "device_id", "sensor", "value")
+    half = events.count() // 2
+    for part in (F.col("n") <= half, F.col("n") > half):
+        events.filter(part).write.mode("append").parquet(path)
+        source = spark.readStream.schema(events.schema).parquet(path)
+        rows = run_adaptive(source, controller, checkpoint)
+    return _round(rows)
+
+
 @query("stream_adaptive_report")
 def stream_adaptive_report(spark, d):
     """Counters per state version; they depend on how the stream is cut into batches."""

@@ -18,9 +18,6 @@ from latewin.plans import mechanisms as m
 from latewin.schema import Mechanism, WindowConfig
 from latewin.session import stage
 
-# At 40 bytes a row this stays below Spark's default broadcast threshold of 10 MB.
-SMALL_ROWS = 200_000
-
 
 class Run:
     """Tables of a run, each built once on first use.
@@ -54,19 +51,12 @@ class Run:
 
     @cached_property
     def timed(self) -> DataFrame:
-        """Observations with budget and watermark.
-
-        A budget table of proven small size is joined on the fly wherever the
-        columns are needed; beyond that the joined table is stored once.
-        """
+        """Observations with budget and watermark, stored once for all that read them."""
         if self.mech.budget != "adaptive":
             return m.with_watermark(self.obs, self.mech, self.by)
         policy = self.mech.lateness
         budgets = stage(adaptive_budget(self.obs, policy, self.by), "budgets")
-        timed = adaptive_watermark(self.obs, budgets, policy, self.by)
-        if budgets.count() <= SMALL_ROWS:
-            return timed
-        return stage(timed, "timed")
+        return stage(adaptive_watermark(self.obs, budgets, policy, self.by), "timed")
 
     @cached_property
     def cycles(self) -> DataFrame | None:

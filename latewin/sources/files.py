@@ -36,7 +36,8 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def _numbered_lines(spark: SparkSession, path: str, located: bool = False) -> DataFrame:
+    """(value, line); with ``located`` the file's name as _file too."""
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
         .text(path)
@@ -46,7 +47,36 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("_split"),
         )
     )
-    return index_file_rows(lines, "line", per_file=True)
+    return index_file_rows(lines, "line", per_file=True).drop(*([] if located else ["_file"]))
+
+
+def _header_cells(spark: SparkSession, line: str) -> list[str]:
+    """Cells of a header line, read as CSV like every other line."""
+    width = line.count(",") + 1
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    row = spark.createDataFrame([(line,)], "value string").select(
+        F.from_csv("value", schema).alias("r")
+    ).first()[0]
+    return [c.strip() for c in row if c is not None]
+
+
+def require_plain_lines(spark: SparkSession, path: str) -> None:
+    """Raise, with file and line, where line-wise reading would lose or swap cells.
+
+    That is a quoted cell with a line break, and a file whose header differs from the
+    first file's.
+    """
+    lines = _numbered_lines(spark, path, located=True)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = lines.filter(quotes % 2 == 1).orderBy("_file", "line").first()
+    if odd:
+        raise ValueError(f"{odd._file}, line {odd.line}: a quoted cell goes over the end of the line")
+    # One row per file, compared by Spark; only the first that differs comes back.
+    heads = lines.filter("line = 1")
+    first = heads.orderBy("_file").first()
+    other = heads.filter(F.trim("value") != first.value.strip()).orderBy("_file").first() if first else None
+    if other:
+        raise ValueError(f"{other._file}: its header {other.value!r} differs from {first.value!r}")
 
 
 def _cells(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,6 +92,7 @@ def checked_csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every data line of the CSV with its line number and reject reason."""
     columns = read_raw_csv(spark, path).columns
     resolve_columns(columns)
+    require_plain_lines(spark, path)
     return validate_rows(_cells(_numbered_lines(spark, path), columns), carry=["line"])
 
 
@@ -75,6 +106,7 @@ def read_arrival_csv(spark: SparkSession, path: str, strict: bool = True) -> Dat
     """
     raw = read_raw_csv(spark, path)
     resolve_columns(raw.columns)
+    require_plain_lines(spark, path)
     located = raw.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
@@ -101,7 +133,10 @@ def read_arrival_text(
     if not text.strip():
         raise ValueError("CSV is empty")
     lines = text.splitlines()
-    header = [h.strip() for h in lines[0].split(",")]
+    for number, line in enumerate(lines, 1):
+        if line.count('"') % 2:
+            raise ValueError(f"line {number}: a quoted cell goes over the end of the line")
+    header = _header_cells(spark, lines[0])
     if not any(header):
         raise ValueError("CSV has an empty header row")
     resolve_columns(header)

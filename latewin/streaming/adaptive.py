@@ -6,8 +6,12 @@ Every micro-batch turns state version b-1 into version b:
     root/control/version=b/control.json           the scalars, written last
 
 A version counts once its control file exists. A batch that is run again either
-finds its control file and does nothing, or overwrites its unfinished version.
-The final rows of all versions together are the append-only result.
+finds its control file and does nothing, or overwrites its unfinished version. A
+batch that carries a committed number but other rows raises. The final rows of all
+versions together are the append-only result.
+
+The last release cycle of a run is a view of its own below root/closing; it takes no
+version, so the stream can be resumed with the next batch.
 """
 
 from __future__ import annotations
@@ -61,6 +65,8 @@ class Control:
     peak_total: int = 0
     lateness: list = field(default_factory=list)
     out_of_order: list = field(default_factory=list)
+    #: Rows, least and greatest arrival number, and sum of times of the batch itself.
+    batch: list = field(default_factory=list)
 
 
 class AdaptiveStream:
@@ -80,6 +86,7 @@ class AdaptiveStream:
         self.cfg, self.lateness, self.guard = cfg, lateness, guard
         self.cycle_batches = cycle_batches
         self.drop_late = drop_late_after_eviction
+        self.closing: Control | None = None
 
     # -- versions -------------------------------------------------------------
 
@@ -99,10 +106,11 @@ class AdaptiveStream:
 
     def last_version(self) -> int:
         names = child_names(self.spark, f"{self.root}/control")
-        versions = [int(n.split("=")[1]) for n in names]
-        return max(
-            (v for v in versions if path_exists(self.spark, self._control_path(v))), default=-1
-        )
+        # Only the newest folders can lack their file, so few are asked for.
+        for version in sorted((int(n.split("=")[1]) for n in names), reverse=True):
+            if path_exists(self.spark, self._control_path(version)):
+                return version
+        return -1
 
     def _commit(self, control: Control) -> None:
         text = json.dumps(asdict(control))
@@ -115,6 +123,14 @@ class AdaptiveStream:
         rows = self.spark.read.schema(_STATE).parquet(self._state_path(version))
         return rows.filter(F.col("tier").isin("hot", "archive"))
 
+    @staticmethod
+    def _signature(batch: DataFrame) -> list:
+        return list(
+            batch.agg(
+                F.count(F.lit(1)), F.min("n"), F.max("n"), F.sum(F.col("event_time").cast("long"))
+            ).first()
+        )
+
     def final(self, through: int) -> DataFrame:
         """Released summaries of all versions up to ``through``."""
         if through < 0 or not path_exists(self.spark, f"{self.root}/state"):
@@ -128,10 +144,16 @@ class AdaptiveStream:
 
     def __call__(self, batch: DataFrame, version: int) -> None:
         self.spark = batch.sparkSession
+        signature = self._signature(batch)
         if path_exists(self.spark, self._control_path(version)):
+            committed = self.control(version).batch
+            if committed != signature:
+                raise RuntimeError(
+                    f"batch {version} is committed with {committed} and came again as {signature}"
+                )
             return
         before = self.control(version - 1)
-        now = Control(**{**asdict(before), "version": version})
+        now = Control(**{**asdict(before), "version": version, "batch": signature})
         # Recomputed from the source if an executor is lost with its part of it.
         obs = arrival_lateness(batch).persist()
         try:
@@ -141,7 +163,7 @@ class AdaptiveStream:
                 partials = window_partials(obs, self.cfg).withColumn(
                     "end", F.col("start") + self.cfg.window
                 )
-                self._advance(partials, before, now, release)
+                self._advance(partials, before, now, release, self._state_path(version))
             self._commit(now)
         finally:
             obs.unpersist()
@@ -182,7 +204,9 @@ class AdaptiveStream:
             now.budget = self._budget(now, stats.last_time)
         reach = now.max_time - now.budget
         now.watermark = reach if before.watermark is None else max(before.watermark, reach)
-        over = obs.filter(F.col("lateness") > now.budget).count()
+        # Events were admitted under the budget in force before this batch.
+        admitted = policy.initial if before.budget is None else before.budget
+        over = obs.filter(F.col("lateness") > admitted).count()
         now.over_budget_events += over
         now.max_lateness = max(before.max_lateness, stats.max_lateness)
         if now.budget > 0:
@@ -221,9 +245,9 @@ class AdaptiveStream:
         return max(1, budget, control.max_lateness + 1, control.max_overflow + budget)
 
     def _advance(
-        self, partials: DataFrame, before: Control, now: Control, release: bool
+        self, partials: DataFrame, before: Control, now: Control, release: bool, path: str
     ) -> None:
-        """Merge the batch into the state, move tiers, and write the version.
+        """Merge the batch into the state, move tiers, and write all to ``path``.
 
         Only summaries behind the released frontier can meet a released key; when
         the batch has any, the released rows from their earliest start on are
@@ -268,7 +292,6 @@ class AdaptiveStream:
         if self.guard is not None and release:
             free = F.col("end") + self.guard_seconds(now) <= now.watermark
         tier = F.when(sealed & free, "final").when(sealed, "archive").otherwise("hot")
-        path = self._state_path(now.version)
         merged.withColumn("tier", tier).write.mode("overwrite").partitionBy("tier").parquet(path)
         written = self.spark.read.schema(f"{_STATE}, was string, added long").parquet(path)
         sizes = written.agg(
@@ -289,16 +312,23 @@ class AdaptiveStream:
     # -- end of stream ------------------------------------------------------------
 
     def finish(self) -> DataFrame:
-        """Last release cycle, then all window rows of the stream."""
+        """All window rows of the stream after a last release cycle.
+
+        The cycle's counters are in ``closing``. Nothing is committed: more batches may
+        follow and another finish after them.
+        """
         last = self.last_version()
         before = self.control(last)
-        if last >= 0 and self.guard is not None and before.watermark is not None:
-            now = Control(**{**asdict(before), "version": last + 1})
-            empty = self.state(-1).select("start", "end", *KEYS, *PARTIALS)
-            self._advance(empty, before, now, release=True)
-            self._commit(now)
-            last += 1
-        return self.rows(last)
+        self.closing = before
+        if last < 0 or self.guard is None or before.watermark is None:
+            return self.rows(last)
+        now = Control(**{**asdict(before), "batch": []})
+        empty = self.state(-1).select("start", "end", *KEYS, *PARTIALS)
+        path = f"{self.root}/closing/after={last}"
+        self._advance(empty, before, now, release=True, path=path)
+        self.closing = now
+        closed = self.spark.read.schema(_STATE).parquet(path)
+        return finish(closed.unionByName(self.final(last)), self.cfg)
 
     def rows(self, version: int) -> DataFrame:
         """Union of the tiers of a version; a key is in exactly one of them."""

@@ -44,9 +44,7 @@ def test_features_by_hand(spark, monkeypatch):
 NAN = float("nan")
 
 
-@pytest.mark.parametrize("gather", [5, 20_000])
-def test_exact_quantile(spark, monkeypatch, gather):
-    monkeypatch.setattr(quantile, "GATHER", gather)
+def test_exact_quantile(spark, monkeypatch):
     monkeypatch.setattr(quantile, "BINS", 7)
     rng = np.random.default_rng(1)
     for values in (

@@ -208,3 +208,26 @@ def test_json_layouts(spark, tmp_path):
     array = files.read_json_rows(spark, str(tmp_path / "array.json"), "array").collect()
     nested = files.read_json_rows(spark, str(tmp_path / "rows.json"), "rows").collect()
     assert len(array) == 2 and array[0] == nested[0] and nested[0]["sum"] == 2.0
+
+
+def test_csv_that_line_reading_would_corrupt_raises(spark, tmp_path):
+    head = "Timestamp,DeviceId,Sensor,Value\n"
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "a.csv").write_text(head + '1,"d\nd",s,2\n2,d,s,3\n')
+    with pytest.raises(ValueError, match="line 2: a quoted cell"):
+        files.read_arrival_csv(spark, str(broken))
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    (mixed / "a.csv").write_text(head + "1,d,s,2\n")
+    (mixed / "b.csv").write_text("Value,Sensor,DeviceId,Timestamp\n5.0,s,d,7\n")
+    with pytest.raises(ValueError, match="b.csv: its header"):
+        files.read_arrival_csv(spark, str(mixed))
+    with pytest.raises(ValueError, match="line 2: a quoted cell"):
+        files.read_arrival_text(spark, head + '1,"d\nd",s,2\n')
+
+
+def test_quoted_header(spark):
+    text = '"Timestamp","DeviceId","Sensor","Value"\n7,"d,1",s,2.5\n'
+    row = files.read_arrival_text(spark, text).first()
+    assert (row.event_time, row.device_id, row.value) == (7, "d,1", 2.5)
