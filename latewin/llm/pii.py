@@ -45,6 +45,11 @@ def _long(value: Column) -> Column:
     return F.when(value != "", value).otherwise("0").cast("decimal(20,0)").cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where a lambda uses it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def feistel(a: Column, b: Column, m1: Column, m2: Column, key: str, tweak: str) -> Column:
     """struct<a, b>: a keyed permutation of [0, m1) x [0, m2)."""
 
@@ -78,6 +83,10 @@ def _ten(n: Column) -> Column:
 
 def _refill(form: Column, digits: Column) -> Column:
     """The digits put, in order, in place of those of ``form``."""
+    return _let(digits, lambda d: _filled(form, d))
+
+
+def _filled(form: Column, digits: Column) -> Column:
     return F.array_join(
         F.transform(
             F.sequence(F.lit(1), F.length(form)),
@@ -119,9 +128,9 @@ def card_pseudonym(value: Column, key: str) -> Column:
         _long(digits.substr(left + 1, n - left)),
         _ten(left), _ten(n - left), key, "card",
     )
-    body = F.concat(_pad(pair["a"], left), _pad(pair["b"], n - left))
-    check = (F.lit(10) - _luhn_sum(body, F.length(body) % 2 == 1) % 10) % 10
-    return _refill(value, F.concat(body, check.cast("string")))
+    body = _let(pair, lambda p: F.concat(_pad(p["a"], left), _pad(p["b"], n - left)))
+    check = lambda b: (F.lit(10) - _luhn_sum(b, F.length(b) % 2 == 1) % 10) % 10
+    return _refill(value, _let(body, lambda b: F.concat(b, check(b).cast("string"))))
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
@@ -132,7 +141,9 @@ def phone_pseudonym(value: Column, key: str) -> Column:
         _long(ten.substr(1, 3)) - 200, _long(ten.substr(4, 7)) - 2000000,
         F.lit(800).cast("long"), F.lit(8000000).cast("long"), key, "phone",
     )
-    new = F.concat((pair["a"] + 200).cast("string"), (pair["b"] + 2000000).cast("string"))
+    new = _let(
+        pair, lambda p: F.concat((p["a"] + 200).cast("string"), (p["b"] + 2000000).cast("string"))
+    )
     country = digits.substr(F.lit(1), F.length(digits) - 10)
     return _refill(value, F.concat(country, new))
 
@@ -149,8 +160,12 @@ def address_pseudonym(value: Column, key: str) -> Column:
     o = _octets(value)
     m = F.lit(65536).cast("long")
     pair = feistel(F.get(o, 0) * 256 + F.get(o, 1), F.get(o, 2) * 256 + F.get(o, 3), m, m, key, "ip")
-    a, b = pair["a"], pair["b"]
-    return F.concat_ws(".", F.floor(a / 256), a % 256, F.floor(b / 256), b % 256)
+    return _let(
+        pair,
+        lambda p: F.concat_ws(
+            ".", F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256
+        ),
+    )
 
 
 def social_valid(value: Column) -> Column:
@@ -208,22 +223,30 @@ def mail_pseudonym(value: Column, key: str) -> Column:
         power(half).cast("long"), power(short - half).cast("long"), key, "mail",
     )
     base36 = lambda v, width: F.lpad(F.lower(F.conv(v.cast("string"), 10, 36)), width, "0")
-    permuted = F.concat(
-        F.when(half > 0, base36(pair["a"], half)).otherwise(""), base36(pair["b"], short - half)
+    permuted = _let(
+        pair,
+        lambda p: F.concat(
+            F.when(half > 0, base36(p["a"], half)).otherwise(""), base36(p["b"], short - half)
+        ),
     )
     digest = F.sha2(F.concat_ws("|", F.lit(key), signs).cast("binary"), 256)
     long = F.repeat(digest, F.ceil(n / 64).cast("int")).substr(F.lit(1), n)
     new = F.when(n == 0, "").when(n <= 22, permuted).otherwise(long)
     # Signs between letters and digits keep their places.
-    filled = F.array_join(
-        F.transform(
-            F.sequence(F.lit(1), F.length(local)),
-            lambda i: F.when(
-                local.substr(i, F.lit(1)).rlike("[0-9a-z]"),
-                new.substr(F.length(F.regexp_replace(local.substr(F.lit(1), i), "[^0-9a-z]", "")), F.lit(1)),
-            ).otherwise(local.substr(i, F.lit(1))),
+    sign_before = lambda i: F.length(
+        F.regexp_replace(local.substr(F.lit(1), i), "[^0-9a-z]", "")
+    )
+    filled = _let(
+        new,
+        lambda v: F.array_join(
+            F.transform(
+                F.sequence(F.lit(1), F.length(local)),
+                lambda i: F.when(
+                    local.substr(i, F.lit(1)).rlike("[0-9a-z]"), v.substr(sign_before(i), F.lit(1))
+                ).otherwise(local.substr(i, F.lit(1))),
+            ),
+            "",
         ),
-        "",
     )
     return F.concat(filled, value.substr(at, F.length(value)))
 
