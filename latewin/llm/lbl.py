@@ -31,7 +31,7 @@ from latewin.session import stage
 MODEL_WORDS = 1021
 DIM = 16
 NOISE = 48
-BATCH = 4096
+BATCH = 1024
 RATE = 0.3
 #: Most words whose counts travel to every task; the others are joined.
 CARRIED = 1 << 17
