@@ -22,8 +22,8 @@ import numpy as np
 MAGIC = b"ctxmix01"
 #: Ids in a block. All blocks of a file but the last have as many.
 BLOCK = 2048
-#: Ids must lie below.
-ID_LIMIT = 1 << 20
+#: Ids must lie below; an id plus one then has at most 20 bits, as the classes assume.
+ID_LIMIT = (1 << 20) - 1
 
 _SLOTS = 2048
 _CLASSES = 80
