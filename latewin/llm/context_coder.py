@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"ctxmix01"
+MAGIC = b"ctxmix02"
 #: Ids in a block. All blocks of a file but the last have as many.
 BLOCK = 2048
 #: Ids must lie below; an id plus one then has at most 20 bits, as the classes assume.
@@ -27,6 +27,8 @@ ID_LIMIT = (1 << 20) - 1
 
 _SLOTS = 2048
 _CLASSES = 80
+#: Columns of a row of class bounds; those after the last class are never reached.
+_BOUNDS = 128
 _SURE = 15
 _U = np.uint64
 _TOP = _U(1 << 48)
@@ -34,6 +36,16 @@ _WHOLE = 1 << 16
 _CLASS_WHOLE = 4096
 _REFRESH = 64
 _MASK16 = _U(0xFFFF)
+_SHARE_BITS = 12
+
+
+def _stretches() -> np.ndarray:
+    u = np.clip(2.0 * np.arange(1 << _SHARE_BITS) / (1 << _SHARE_BITS) - 1.0, -0.97, 0.97)
+    return (u / (1.0 - np.abs(u))).astype(np.float32)
+
+
+#: A share of hits, in 1/4096, on the scale on which shares are mixed.
+_STRETCH = _stretches()
 
 
 def _class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,90 +64,102 @@ _CLASS_FIRST = ((1 << np.minimum(_TOPS, 2)) | (np.arange(_CLASSES) % 4)) << _CLA
 
 
 class _Model:
-    """Predictions of all blocks at their present position."""
+    """Predictions of all blocks at their present position.
+
+    A slot holds a predicted id above four bits that say how sure it is; 0 is empty.
+    Row 0 of ``slots`` belongs to order 2, row 1 to order 1.
+    """
 
     def __init__(self, blocks: int):
         n = blocks
         self.lane = np.arange(n)
         self.row = self.lane * _SLOTS
-        self.id2 = np.zeros(n * _SLOTS, dtype=np.int32)
-        self.id1 = np.zeros(n * _SLOTS, dtype=np.int32)
-        self.sure2 = np.zeros(n * _SLOTS, dtype=np.uint8)
-        self.sure1 = np.zeros(n * _SLOTS, dtype=np.uint8)
+        self.slots = np.zeros(2 * n * _SLOTS, dtype=np.int32)
+        self.at = np.zeros((2, n), dtype=np.int64)
         self.before1 = np.zeros(n, dtype=np.int64)
         self.before2 = np.zeros(n, dtype=np.int64)
-        # Shares of hits by how sure a prediction is, kept as stretched numbers' source.
-        self.hit2 = np.full(n * (_SURE + 1), 0.5)
-        self.hit1 = np.full(n * 2 * (_SURE + 1), 0.5)
-        self.hit0 = np.full(n, 0.3)
-        self.second = np.full(n * (_SURE + 1), 0.3)
-        self.w2, self.w1, self.w0 = np.full(n, 0.5), np.full(n, 0.4), np.full(n, 0.2)
+        # Shares of hits: of order 2 and 1 by how sure they are, then of the block.
+        middle = 1 << (_SHARE_BITS - 1)
+        self.shares = np.full(n * (3 * _SURE + 4), middle, dtype=np.int64)
+        self.key = np.zeros((3, n), dtype=np.int64)
+        self.key_row = np.stack(
+            [
+                self.lane * (_SURE + 1),
+                n * (_SURE + 1) + self.lane * 2 * (_SURE + 1),
+                n * 3 * (_SURE + 1) + self.lane,
+            ]
+        )
+        self.second = np.full(n * (_SURE + 1), 1200, dtype=np.int64)
+        self.weights = np.repeat(np.array([[0.5], [0.4], [0.2]], dtype=np.float32), n, axis=1)
         self.freq = np.ones((n, _CLASSES), dtype=np.int64)
-        self.cum = np.zeros((n, _CLASSES + 1), dtype=np.int64)
+        self.cum = np.full((n, _BOUNDS), _CLASS_WHOLE, dtype=np.int64)
+        self.cum[:, 0] = 0
         self.steps = 0
 
     def predict(self) -> None:
         if self.steps % _REFRESH == 0:
             total = np.cumsum(self.freq, axis=1)
             scaled = total * (_CLASS_WHOLE - _CLASSES) // total[:, -1:]
-            self.cum[:, 1:] = scaled + np.arange(1, _CLASSES + 1)
-            self.cum[:, -1] = _CLASS_WHOLE
+            self.cum[:, 1 : _CLASSES + 1] = scaled + np.arange(1, _CLASSES + 1)
         self.steps += 1
-        b1 = self.before1
-        self.at1 = self.row + ((b1 * 40503 >> 4) & (_SLOTS - 1))
-        self.at2 = self.row + (((b1 * 40503 + self.before2 * 30011) >> 3) & (_SLOTS - 1))
-        self.p1, self.p2 = self.id1[self.at1], self.id2[self.at2]
-        c1, c2 = self.sure1[self.at1].astype(np.int64), self.sure2[self.at2].astype(np.int64)
-        self.c1, self.c2 = c1, c2
-        has2, has1 = c2 > 0, c1 > 0
-        self.first = np.where(has2, self.p2, self.p1)
+        spread = self.before1 * 40503
+        np.add(self.row, ((spread + self.before2 * 30011) >> 3) & (_SLOTS - 1), out=self.at[0])
+        np.add(self.row + len(self.lane) * _SLOTS, (spread >> 4) & (_SLOTS - 1), out=self.at[1])
+        self.slot = slot = self.slots.take(self.at)
+        self.sure = sure = slot & 15
+        known = slot >> 4
+        self.known = known
+        has2, has1 = slot[0] != 0, slot[1] != 0
+        self.first = np.where(has2, known[0], known[1])
         self.has_first = has2 | has1
-        agree = has1 & (self.p1 == self.first)
-        self.has_second = has1 & ~agree
-        self.k2 = self.lane * (_SURE + 1) + c2
-        self.k1 = self.lane * (2 * _SURE + 2) + 2 * c1 + agree
-        self.ks = self.lane * (_SURE + 1) + c1
-        self.x2 = _stretch(self.hit2[self.k2])
-        self.x1 = _stretch(self.hit1[self.k1])
-        self.x0 = _stretch(self.hit0)
-        z = self.w2 * self.x2 + self.w1 * self.x1 + self.w0 * self.x0
-        self.p = 0.5 + 0.5 * z / (1.0 + np.abs(z))
-        a = (self.p * 60000.0).astype(np.int64) + 64
-        self.a = np.where(self.has_first, a, 0)
-        rest = _WHOLE - self.a
-        b = (rest * (self.second[self.ks] * 0.9)).astype(np.int64) + 16
-        self.b = np.where(self.has_second, b, 0)
-
-    def learn(self, ids: np.ndarray, hit_first: np.ndarray, hit_second: np.ndarray, cls: np.ndarray) -> None:
-        """``cls`` is the class of literals; -1 for blocks that had a hit."""
-        error = np.where(self.has_first, hit_first - self.p, 0.0)
-        self.w2 += 0.02 * error * self.x2
-        self.w1 += 0.02 * error * self.x1
-        self.w0 += 0.02 * error * self.x0
-        rate = np.where(self.has_first, 0.0625, 0.0)
-        self.hit2[self.k2] += (hit_first - self.hit2[self.k2]) * rate
-        self.hit1[self.k1] += (hit_first - self.hit1[self.k1]) * rate
-        self.hit0 += (hit_first - self.hit0) * rate
+        differ = known[1] != self.first
+        self.has_second = has1 & differ
+        key = self.key
+        np.add(self.key_row[0], sure[0], out=key[0])
+        np.add(self.key_row[1], 2 * sure[1] + differ, out=key[1])
+        key[2] = self.key_row[2]
+        self.second_key = self.key_row[0] + sure[1]
+        self.share = self.shares.take(key)
+        self.x = _STRETCH.take(self.share)
+        parts = self.weights * self.x
+        z = parts[0] + parts[1] + parts[2]
+        self.p = np.float32(0.5) + np.float32(0.5) * z / (np.float32(1.0) + np.abs(z))
+        a = (self.p * np.float32(60000.0)).astype(np.int64) + 64
+        self.a = a * self.has_first
+        self.second_share = self.second.take(self.second_key)
+        # A share below 1 - 1/16 of what is left.
+        b = ((_WHOLE - self.a) * self.second_share * 15 >> (_SHARE_BITS + 4)) + 16
+        self.b = b * self.has_second
+
+    def learn(
+        self, ids: np.ndarray, hit_first: np.ndarray, hit_second: np.ndarray,
+        literal: np.ndarray, cls: np.ndarray,
+    ) -> None:
+        """``cls`` are the classes of the blocks ``literal``, which had no hit."""
+        error = (hit_first - self.p) * self.has_first * np.float32(0.02)
+        self.weights += error * self.x
+        moved = ((hit_first.astype(np.int64) << _SHARE_BITS) - hit_first - self.share) >> 4
+        self.shares[self.key] = self.share + moved * self.has_first
         tried = self.has_second & ~hit_first
-        s = self.second[self.ks]
-        self.second[self.ks] = s + (hit_second - s) * np.where(tried, 0.0625, 0.0)
-        literal = np.flatnonzero(cls >= 0)
-        self.freq[literal, cls[literal]] += 24
-        for at, known, sure, ident, table in (
-            (self.at2, self.p2, self.c2, self.id2, self.sure2),
-            (self.at1, self.p1, self.c1, self.id1, self.sure1),
-        ):
-            right = (known == ids) & (sure > 0)
-            less = sure >> 1
-            replace = ~right & (less == 0)
-            ident[at] = np.where(replace, ids, known)
-            table[at] = np.where(right, np.minimum(sure + 1, _SURE), np.where(replace, 1, less))
+        moved = ((hit_second.astype(np.int64) << _SHARE_BITS) - hit_second - self.second_share) >> 4
+        self.second[self.second_key] = self.second_share + moved * tried
+        self.freq.reshape(-1)[literal * _CLASSES + cls] += 24
+        slot, sure = self.slot, self.sure
+        fresh = ((ids << 4) | 1).astype(np.int32)
+        kept = np.where(sure > 1, slot - ((sure + 1) >> 1), fresh)
+        # An empty slot of id 0 counts as right and becomes what ``fresh`` is.
+        self.slots[self.at] = np.where(self.known == ids, slot + (sure < _SURE), kept)
         self.before2, self.before1 = self.before1, ids.astype(np.int64)
 
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    u = np.minimum(np.maximum(2.0 * p - 1.0, -0.97), 0.97)
-    return u / (1.0 - np.abs(u))
+def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Where a word is decided, or the span has become too small to go on."""
+    return ((low ^ (low + span)) < _TOP) | (span < _TOP)
+
+
+def _shortened(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The spans of unsettled blocks, cut where that decides the next word."""
+    return np.where((low ^ (low + span)) < _TOP, span, (_U(0) - low) & (_TOP - _U(1)))
 
 
 def _encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -146,44 +170,38 @@ def _encode_blocks(ids: np.ndarray) -> list[bytes]:
     # A step narrows the span by less than 49 bits, so by at most four words of 16 bits.
     words = np.zeros((n, steps * 4 + 8), dtype="<u2")
     flat, at = words.reshape(-1), model.lane * words.shape[1]
-    cls_all, extra_all, bits_all = _class_of(ids)
+    # Turned, so that the ids of one step lie together.
+    turned = np.ascontiguousarray(ids.T)
     for t in range(steps):
-        now = ids[:, t]
+        now = turned[t]
         model.predict()
         first = (now == model.first) & model.has_first
-        second = (now == model.p1) & model.has_second & ~first
+        second = (now == model.known[1]) & model.has_second & ~first
         a, b = model.a, model.b
-        hit = first | second
-        literal = ~hit
         cum = np.where(first, 0, np.where(second, a, a + b))
         freq = np.where(first, a, np.where(second, b, _WHOLE - a - b))
         span >>= _U(16)
-        low += cum.astype(_U) * span
-        span *= freq.astype(_U)
-        which = np.flatnonzero(literal)
-        cls = cls_all[which, t]
-        start, end = model.cum[which, cls], model.cum[which, cls + 1]
-        inner = span[which] >> _U(12)
-        less = low[which] + start.astype(_U) * inner
-        inner = (inner * (end - start).astype(_U)) >> extra_all[which, t].astype(_U)
-        low[which] = less + bits_all[which, t].astype(_U) * inner
+        low += cum.view(_U) * span
+        span *= freq.view(_U)
+        which = np.flatnonzero(~(first | second))
+        cls, extra, bits = _class_of(now.take(which))
+        bound = which * _BOUNDS + cls
+        start, end = model.cum.take(bound), model.cum.take(bound + 1)
+        inner = span.take(which) >> _U(12)
+        low[which] += start.view(_U) * inner
+        inner = (inner * (end - start).view(_U)) >> extra.view(_U)
+        low[which] += bits.view(_U) * inner
         span[which] = inner
-        while True:
-            near = (low ^ (low + span)) < _TOP
-            small = ~near & (span < _TOP)
-            out = np.flatnonzero(near | small)
-            if not len(out):
-                break
-            cut = np.flatnonzero(small)
-            span[cut] = (_U(0) - low[cut]) & (_TOP - _U(1))
-            l = low[out]
-            flat[at[out]] = (l >> _U(48)).astype(np.uint16)
-            at[out] += 1
-            low[out] = l << _U(16)
-            span[out] <<= _U(16)
-        full = np.full(n, -1)
-        full[which] = cls
-        model.learn(now, first, second, full)
+        out = np.flatnonzero(_unsettled(low, span))
+        while len(out):
+            l, place = low.take(out), at.take(out)
+            s = _shortened(l, span.take(out)) << _U(16)
+            flat[place] = l >> _U(48)
+            at[out] = place + 1
+            l <<= _U(16)
+            low[out], span[out] = l, s
+            out = out[_unsettled(l, s)]
+        model.learn(now, first, second, which, cls)
     for _ in range(4):
         flat[at] = (low >> _U(48)).astype(np.uint16)
         at += 1
@@ -199,59 +217,55 @@ def _decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
     starts = np.cumsum(sizes) - sizes
     # Words beyond a block's end are never decisive; zeros keep the reads in range.
     source = np.concatenate([np.frombuffer(b"".join(payloads), dtype="<u2"), np.zeros(8, "<u2")])
+    last = len(source) - 1
     at = starts.copy()
     low, span, code = np.zeros(n, dtype=_U), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=_U), np.zeros(n, dtype=_U)
     for _ in range(4):
-        code = (code << _U(16)) | source[at].astype(_U)
+        code = (code << _U(16)) | source[np.minimum(at, last)].astype(_U)
         at += 1
-    out = np.zeros((n, steps), dtype=np.int32)
+    turned = np.zeros((steps, n), dtype=np.int32)
     for t in range(steps):
         model.predict()
         a, b = model.a, model.b
         span >>= _U(16)
-        v = np.minimum((code - low) // span, _MASK16).astype(np.int64)
+        v = np.minimum((code - low) // np.maximum(span, _U(1)), _MASK16).view(np.int64)
         first = v < a
         second = ~first & (v < a + b)
-        literal = ~(first | second)
         cum = np.where(first, 0, np.where(second, a, a + b))
         freq = np.where(first, a, np.where(second, b, _WHOLE - a - b))
-        low += cum.astype(_U) * span
-        span *= freq.astype(_U)
-        now = np.where(first, model.first, model.p1)
-        which = np.flatnonzero(literal)
-        inner = span[which] >> _U(12)
-        v = np.minimum((code[which] - low[which]) // inner, _U(_CLASS_WHOLE - 1)).astype(np.int64)
-        lo, hi = np.zeros(len(which), dtype=np.int64), np.full(len(which), _CLASSES)
-        for _ in range(7):
-            mid = (lo + hi) >> 1
-            up = (model.cum[which, mid] <= v) & (hi - lo > 1)
-            lo, hi = np.where(up, mid, lo), np.where(up | (hi - lo <= 1), hi, mid)
-        start, end = model.cum[which, lo], model.cum[which, lo + 1]
-        less = low[which] + start.astype(_U) * inner
-        extra = _CLASS_EXTRA[lo]
-        inner = (inner * (end - start).astype(_U)) >> extra.astype(_U)
-        top = (_U(1) << extra.astype(_U)) - _U(1)
-        bits = np.minimum((code[which] - less) // inner, top)
+        low += cum.view(_U) * span
+        span *= freq.view(_U)
+        now = np.where(first, model.first, model.known[1])
+        which = np.flatnonzero(~(first | second))
+        inner = span.take(which) >> _U(12)
+        v = (code.take(which) - low.take(which)) // np.maximum(inner, _U(1))
+        v = np.minimum(v, _U(_CLASS_WHOLE - 1)).view(np.int64)
+        row = which * _BOUNDS
+        bound = row.copy()
+        for half in (64, 32, 16, 8, 4, 2, 1):
+            bound += half * (model.cum.take(bound + half) <= v)
+        cls = bound - row
+        start, end = model.cum.take(bound), model.cum.take(bound + 1)
+        less = low.take(which) + start.view(_U) * inner
+        extra = _CLASS_EXTRA.take(cls)
+        inner = (inner * (end - start).view(_U)) >> extra.view(_U)
+        top = (1 << extra) - 1
+        bits = np.minimum((code.take(which) - less) // np.maximum(inner, _U(1)), top.view(_U))
         low[which] = less + bits * inner
         span[which] = inner
-        now[which] = _CLASS_FIRST[lo] + bits.astype(np.int64) - 1
-        while True:
-            near = (low ^ (low + span)) < _TOP
-            small = ~near & (span < _TOP)
-            move = np.flatnonzero(near | small)
-            if not len(move):
-                break
-            cut = np.flatnonzero(small)
-            span[cut] = (_U(0) - low[cut]) & (_TOP - _U(1))
-            code[move] = (code[move] << _U(16)) | source[at[move]].astype(_U)
-            at[move] = np.minimum(at[move] + 1, len(source) - 1)
-            low[move] <<= _U(16)
-            span[move] <<= _U(16)
-        full = np.full(n, -1)
-        full[which] = lo
-        model.learn(now, first, second, full)
-        out[:, t] = now
-    return out
+        now[which] = _CLASS_FIRST.take(cls) + bits.view(np.int64) - 1
+        move = np.flatnonzero(_unsettled(low, span))
+        while len(move):
+            l, place = low.take(move), at.take(move)
+            s = _shortened(l, span.take(move)) << _U(16)
+            code[move] = (code.take(move) << _U(16)) | source.take(place)
+            at[move] = np.minimum(place + 1, last)
+            l <<= _U(16)
+            low[move], span[move] = l, s
+            move = move[_unsettled(l, s)]
+        model.learn(now, first, second, which, cls)
+        turned[t] = now
+    return np.ascontiguousarray(turned.T)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
