@@ -25,7 +25,9 @@ END_ID = 0
 #: Ids a file holds before it is closed; a longer document makes a longer file.
 FILE_IDS = 1 << 23
 #: Distinct pieces a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Pieces that the library encodes as one text.
+JOINED = 2_000
 
 _DOUBLE = re.compile(r"\s\s")
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -48,11 +50,15 @@ class PieceEncoder:
         self.library = _tokenizer(path)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        fresh = list(pieces.difference(known))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
+        # A byte-level token has a character for each byte.
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.n_bytes[number] = len(token)
+
+    def _alone(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
             found = self.library.encode_batch_fast(
                 [before + p for p in part], add_special_tokens=False
             )
@@ -60,14 +66,34 @@ class PieceEncoder:
                 (p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(part, found, strict=True)
             )
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes later pieces, many as one text where a space at each is a cut."""
+        fresh = list(pieces.difference(self.later))
+        plain = [bool(p) and not p[0].isspace() and not p[-1].isspace() for p in fresh]
+        self._alone(self.later, [p for p, ok in zip(fresh, plain, strict=True) if not ok], " ")
+        fresh = [p for p, ok in zip(fresh, plain, strict=True) if ok]
+        for i in range(0, len(fresh), JOINED):
+            part = fresh[i : i + JOINED]
+            found = self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(found[0].ids, dtype="<u4")
+            ends = np.cumsum([len(p.encode()) + 1 for p in part])
+            token_ends = np.cumsum(self.n_bytes[ids])
+            cuts = np.searchsorted(token_ends, ends)
+            if not np.array_equal(token_ends[cuts], ends):
+                raise ValueError("a token of this tokenizer spans the space between two words")
+            raw, stops = ids.tobytes(), ((cuts + 1) * 4).tolist()
+            self.later.update(
+                (p, raw[low:high]) for p, low, high in zip(part, [0, *stops], stops, strict=False)
+            )
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian u32."""
         if len(self.later) > REMEMBERED:
             self.later.clear()
         self.first.clear()
         cut = [_BOUNDARY.split(t) if _DOUBLE.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {pieces[0] for pieces in cut}, "")
-        self._learn(self.later, set().union(*(pieces[1:] for pieces in cut)), " ")
+        self._alone(self.first, list({pieces[0] for pieces in cut}), "")
+        self._learn(set().union(*(pieces[1:] for pieces in cut)))
         later = self.later.__getitem__
         return [self.first[p[0]] + b"".join(map(later, p[1:])) for p in cut]
 
