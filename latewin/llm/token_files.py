@@ -24,12 +24,13 @@ from latewin.llm.tables import text_of
 END_ID = 0
 #: Ids a file holds before it is closed; a longer document makes a longer file.
 FILE_IDS = 1 << 23
-#: Distinct pieces a task remembers.
+#: Distinct pieces a Python worker remembers.
 REMEMBERED = 600_000
 #: Pieces that the library encodes as one text.
 JOINED = 2_000
 
 _DOUBLE = re.compile(r"\s\s")
+_PLAIN = re.compile(r"\n?\S(.*\S)?\Z", re.DOTALL)
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 FILE_SCHEMA = "first_id bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, body binary"
 
@@ -39,11 +40,22 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def _whole(later: str) -> str:
+    return later if later.startswith("\n") else " " + later
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of a Python worker, so that its tasks share the pieces they have seen."""
+    return PieceEncoder(path)
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
-    A space between two characters that are no white space always begins a new token of
-    a byte-level BPE, so a text may be cut there.
+    A space or line break between two characters that are no white space always begins a
+    new token of a byte-level BPE, so a text may be cut there. Later pieces lose the space
+    they begin with but keep the line break.
     """
 
     def __init__(self, path: str):
@@ -56,31 +68,32 @@ class PieceEncoder:
         for token, number in vocabulary.items():
             self.n_bytes[number] = len(token)
 
-    def _alone(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
+    def _alone(self, known: dict[str, bytes], pieces: list[str], later: bool) -> None:
         for i in range(0, len(pieces), 20_000):
             part = pieces[i : i + 20_000]
             found = self.library.encode_batch_fast(
-                [before + p for p in part], add_special_tokens=False
+                [_whole(p) if later else p for p in part], add_special_tokens=False
             )
             known.update(
                 (p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(part, found, strict=True)
             )
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encodes later pieces, many as one text where a space at each is a cut."""
+        """Encodes later pieces, many as one text where each begins at a cut."""
         fresh = list(pieces.difference(self.later))
-        plain = [bool(p) and not p[0].isspace() and not p[-1].isspace() for p in fresh]
-        self._alone(self.later, [p for p, ok in zip(fresh, plain, strict=True) if not ok], " ")
+        plain = [_PLAIN.match(p) is not None for p in fresh]
+        self._alone(self.later, [p for p, ok in zip(fresh, plain, strict=True) if not ok], True)
         fresh = [p for p, ok in zip(fresh, plain, strict=True) if ok]
         for i in range(0, len(fresh), JOINED):
             part = fresh[i : i + JOINED]
-            found = self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            wholes = [_whole(p) for p in part]
+            found = self.library.encode_batch_fast(["".join(wholes)], add_special_tokens=False)
             ids = np.array(found[0].ids, dtype="<u4")
-            ends = np.cumsum([len(p.encode()) + 1 for p in part])
+            ends = np.cumsum([len(p.encode()) for p in wholes])
             token_ends = np.cumsum(self.n_bytes[ids])
             cuts = np.searchsorted(token_ends, ends)
             if not np.array_equal(token_ends[cuts], ends):
-                raise ValueError("a token of this tokenizer spans the space between two words")
+                raise ValueError("a token of this tokenizer spans the cut between two words")
             raw, stops = ids.tobytes(), ((cuts + 1) * 4).tolist()
             self.later.update(
                 (p, raw[low:high]) for p, low, high in zip(part, [0, *stops], stops, strict=False)
@@ -91,8 +104,11 @@ class PieceEncoder:
         if len(self.later) > REMEMBERED:
             self.later.clear()
         self.first.clear()
-        cut = [_BOUNDARY.split(t) if _DOUBLE.search(t) else t.split(" ") for t in texts]
-        self._alone(self.first, list({pieces[0] for pieces in cut}), "")
+        cut = [
+            _BOUNDARY.split(t) if _DOUBLE.search(t) else t.replace("\n", " \n").split(" ")
+            for t in texts
+        ]
+        self._alone(self.first, list({pieces[0] for pieces in cut}), False)
         self._learn(set().union(*(pieces[1:] for pieces in cut)))
         later = self.later.__getitem__
         return [self.first[p[0]] + b"".join(map(later, p[1:])) for p in cut]
@@ -106,7 +122,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, file_ids: int = FILE
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = PieceEncoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
+        encoder, end = worker_encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
         doc_ids, parts, total = [], [], 0
 
         def file() -> pd.DataFrame:
