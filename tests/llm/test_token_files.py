@@ -56,6 +56,17 @@ def test_pieces_equal_the_library(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(PATH).encode(texts)] == want
 
 
+def test_many_unseen_pieces_joined():
+    rng = random.Random(3)
+    letters = "abcdeé.,'ß1中"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(7000)]
+    texts = ["".join(w + rng.choice([" ", " ", "\n"]) for w in words), "\n".join(words[:50]), "\n", " \n"]
+    encoder = PieceEncoder(PATH)
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_special_token_in_text():
     text = "a <|endoftext|> b<|endoftext|>"
     got = np.frombuffer(PieceEncoder(PATH).encode([text])[0], "<u4").tolist()
