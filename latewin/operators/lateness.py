@@ -26,7 +26,11 @@ def arrival_lateness(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     out = running(
         _blocked(events), "n", "block", {"max_before": (t, "max")}, by, inclusive=False
     )
-    before = F.col("max_before")
+    return _late(out)
+
+
+def _late(out: DataFrame) -> DataFrame:
+    t, before = F.col("event_time"), F.col("max_before")
     late = F.greatest(F.coalesce(before - t, F.lit(0)), F.lit(0)).cast("long")
     return out.withColumns(
         {"max_event_time": F.greatest(before, t), "lateness": late, "out_of_order": late > 0}
@@ -53,7 +57,7 @@ def observe_lateness(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def observe_arrivals(
     df: DataFrame, order: Sequence[str], block: Column, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Arrival index and observations in one scan, for rows not numbered yet.
+    """Arrival index, observations and ``previous_time`` in one scan, for rows not numbered yet.
 
     ``order`` is a total order and ``block`` a non-decreasing function of it, as
     for the arrival index; both come from the same block summaries.
@@ -67,6 +71,7 @@ def observe_arrivals(
             "_before": (F.lit(1).cast("long"), "sum"),
             "max_before": (t, "max"),
             "_first": (t, "first"),
+            "previous_time": (t, "last"),
         },
         by,
         inclusive=False,
@@ -76,16 +81,8 @@ def observe_arrivals(
 
 
 def _observed(out: DataFrame) -> DataFrame:
-    t, n, before = F.col("event_time"), F.col("n"), F.col("max_before")
-    late = F.greatest(F.coalesce(before - t, F.lit(0)), F.lit(0)).cast("long")
-    out = out.withColumns(
-        {
-            "max_event_time": F.greatest(before, t),
-            "lateness": late,
-            "out_of_order": late > 0,
-            "first_time": F.coalesce(F.col("_first"), t),
-        }
-    ).drop("_first")
+    t, n = F.col("event_time"), F.col("n")
+    out = _late(out).withColumn("first_time", F.coalesce(F.col("_first"), t)).drop("_first")
     span = F.col("max_event_time") - F.col("first_time")
     rate = (
         F.when(n <= 1, F.lit(0.0))
@@ -105,12 +102,36 @@ def with_disorder_counts(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def inversions(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``previous_time`` and ``inversion``: earlier than the arrival just before."""
+    """Add ``previous_time`` and ``inversion``: earlier than the arrival just before.
+
+    A ``previous_time`` that is there already is used and costs no scan.
+    """
+    t = F.col("event_time")
+    out = events
+    if "previous_time" not in events.columns:
+        out = running(
+            _blocked(events), "n", "block", {"previous_time": (t, "last")}, by, inclusive=False
+        )
+    return out.withColumn("inversion", F.coalesce(t < F.col("previous_time"), F.lit(False)))
+
+
+def observe_order(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`arrival_lateness` and :func:`inversions` in one scan.
+
+    Observations made earlier, as by :func:`observe_arrivals`, are used as they are.
+    """
+    if {"lateness", "previous_time"} <= set(events.columns):
+        return inversions(events, by)
     t = F.col("event_time")
     out = running(
-        _blocked(events), "n", "block", {"previous_time": (t, "last")}, by, inclusive=False
+        _blocked(events),
+        "n",
+        "block",
+        {"max_before": (t, "max"), "previous_time": (t, "last")},
+        by,
+        inclusive=False,
     )
-    return out.withColumn("inversion", F.coalesce(t < F.col("previous_time"), F.lit(False)))
+    return inversions(_late(out), by)
 
 
 def budget_point(n: Column, cfg: LatenessConfig) -> Column:
@@ -402,7 +423,7 @@ def watermark_updates(timed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def ordering_metrics(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Out-of-order, inversion and lateness totals of a run."""
-    obs = inversions(arrival_lateness(events, by), by)
+    obs = observe_order(events, by)
     total = F.count(F.lit(1))
     ooo = F.sum(F.col("out_of_order").cast("long"))
     return obs.groupBy(*by).agg(

@@ -247,8 +247,9 @@ def reach_table(
     """
     series = {"reached": watermark_steps(timed, by)}
     if cycles is not None:
-        series["cleared"] = cycles.select(
-            *by, F.col("frontier").alias("value"), "position"
+        # Cycles grow with the events, the values of the frontier only with time.
+        series["cleared"] = cycles.groupBy(*by, F.col("frontier").alias("value")).agg(
+            F.min("position").alias("position")
         )
     table = first_reached(window_ends(timed, cfg, by, horizon), series, by)
     return table if cycles is not None else table.withColumn(
@@ -824,8 +825,10 @@ def state_summary(log: DataFrame) -> DataFrame:
 
 
 def trajectory(timed: DataFrame, keys: DataFrame, every: int) -> DataFrame:
-    """The control log at every ``every``-th arrival and at the last."""
+    """The control log at every ``every``-th arrival and at the last.
+
+    Only those arrivals are asked of the timeline.
+    """
     last = timed.agg(F.max("n")).scalar()
-    log = control_log(timed, keys)
-    number = F.col("event_number")
-    return log.filter((number % every == 0) | (number == last))
+    n = F.col("n")
+    return control_log(timed.filter((n % every == 0) | (n == last)), keys)

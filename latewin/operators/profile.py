@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latewin.operators.lateness import arrival_lateness, inversions
+from latewin.operators.lateness import observe_order
 from latewin.operators.ordering import with_run_value
 from latewin.operators.validate import duplicate_count
 
@@ -15,7 +15,7 @@ _PREVIEW = ("n", "event_time", "device_id", "sensor", "value")
 
 def profile_summary(events: DataFrame) -> DataFrame:
     """Disorder, lateness and time span, in one aggregate over the arrivals."""
-    obs = inversions(arrival_lateness(events))
+    obs = observe_order(events)
     total = F.count(F.lit(1))
     ooo = F.sum(F.col("out_of_order").cast("long"))
     return obs.agg(

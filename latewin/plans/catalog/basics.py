@@ -380,7 +380,7 @@ def full_shuffle(spark, d):
 )
 def scenario_disorder(spark, d):
     """Disorder each catalogue profile produces."""
-    obs = arrival_lateness(b.all_scenarios(spark, d), ["scenario"])
+    obs = b.observed_scenarios(spark, d)
     return obs.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("events"),
         F.sum(F.col("out_of_order").cast("long")).alias("ooo_events"),
@@ -414,7 +414,7 @@ def arrival_lateness_rows(spark, d):
     count(*) FILTER (inversion) AS inversions FROM obs""",
 )
 def profile_summary(spark, d):
-    return profile.profile_summary(b.arrivals(spark, d))
+    return profile.profile_summary(b.observed(spark, d))
 
 
 @query(

@@ -193,7 +193,7 @@ def policy_snapshot(spark, d):
     round(CAST(sum(lateness) AS DOUBLE) / count(*), 4) AS avg_lateness_seconds FROM obs""",
 )
 def ordering_metrics(spark, d):
-    return lt.ordering_metrics(b.arrivals(spark, d))
+    return lt.ordering_metrics(b.observed(spark, d))
 
 
 PRESSURE = f"""{BASE}, signalled AS (
