@@ -23,18 +23,29 @@ DATE_DAYS = (250, 292)
 
 # Fixed forms. The order of the alternation decides where several begin together.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-PHONE = r"(?<![\w+])(?:\+1[ .-]?)?\(?[2-9]\d\d\)?[ .-][2-9]\d\d[ .-]\d{4}(?!\w)"
+PHONE = r"(?<![\w+])(?:\+1[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"
 ADDRESS = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 SOCIAL = r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"
 DATE = r"(?<![\w-])(?:19|20)\d\d-[01]\d-[0-3]\d(?![\w-])"
 DATE_DMY = r"(?<![\w.])[0-3]\d\.[01]\d\.(?:19|20)\d\d(?!\w)"
 DATE_MDY = r"(?<![\w/])[01]\d/[0-3]\d/(?:19|20)\d\d(?![\w/])"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
+# Groups of digits with 13 or more in all. The last group is not the start of a mail
+# address, or of an address, date or phone number written with dots or slashes.
+RUN = (
+    r"(?<![\w-])\d(?:[ -]?\d){12,}(?![\w-])"
+    r"(?![.%+]?[A-Za-z0-9._%+-]*@|\.\d{1,3}\.\d{1,3}\.\d|[./]\d\d[./]\d{4}|\.\d{3}[ .-]\d{4}|\.\d{4}(?!\d))"
+)
 FORMS = {
     "mail": MAIL, "social": SOCIAL, "date": DATE, "date_dmy": DATE_DMY, "date_mdy": DATE_MDY,
     "phone": PHONE, "address": ADDRESS, "card": CARD,
 }
-ANY = "|".join(FORMS.values())
+SINGLE = "|".join(pattern for name, pattern in FORMS.items() if name != "card")
+ANY = "|".join([MAIL, RUN, SINGLE])
+#: The usual groups of a card number.
+USUAL = r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+#: Those of a card number of 17 to 19 digits, which may begin with a valid shorter one.
+LONG = r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{1,3}$"
 
 
 def _digits(value: Column) -> Column:
@@ -134,16 +145,43 @@ def card_pseudonym(value: Column, key: str) -> Column:
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
-    """Area code, exchange (both from 200) and line are permuted; +1 stays."""
+    """Area code, exchange and line are permuted; +1 stays.
+
+    Numbers whose area code and exchange are both from 200 are permuted among themselves,
+    and so are all others, so the permutation covers 000-999 for both.
+    """
     digits = _digits(value)
     ten = digits.substr(F.length(digits) - 9, F.lit(10))
+    area, rest = _long(ten.substr(1, 3)), _long(ten.substr(4, 7))
     pair = feistel(
-        _long(ten.substr(1, 3)) - 200, _long(ten.substr(4, 7)) - 2000000,
+        area - 200, rest - 2000000,
         F.lit(800).cast("long"), F.lit(8000000).cast("long"), key, "phone",
     )
-    new = _let(
+    assigned = _let(
         pair, lambda p: F.concat((p["a"] + 200).cast("string"), (p["b"] + 2000000).cast("string"))
     )
+    # The others by rank: 200 areas with 1,000 exchanges, then 800 with 200.
+    exchange = _long(ten.substr(4, 3))
+    rank = F.when(area < 200, area * 1000 + exchange).otherwise(
+        200000 + (area - 200) * 200 + exchange
+    )
+    pair = feistel(
+        rank, _long(ten.substr(7, 4)),
+        F.lit(360000).cast("long"), F.lit(10000).cast("long"), key, "phone-other",
+    )
+    other = _let(
+        pair,
+        lambda p: F.concat(
+            F.when(p["a"] < 200000, _pad(p["a"], 6)).otherwise(
+                F.concat(
+                    (F.floor((p["a"] - 200000) / 200) + 200).cast("string"),
+                    _pad((p["a"] - 200000) % 200, 3),
+                )
+            ),
+            _pad(p["b"], 4),
+        ),
+    )
+    new = F.when((area >= 200) & (exchange >= 200), assigned).otherwise(other)
     country = digits.substr(F.lit(1), F.length(digits) - 10)
     return _refill(value, F.concat(country, new))
 
@@ -273,6 +311,133 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
+def _parts(text: Column, pattern: str) -> Column:
+    """The text cut at all matches, as array<struct<s, hit>> that joins to the text."""
+    gaps = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.flatten(
+        F.zip_with(
+            gaps,
+            hits,
+            lambda gap, hit: F.filter(
+                F.array(_part(gap, False), _part(hit, True)), lambda p: p["s"].isNotNull()
+            ),
+        )
+    )
+
+
+def _part(s: Column, hit: bool) -> Column:
+    return F.struct(s.alias("s"), F.lit(hit).alias("hit"))
+
+
+def card_spans(run: Column) -> Column:
+    """Card numbers in a run of digit groups: array<struct<start, end>>, by place.
+
+    Every sequence of whole groups with 13 to 19 digits is tested. A valid run in
+    groups of a long card is the card. Otherwise numbers in the usual groups come first, then
+    others; each from the left, the longest first, and none overlaps another.
+    """
+    span = "array<struct<start:int,n:int,end:int,usual:boolean>>"
+    groups = F.split(run, "[ -]")
+    ends = F.aggregate(
+        groups,
+        F.array(F.lit(-1)),
+        lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + 1 + F.length(g))),
+    )
+
+    def tested(at: Column) -> Column:
+        """Spans [start, end) of at most 19 groups from every group."""
+
+        def one(i: Column, k: Column) -> Column:
+            start, end = F.get(at, i) + 1, F.get(at, i + k)
+            digits = end - start - k + 1
+            cut = run.substr(start + 1, end - start)
+            return F.struct(
+                start.alias("start"),
+                (-digits).alias("n"),
+                end.alias("end"),
+                F.when(digits.between(13, 19), cut.rlike(USUAL)).alias("usual"),
+            )
+
+        all_spans = F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.size(at) - 2),
+                lambda i: F.transform(
+                    F.sequence(F.lit(1), F.least(F.lit(19), F.size(at) - 1 - i)),
+                    lambda k: one(i, k),
+                ),
+            )
+        )
+        return F.filter(
+            all_spans,
+            lambda s: s["n"].between(-19, -13)
+            & luhn_valid(run.substr(s["start"] + 1, s["end"] - s["start"])),
+        )
+
+    def disjoint(spans: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("all"))
+        return F.aggregate(
+            F.array_sort(spans),
+            none,
+            lambda acc, s: F.when(
+                s["start"] >= acc["at"],
+                F.struct(s["end"].alias("at"), F.concat(acc["all"], F.array(s)).alias("all")),
+            ).otherwise(acc),
+            lambda acc: acc["all"],
+        )
+
+    def chosen(valid: Column) -> Column:
+        whole = F.filter(
+            valid,
+            lambda s: (s["start"] == 0) & (s["end"] == F.length(run)) & run.rlike(LONG),
+        )
+        usual = disjoint(F.filter(valid, lambda s: s["usual"]))
+        both = _let(
+            usual,
+            lambda u: F.array_sort(
+                F.concat(
+                    u,
+                    disjoint(
+                        F.filter(
+                            valid,
+                            lambda s: ~F.exists(
+                                u, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])
+                            ),
+                        )
+                    ),
+                )
+            ),
+        )
+        return F.when(F.size(whole) > 0, whole).otherwise(both)
+
+    return _let(_let(ends, tested), chosen)
+
+
+def _run_parts(run: Column) -> Column:
+    """The parts of a run: its card numbers, and the other forms beside them."""
+
+    def cut(spans: Column) -> Column:
+        edges = F.concat(
+            F.array(F.lit(0)),
+            F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"]))),
+            F.array(F.length(run)),
+        )
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.size(edges) - 2),
+            lambda i: F.struct(
+                run.substr(F.get(edges, i) + 1, F.get(edges, i + 1) - F.get(edges, i)).alias("s"),
+                (i % 2 == 1).alias("hit"),
+            ),
+        )
+        return F.flatten(
+            F.transform(
+                pieces, lambda p: F.when(p["hit"], F.array(p)).otherwise(_parts(p["s"], SINGLE))
+            )
+        )
+
+    return _let(card_spans(run), cut)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with pseudonyms, n_found (long), values (each with its pseudonym).
 
@@ -281,25 +446,29 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     pseudonyms in all of them. Other columns are ignored.
     """
     text = F.col("_text")
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    none = F.array().cast("array<string>")
     rows = docs.select("doc_id", text_of().alias("_text"))
-    rows = rows.withColumn("_hits", F.when(text.rlike(ANY), found).otherwise(none))
-    rows = rows.withColumn("_new", F.transform("_hits", lambda v: pseudonym(v, key)))
-    between = F.split(text, ANY, -1)
-    joined = F.array_join(
-        F.flatten(
-            F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda gap, new: F.array(gap, new))
-        ),
-        "",
+    parts = F.flatten(
+        F.transform(
+            _parts(text, ANY),
+            lambda p: F.when(p["hit"] & p["s"].rlike(_whole(RUN)), _run_parts(p["s"])).otherwise(
+                F.array(p)
+            ),
+        )
+    )
+    none = F.array().cast("array<struct<s:string,hit:boolean>>")
+    rows = rows.withColumn("_parts", F.when(text.rlike(ANY), parts).otherwise(none))
+    rows = rows.withColumn(
+        "_new", F.transform("_parts", lambda p: F.when(p["hit"], pseudonym(p["s"], key)).otherwise(p["s"]))
     )
     values = F.filter(
-        F.zip_with("_hits", "_new", lambda v, p: F.struct(v.alias("value"), p.alias("pseudonym"))),
+        F.zip_with(
+            "_parts", "_new", lambda v, p: F.struct(v["s"].alias("value"), p.alias("pseudonym"))
+        ),
         lambda s: s["value"] != s["pseudonym"],
     )
     return rows.select(
         "doc_id",
-        F.when(F.size("_hits") == 0, text).otherwise(joined).alias("text"),
+        F.when(F.size("_parts") == 0, text).otherwise(F.array_join("_new", "")).alias("text"),
         F.size(values).cast("long").alias("n_found"),
         values.alias("values"),
     )

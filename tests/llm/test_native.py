@@ -185,6 +185,43 @@ def test_linked_across_formats_documents_and_keys(spark, make_docs):
     assert other.text != got[3].text
 
 
+def test_phones_of_every_area_code(spark, make_docs):
+    phones = [f"+1 ({a:03d}) {x:03d}-0042" for a in range(0, 1000, 37) for x in (0, 17, 199, 200, 555, 999)]
+    rows = pii.pseudonymise(make_docs([(i, f"at {p}.") for i, p in enumerate(phones)])).collect()
+    new = [r.text[3:-1] for r in rows]
+    assert all(r.n_found == 1 for r in rows) and len(set(new)) == len(phones)
+    assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p) for p in new)
+    old = {r.text[3:-1]: phones[r.doc_id] for r in rows}
+    usual = lambda p: p[4] >= "2" and p[9] >= "2"
+    assert all(usual(a) == usual(b) for a, b in old.items())
+
+
+CARD_TEXTS = [
+    ("4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]),
+    ("4111111111111111 123", ["4111111111111111"]),
+    ("order 42 4111111111111111", ["4111111111111111"]),
+    ("7 4111-1111-1111-1111 99 378282246310005 1", ["4111-1111-1111-1111", "378282246310005"]),
+    ("3782 822463 10005 and 4111 1111 1111 1111 578-555-6437", ["3782 822463 10005", "4111 1111 1111 1111", "578-555-6437"]),
+    ("123 456 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("1235 578-555-6437 7", ["578-555-6437"]),
+    ("4111111111111111 10.0.0.1 x", ["4111111111111111", "10.0.0.1"]),
+    ("4111111111111111 29.02.2024", ["4111111111111111", "29.02.2024"]),
+    ("4111111111111111 42@example.com", ["4111111111111111", "42@example.com"]),
+    ("1234567890123 4111 1111 1111 1112", []),
+]
+
+
+def test_cards_beside_other_numbers(make_docs):
+    docs = make_docs([(i, t) for i, (t, _) in enumerate(CARD_TEXTS)])
+    for r in pii.pseudonymise(docs).collect():
+        text, want = CARD_TEXTS[r.doc_id]
+        assert [v.value for v in r["values"]] == want, text
+        for v in r["values"]:
+            text = text.replace(v.value, v.pseudonym, 1)
+        assert r.text == text
+        assert all(luhn(re.sub(r"\D", "", v.pseudonym)) for v in r["values"] if v.value[:2] in ("41", "37"))
+
+
 def test_long_text_and_empty_table(make_docs, no_docs):
     text = "x 4111 1111 1111 1111 y " * 2000
     row = pii.pseudonymise(make_docs([(1, text)])).first()
