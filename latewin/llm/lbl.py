@@ -82,15 +82,19 @@ class Counts:
     table: DataFrame
     tokens: int
     distinct: int
-    carried: dict[bytes, int]
+    ends: int  # training texts, each of which ends once; known whatever is carried
+    carried: dict[bytes, int]  # without the end
     least: int  # words counted this often, and no longer than CARRIED_BYTES, are carried
 
 
 def gather_counts(texts: DataFrame, most: int = CARRIED) -> Counts:
     """Counts of all training texts, and the most frequent words up to ``most``."""
     table = stage(word_counts(texts), "words")
-    n, v = table.agg(F.sum("c"), F.count(F.lit(1))).first()
-    short = table.where(F.octet_length("word") <= CARRIED_BYTES)
+    is_end = F.octet_length("word") == 0
+    n, v, ends = table.agg(
+        F.sum("c"), F.count(F.lit(1)), F.sum(F.when(is_end, F.col("c")))
+    ).first()
+    short = table.where((F.octet_length("word") <= CARRIED_BYTES) & ~is_end)
     # Words by octave eighths of their count: a table of a few hundred rows at most.
     eighth = F.floor(F.log2("c") * 8)
     steps = short.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"))
@@ -100,12 +104,14 @@ def gather_counts(texts: DataFrame, most: int = CARRIED) -> Counts:
             break
         total, least = total + row["n"], row["c"]
     carried = {bytes(r["word"]): r["c"] for r in short.where(F.col("c") >= least).collect()}
-    return Counts(table, n or 0, v or 0, carried, least)
+    return Counts(table, n or 0, v or 0, ends or 0, carried, least)
 
 
-def model_words(counts: Counts, most: int = MODEL_WORDS) -> list[bytes]:
-    words = [w for w in counts.carried if w]
-    return sorted(words, key=lambda w: (-counts.carried[w], w))[:most]
+def model_words(counts: Counts, most: int = MODEL_WORDS) -> dict[bytes, int]:
+    """The most frequent words with their counts, whether they are carried or not."""
+    words = counts.table.where(F.octet_length("word").between(1, CARRIED_BYTES))
+    rows = words.orderBy(F.desc("c"), "word").limit(most).collect()
+    return {bytes(r["word"]): r["c"] for r in rows}
 
 
 @dataclass(frozen=True)
@@ -199,15 +205,13 @@ class Trainer:
         self.seen += n
 
 
-def train(texts: DataFrame, words: list[bytes], counts: Counts, passes: int = 1) -> np.ndarray:
+def train(texts: DataFrame, words: dict[bytes, int], counts: Counts, passes: int = 1) -> np.ndarray:
     """All numbers of the model in one array, averaged over the partitions."""
     size = _FIRST + len(words)
     shape = Shape(size)
-    known = sum(counts.carried[w] for w in words)
-    ends = counts.carried.get(b"", 0)
+    known, ends = sum(words.values()), counts.ends
     raw = np.array(
-        [ends + 1, counts.tokens - known - ends + 1, 1e-9, *[counts.carried[w] for w in words]],
-        dtype=float,
+        [ends + 1, counts.tokens - known - ends + 1, 1e-9, *words.values()], dtype=float
     )
     share = raw / raw.sum()
     flat = start_numbers(shape, share)
@@ -284,10 +288,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     shape = Shape(_FIRST + len(words))
     table = normalisers(shape, flat)
     n, v = counts.tokens, counts.distinct
-    modelled = sum(counts.carried[w] for w in words) + counts.carried.get(b"", 0)
+    modelled = sum(words.values()) + counts.ends
+    end_log, end_known = math.log10(counts.ends + 1), int(counts.ends > 0)
     others = math.log10(n - modelled + max(v - len(words) - 1, 0) + 1)
     total = math.log10(n + v + 1)
-    shared = spark.sparkContext.broadcast((flat.astype(np.float32), table, words, counts.carried))
+    shared = spark.sparkContext.broadcast((flat.astype(np.float32), table, list(words), counts.carried))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,7 +302,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
         lookup = _Lookup({w: i + _FIRST for i, w in enumerate(vocabulary)})
         # log10(c + 1) of carried words; a word outside is looked up by the join.
         logs = {w: math.log10(x + 1) for w, x in carried.items()}
-        end_log, end_known = logs.get(b"", 0.0), int(b"" in logs)
         row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []

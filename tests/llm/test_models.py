@@ -124,6 +124,14 @@ def test_joined_counts_equal_carried(make_docs, monkeypatch):
     check_base(make_docs(rows), rows)
 
 
+def test_end_is_known_when_words_as_frequent_are_not_carried(make_docs, monkeypatch):
+    # Few long texts: more words than may be carried occur as often as texts end.
+    rows = [(i, " ".join(f"w{k}" for k in range(300))) for i in range(8)]
+    monkeypatch.setattr(lbl.gather_counts, "__defaults__", (50,))
+    got = check_base(make_docs(rows), rows)
+    assert all(r.n_known == 301 for r in got)
+
+
 def test_model_learns_order_and_is_normalised(make_docs):
     rng = random.Random(6)
     rows = []
