@@ -1,19 +1,22 @@
 """Scoring by a log-bilinear language model.
 
-The two words before a token predict a vector, q = C1 r(w-1) + C2 r(w-2), and a word
-scores q . r(w) + b(w); a softmax over the model's vocabulary makes it a probability.
-The vocabulary is the MODEL_WORDS most frequent training words, the end of a text and
-one class for all other words, inside which a word has its add-one share.
+The two words before a token predict a vector, q = C1 r(w-1) + C2 r(w-2). Words are cut by
+frequency into classes; a class scores q . s(class) + its bias, and a word inside its class
+q . r(w) + b(w). A softmax over all classes times one over the words of the class makes the
+probability. The vocabulary is every training word seen MIN_COUNT times (at least the
+LEAST_WORDS most frequent), the end of a text and one class for all other words, inside which
+a word has its add-one share.
 
 Word counts cover all training texts. The vectors are trained in numpy by
 noise-contrastive estimation on every training token: each partition runs over its
-own texts from the same start, and Spark averages the results by tokens seen. As only
-MODEL_WORDS**2 pairs of context words exist, all normalisers are computed at once by
-batched matrix products.
+own texts from the same start, and Spark averages each word's results by how often a
+partition met it. Normalisers are computed for the contexts that occur, by matrix products
+over batches of tokens: all classes for each token, and a class's words for its tokens.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -28,14 +31,21 @@ from pyspark.sql import functions as F
 from latewin.llm.tables import text_of
 from latewin.session import stage
 
-MODEL_WORDS = 1021
+#: Words seen so often in training have vectors, and in a small corpus so many words have.
+MIN_COUNT = 5
+LEAST_WORDS = 1021
 DIM = 16
 NOISE = 48
+NOISE_CLASSES = 24
 BATCH = 1024
 RATE = 0.3
-#: Most words whose counts travel to every task; the others are joined.
+#: Most words, apart from the vocabulary, whose counts travel to every task; the others are joined.
 CARRIED = 1 << 17
-CARRIED_BYTES = 64
+#: Longer words are known by their beginning and a digest.
+WORD_BYTES = 64
+#: Words whose trained numbers travel in one row, and tokens that are scored together.
+CHUNK = 256
+SLICE = 1 << 16
 #: Distinct words a task counts before it hands them on.
 COUNTED = 400_000
 # Numbers of the vocabulary before the words.
@@ -51,7 +61,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def tokens(text: str) -> list[bytes]:
     """Words in bytes, A-Z lower-cased; bytes.split cuts at exactly the six blanks."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if max(map(len, words), default=0) > WORD_BYTES:
+        return [w if len(w) <= WORD_BYTES else _short(w) for w in words]
+    return words
+
+
+def _short(word: bytes) -> bytes:
+    """WORD_BYTES + 1 bytes, as no other word has."""
+    return word[:32] + hashlib.blake2b(word, digest_size=WORD_BYTES - 31).digest()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -84,58 +102,96 @@ class Counts:
     distinct: int
     ends: int  # training texts, each of which ends once; known whatever is carried
     carried: dict[bytes, int]  # without the end
-    least: int  # words counted this often, and no longer than CARRIED_BYTES, are carried
+    least: int  # words counted this often are carried
+
+
+def _collected(words: DataFrame) -> dict[bytes, int]:
+    found = words.select("word", "c").toArrow()
+    return dict(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True))
 
 
 def gather_counts(texts: DataFrame, most: int = CARRIED) -> Counts:
-    """Counts of all training texts, and the most frequent words up to ``most``."""
+    """Counts of all training texts, the words seen MIN_COUNT times and others up to ``most``."""
     table = stage(word_counts(texts), "words")
     is_end = F.octet_length("word") == 0
     n, v, ends = table.agg(
         F.sum("c"), F.count(F.lit(1)), F.sum(F.when(is_end, F.col("c")))
     ).first()
-    short = table.where((F.octet_length("word") <= CARRIED_BYTES) & ~is_end)
+    words = table.where(~is_end)
     # Words by octave eighths of their count: a table of a few hundred rows at most.
     eighth = F.floor(F.log2("c") * 8)
-    steps = short.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"))
-    total, least = 0, 1 << 62
+    steps = words.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"))
+    total, least = 0, MIN_COUNT
     for row in sorted(steps.collect(), key=lambda r: -r["e"]):
-        if total + row["n"] > most:
+        total += row["n"] if row["c"] < MIN_COUNT else 0
+        if total > most:
             break
-        total, least = total + row["n"], row["c"]
-    carried = {bytes(r["word"]): r["c"] for r in short.where(F.col("c") >= least).collect()}
-    return Counts(table, n or 0, v or 0, ends or 0, carried, least)
+        least = min(least, row["c"])
+    return Counts(table, n or 0, v or 0, ends or 0, _collected(words.where(F.col("c") >= least)), least)
+
+
+def model_words(counts: Counts, fewest: int = LEAST_WORDS) -> dict[bytes, int]:
+    """The vocabulary with its counts, by falling count."""
+    found = {w: c for w, c in counts.carried.items() if c >= MIN_COUNT}
+    if len(found) < fewest:
+        words = counts.table.where(F.octet_length("word") > 0)
+        found = _collected(words.orderBy(F.desc("c"), "word").limit(fewest))
+    return dict(sorted(found.items(), key=lambda x: (-x[1], x[0])))
 
 
-def model_words(counts: Counts, most: int = MODEL_WORDS) -> dict[bytes, int]:
-    """The most frequent words with their counts, whether they are carried or not."""
-    words = counts.table.where(F.octet_length("word").between(1, CARRIED_BYTES))
-    rows = words.orderBy(F.desc("c"), "word").limit(most).collect()
-    return {bytes(r["word"]): r["c"] for r in rows}
+def class_starts(counts: np.ndarray) -> np.ndarray:
+    """Where classes of words begin, and their end, for counts by falling frequency.
+
+    Classes share the sum of square roots of counts evenly, so frequent words are in small
+    ones. The number of classes is that with the least work for a mean token.
+    """
+    if not len(counts):
+        return np.zeros(1, dtype=np.int64)
+    mass = np.cumsum(np.sqrt(counts))
+    best = None
+    for k in range(12):
+        at = np.searchsorted(mass, mass[-1] * np.arange(1, 1 << k) / (1 << k))
+        starts = np.unique(np.r_[0, at, len(counts)])
+        sizes = np.diff(starts)
+        work = len(sizes) + (np.add.reduceat(counts, starts[:-1]) * sizes).sum() / counts.sum()
+        if best is None or work < best[0]:
+            best = work, starts
+    return best[1].astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Shape:
+    """Numbers of a model in one array: words, contexts, word biases; then classes."""
+
     size: int
     dim: int = DIM
+    classes: int = 0
 
     @property
     def numbers(self) -> int:
-        return self.size * self.dim + 2 * self.dim * self.dim + self.size
+        k, d = self.size, self.dim
+        return k * d + 2 * d * d + k + self.classes * (d + 1)
 
     def split(self, flat: np.ndarray):
         k, d = self.size, self.dim
-        r, c, b = np.split(flat, [k * d, k * d + 2 * d * d])
+        r, c, b = np.split(flat[: k * d + 2 * d * d + k], [k * d, k * d + 2 * d * d])
         return r.reshape(k, d), c.reshape(2, d, d), b
 
+    def heads(self, flat: np.ndarray):
+        s, bias = np.split(flat[len(flat) - self.classes * (self.dim + 1) :], [self.classes * self.dim])
+        return s.reshape(self.classes, self.dim), bias
+
 
-def start_numbers(shape: Shape, share: np.ndarray, seed: int = 7) -> np.ndarray:
+def start_numbers(shape: Shape, share: np.ndarray, class_share: np.ndarray, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    flat = np.zeros(shape.numbers)
+    flat = np.zeros(shape.numbers, dtype=np.float32)
     r, c, b = shape.split(flat)
+    s, bias = shape.heads(flat)
     r[:] = rng.normal(0, 0.1, r.shape)
+    s[:] = rng.normal(0, 0.1, s.shape)
     c[:] = np.eye(shape.dim) * 0.5
     b[:] = np.log(share)
+    bias[:] = np.log(class_share)
     return flat
 
 
@@ -154,76 +210,150 @@ def _numbers(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices, and the sums of their rows."""
     order = np.argsort(index, kind="stable")
     ordered = index[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
-    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+class _Noise:
+    """Draws by share, and the logarithm of their expected number."""
+
+    def __init__(self, share: np.ndarray, draws: int):
+        self.cumulated = np.cumsum(share)
+        self.log = np.log(draws * share).astype(np.float32)
+        self.draws = draws
+
+    def draw(self, rng: np.random.Generator) -> np.ndarray:
+        u = rng.random(self.draws) * self.cumulated[-1]
+        return np.minimum(np.searchsorted(self.cumulated, u, side="right"), len(self.log) - 1)
+
+
+def _contrast(q, target, vectors, bias, noise: _Noise, rng):
+    """Gradients of the log-likelihood of "the target is data, noise is noise".
+
+    Those of q; and indices with the gradients of their vector and bias.
+    """
+    drawn = noise.draw(rng)
+    mine, theirs = vectors[target], vectors[drawn]
+    good = np.einsum("ij,ij->i", q, mine) + bias[target] - noise.log[target]
+    bad = q @ theirs.T + (bias[drawn] - noise.log[drawn])
+    up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
+    down = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
+    dq = up[:, None] * mine + down @ theirs
+    rows = np.concatenate([up[:, None] * q, down.T @ q])
+    return dq, np.r_[target, drawn], rows, np.r_[up, down.sum(0)]
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad over batches of (w-2, w-1, w)."""
+    """Noise-contrastive estimation by AdaGrad over batches of (w-2, w-1, w).
+
+    Only the numbers of words in a batch change. ``met`` counts the batch entries of each
+    word, by which the partitions' results are averaged.
+    """
 
-    def __init__(self, shape: Shape, flat: np.ndarray, share: np.ndarray, seed: int):
+    def __init__(self, shape: Shape, flat: np.ndarray, share, class_share, class_of, seed: int):
         self.shape = shape
         self.flat = flat.astype(np.float32)
         self.squares = np.full(shape.numbers, 1e-2, dtype=np.float32)
         self.rng = np.random.default_rng(seed)
-        self.share = share
-        self.cumulated = np.cumsum(share)
-        self.log_noise = np.log(NOISE * share).astype(np.float32)
+        self.noise = _Noise(share, NOISE)
+        self.class_noise = _Noise(class_share, NOISE_CLASSES)
+        self.class_of = class_of
+        self.met = np.zeros(shape.size, dtype=np.float32)
         self.seen = 0
+        self.at = list(zip(
+            [*shape.split(self.flat), *shape.heads(self.flat)],
+            [*shape.split(self.squares), *shape.heads(self.squares)],
+            strict=True,
+        ))
+
+    def _change(self, which: int, index: np.ndarray, grad: np.ndarray) -> None:
+        values, squares = self.at[which]
+        new = squares[index] + grad * grad
+        squares[index] = new
+        values[index] += RATE * grad / np.sqrt(new)
 
     def step(self, before2: np.ndarray, before1: np.ndarray, word: np.ndarray) -> None:
         r, c, b = self.shape.split(self.flat)
-        n, size = len(word), self.shape.size
-        u = self.rng.random(NOISE) * self.cumulated[-1]
-        noise = np.minimum(np.searchsorted(self.cumulated, u, side="right"), size - 1)
+        s, bias = self.shape.heads(self.flat)
+        n = len(word)
         v1, v2 = r[before1], r[before2]
         q = v1 @ c[0] + v2 @ c[1]
-        target = r[word]
-        good = (q * target).sum(1) + b[word] - self.log_noise[word]
-        bad = q @ r[noise].T + (b[noise] - self.log_noise[noise])
-        # Gradient of the log-likelihood of "word is data, noise is noise".
-        up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-        dq = up[:, None] * target + down @ r[noise]
-        grad = np.zeros_like(self.flat)
-        dr, dc, db = self.shape.split(grad)
-        dr += _scatter(word, up[:, None] * q, size)
-        dr += _scatter(before1, dq @ c[0].T, size)
-        dr += _scatter(before2, dq @ c[1].T, size)
-        np.add.at(dr, noise, down.T @ q)
-        dc[0], dc[1] = v1.T @ dq, v2.T @ dq
-        db += np.bincount(word, weights=up, minlength=size)
-        np.add.at(db, noise, down.sum(0))
-        grad /= n
-        self.squares += grad * grad
-        self.flat += RATE * grad / np.sqrt(self.squares)
+        dq, index, rows, up = _contrast(q, word, r, b, self.noise, self.rng)
+        dq2, index2, rows2, up2 = _contrast(
+            q, self.class_of[word], s, bias, self.class_noise, self.rng
+        )
+        dq += dq2
+        dc = np.stack([v1.T @ dq, v2.T @ dq])
+        every = np.r_[index, before1, before2]
+        wide = np.zeros((len(every), self.shape.dim + 1), dtype=np.float32)
+        wide[:, :-1] = np.concatenate([rows, dq @ c[0].T, dq @ c[1].T])
+        wide[: len(up), -1] = up
+        at, sums = _summed(every, wide / n)
+        self._change(0, at, sums[:, :-1])
+        self._change(2, at, sums[:, -1])
+        at, sums = _summed(index2, np.c_[rows2, up2] / n)
+        self._change(3, at, sums[:, :-1])
+        self._change(4, at, sums[:, -1])
+        self._change(1, np.arange(2), dc / n)
+        np.add.at(self.met, every, np.float32(1))
         self.seen += n
 
 
-def train(texts: DataFrame, words: dict[bytes, int], counts: Counts, passes: int = 1) -> np.ndarray:
-    """All numbers of the model in one array, averaged over the partitions."""
+def _averaged(parts: DataFrame) -> DataFrame:
+    """chunk, at, x: the mean of each row of numbers, by its weight."""
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        width = rows["width"].iloc[0]
+        at = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in rows["at"]])
+        weight = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in rows["weight"]])
+        x = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in rows["x"]]).reshape(-1, width)
+        index, sums = _summed(at, np.c_[x * weight[:, None], weight].astype(np.float64))
+        out = (sums[:, :-1] / sums[:, -1:]).astype(np.float32)
+        return pd.DataFrame(
+            {"chunk": [rows["chunk"].iloc[0]], "at": [index.astype(np.int32).tobytes()], "x": [out.tobytes()]}
+        )
+
+    return parts.groupBy("chunk").applyInPandas(mean, "chunk int, at binary, x binary")
+
+
+@dataclass(frozen=True)
+class Model:
+    shape: Shape
+    flat: np.ndarray
+    words: list[bytes]
+    starts: np.ndarray  # of the classes of words; END and OTHER are classes 0 and 1
+
+
+def class_numbers(starts: np.ndarray) -> np.ndarray:
+    """The class of every number; BEGIN, which is never a target, has OTHER's."""
+    return np.r_[0, 1, 1, np.repeat(np.arange(len(starts) - 1) + 2, np.diff(starts))]
+
+
+def train(texts: DataFrame, words: dict[bytes, int], counts: Counts, passes: int = 1) -> Model:
     size = _FIRST + len(words)
-    shape = Shape(size)
-    known, ends = sum(words.values()), counts.ends
-    raw = np.array(
-        [ends + 1, counts.tokens - known - ends + 1, 1e-9, *words.values()], dtype=float
-    )
+    by_word = np.array(list(words.values()), dtype=float)
+    starts = class_starts(by_word)
+    class_of = class_numbers(starts)
+    shape = Shape(size, classes=len(starts) + 1)
+    raw = np.r_[counts.ends + 1, counts.tokens - by_word.sum() - counts.ends + 1, 1e-9, by_word]
     share = raw / raw.sum()
-    flat = start_numbers(shape, share)
-    number = _Lookup({w: i + _FIRST for i, w in enumerate(words)})
+    class_share = np.bincount(class_of, weights=share, minlength=shape.classes)
+    flat = start_numbers(shape, share, class_share)
+    words_part = size * (shape.dim + 1)
 
     for _ in range(passes):
-        begin = texts.sparkSession.sparkContext.broadcast((flat.astype(np.float32), dict(number)))
+        begin = texts.sparkSession.sparkContext.broadcast(
+            (flat, share, class_share, class_of, {w: i + _FIRST for i, w in enumerate(words)})
+        )
 
         def run(batches: Iterator[pd.DataFrame], begin=begin) -> Iterator[pd.DataFrame]:
-            flat0, lookup = begin.value
+            flat0, share, class_share, class_of, lookup = begin.value
             lookup = _Lookup(lookup)
-            trainer = Trainer(shape, flat0, share, seed=13)
+            trainer = Trainer(shape, flat0, share, class_share, class_of, seed=13)
             for batch in batches:
                 rows = [_numbers(tokens(t), lookup) for t in batch["text"]]
                 if not rows:
@@ -235,40 +365,79 @@ def train(texts: DataFrame, words: dict[bytes, int], counts: Counts, passes: int
                 for i in range(0, len(at), BATCH):
                     here = at[i : i + BATCH]
                     trainer.step(flat_rows[here - 2], flat_rows[here - 1], flat_rows[here])
-            if trainer.seen:
-                yield pd.DataFrame(
-                    {
-                        "i": np.arange(shape.numbers, dtype=np.int32),
-                        "x": trainer.flat.astype(float),
-                        "n": float(trainer.seen),
-                    }
-                )
+            if not trainer.seen:
+                return
+            r, c, b = shape.split(trainer.flat)
+            s, bias = shape.heads(trainer.flat)
+
+            def row(chunk: int, at: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple:
+                parts = (at.astype(np.int32), x.astype(np.float32), weight.astype(np.float32))
+                return (chunk, x.shape[1], *[p.tobytes() for p in parts])
 
-        averaged = (
-            texts.select("text")
-            .mapInPandas(run, "i int, x double, n double")
-            .groupBy("i")
-            .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
-            .collect()
+            met = np.flatnonzero(trainer.met)
+            out = []
+            for at in np.split(met, np.searchsorted(met, np.arange(CHUNK, shape.size, CHUNK))):
+                if len(at):
+                    out.append(row(at[0] // CHUNK, at, np.c_[r[at], b[at]], trainer.met[at]))
+            rest = np.r_[c.ravel(), s.ravel(), bias]
+            for i in range(0, len(rest), CHUNK):
+                x = rest[i : i + CHUNK, None]
+                out.append(row(-1 - i // CHUNK, i + np.arange(len(x)), x, np.full(len(x), trainer.seen)))
+            yield pd.DataFrame(out, columns=["chunk", "width", "at", "x", "weight"])
+
+        parts = texts.select("text").mapInPandas(
+            run, "chunk int, width int, at binary, x binary, weight binary"
         )
-        if averaged:
-            flat = np.zeros(shape.numbers)
-            for row in averaged:
-                flat[row["i"]] = row["x"]
-    return flat
+        flat = flat.copy()
+        r, c, b = shape.split(flat)
+        rest = np.r_[c.ravel(), flat[words_part + c.size :]]
+        for found in _averaged(parts).toArrow().to_pylist():
+            at = np.frombuffer(found["at"], dtype=np.int32)
+            x = np.frombuffer(found["x"], dtype=np.float32)
+            if found["chunk"] < 0:
+                rest[at] = x
+            else:
+                x = x.reshape(-1, shape.dim + 1)
+                r[at], b[at] = x[:, :-1], x[:, -1]
+        c[:] = rest[: c.size].reshape(c.shape)
+        flat[words_part + c.size :] = rest[c.size :]
+    return Model(shape, flat, list(words), starts)
+
+
+def log_sums(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """log of the softmax's sum over all ``vectors`` for every row of ``q``."""
+    scores = q @ vectors.T
+    scores += bias
+    top = scores.max(1)
+    scores -= top[:, None]
+    return top + np.log(np.exp(scores, out=scores).sum(1))
 
 
 def normalisers(shape: Shape, flat: np.ndarray) -> np.ndarray:
-    """log of the softmax's sum for every (w-2, w-1), as a square table."""
+    """The sums over one class of all words, for every (w-2, w-1), as a square table."""
     r, c, b = shape.split(flat.astype(np.float32))
-    out = np.empty((shape.size, shape.size), dtype=np.float32)
     first, second = r @ c[0], r @ c[1]
     possible = np.arange(shape.size) != BEGIN
-    targets, bias = r[possible].T.copy(), b[possible]
-    for w2 in range(shape.size):
-        scores = (first + second[w2]) @ targets + bias
-        top = scores.max(1)
-        out[w2] = top + np.log(np.exp(scores - top[:, None]).sum(1))
+    return np.stack([log_sums(first + w2, r[possible], b[possible]) for w2 in second])
+
+
+def log_probabilities(model: Model, class_of: np.ndarray, w2, w1, w) -> np.ndarray:
+    """Natural logarithms of the model's probabilities of w after (w2, w1)."""
+    r, c, b = model.shape.split(model.flat)
+    s, bias = model.shape.heads(model.flat)
+    q = r[w1] @ c[0] + r[w2] @ c[1]
+    k = class_of[w]
+    out = np.einsum("ij,ij->i", q, s[k]) + bias[k]
+    for i in range(0, len(w), 2048):
+        out[i : i + 2048] -= log_sums(q[i : i + 2048], s, bias)
+    order = np.argsort(k, kind="stable")
+    cuts = np.searchsorted(k[order], np.arange(2, model.shape.classes + 1))
+    for j in np.flatnonzero(np.diff(cuts)):
+        a, z = _FIRST + model.starts[j], _FIRST + model.starts[j + 1]
+        for i in range(cuts[j], cuts[j + 1], 2048):
+            at = order[i : min(i + 2048, cuts[j + 1])]
+            here, word = q[at], w[at]
+            out[at] += np.einsum("ij,ij->i", here, r[word]) + b[word] - log_sums(here, r[a:z], b[a:z])
     return out
 
 
@@ -284,53 +453,74 @@ def score_documents(docs: DataFrame) -> DataFrame:
     training = rows.where("not held_out").select("text")
     counts = gather_counts(training)
     words = model_words(counts)
-    flat = train(training, words, counts)
-    shape = Shape(_FIRST + len(words))
-    table = normalisers(shape, flat)
+    model = train(training, words, counts)
+    size = model.shape.size
     n, v = counts.tokens, counts.distinct
     modelled = sum(words.values()) + counts.ends
-    end_log, end_known = math.log10(counts.ends + 1), int(counts.ends > 0)
+    end_known = int(counts.ends > 0)
     others = math.log10(n - modelled + max(v - len(words) - 1, 0) + 1)
     total = math.log10(n + v + 1)
-    shared = spark.sparkContext.broadcast((flat.astype(np.float32), table, list(words), counts.carried))
+    # log10(c + 1) of carried words, the vocabulary first; a word outside is looked up by the join.
+    more_words = [w for w in counts.carried if w not in words]
+    logs = np.log10(
+        np.r_[counts.ends, 0, 0, list(words.values()), [counts.carried[w] for w in more_words]] + 1.0
+    )
+    shared = spark.sparkContext.broadcast((model, logs, more_words))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, norm, vocabulary, carried = shared.value
-        r, c, b = shape.split(numbers)
-        first, second = r @ c[0], r @ c[1]
-        lookup = _Lookup({w: i + _FIRST for i, w in enumerate(vocabulary)})
-        # log10(c + 1) of carried words; a word outside is looked up by the join.
-        logs = {w: math.log10(x + 1) for w, x in carried.items()}
+        model, logs, more_words = shared.value
+        lookup = _Lookup({w: i + _FIRST for i, w in enumerate(model.words + more_words)})
+        class_of = class_numbers(model.starts)
+
+        def model_scores(texts: list[np.ndarray]) -> np.ndarray:
+            """Sum of each text's natural logarithms."""
+            ids = np.concatenate(texts)
+            ids[ids >= size] = OTHER
+            text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            at = np.flatnonzero(ids != BEGIN)
+            sums = np.zeros(len(texts))
+            for i in range(0, len(at), SLICE):
+                here = at[i : i + SLICE]
+                p = log_probabilities(model, class_of, ids[here - 2], ids[here - 1], ids[here])
+                sums += np.bincount(text[here], weights=p, minlength=len(texts))
+            return sums
+
         row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out = []
+            out, waiting, scores, held_back = [], [], [], 0
             for doc_id, held, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
                 ws = tokens(text)
                 ids = _numbers(ws, lookup)
-                w2, w1, w = ids[:-2], ids[1:-1], ids[2:]
-                q = first[w1] + second[w2]
-                log_p = np.einsum("ij,ij->i", q, r[w]) + b[w] - norm[w2, w1]
-                model = float(log_p.sum(dtype=np.float64)) / math.log(10)
-                found = [logs.get(x) for x in ws]
-                rest = Counter([x for x, f in zip(ws, found, strict=True) if f is None])
-                carried_logs = np.array([0.0 if f is None else f for f in found])
-                other = w[:-1] == OTHER
+                w = ids[2:]
+                unknown = np.flatnonzero(w == OTHER)
+                rest = Counter([ws[i] for i in unknown])
+                other = (w >= size) | (w == OTHER)
                 out.append(
                     (
                         row_id,
                         doc_id,
                         held,
-                        len(ws) + 1,
-                        len(ws) - sum(rest.values()) + end_known,
-                        float(carried_logs.sum()) + end_log - (len(ws) + 1) * total,
-                        model + float(carried_logs[other].sum()) - int(other.sum()) * others,
+                        len(w),
+                        len(ws) - len(unknown) + end_known,
+                        float(logs[w].sum()) - len(w) * total,
+                        float(logs[w[other]].sum()) - int(other.sum()) * others,
                         list(rest.keys()),
                         list(rest.values()),
                     )
                 )
                 row_id += 1
-            yield pd.DataFrame(out, columns=names)
+                waiting.append(ids)
+                held_back += len(ids)
+                if held_back >= SLICE:
+                    scores.append(model_scores(waiting))
+                    waiting, held_back = [], 0
+            if waiting:
+                scores.append(model_scores(waiting))
+            result = pd.DataFrame(out, columns=names)
+            if scores:
+                result["score"] += np.concatenate(scores) / math.log(10)
+            yield result
 
     names = ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest", "times"]
     scored = stage(
@@ -344,9 +534,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rest = scored.select("row_id", F.explode(F.arrays_zip("rest", "times")).alias("t")).select(
         "row_id", F.col("t.rest").alias("word"), F.col("t.times").alias("times")
     )
-    joined = counts.table.where(
-        (F.col("c") < counts.least) | (F.octet_length("word") > CARRIED_BYTES)
-    )
+    # Words of the vocabulary that are not carried otherwise are never in ``rest``.
+    joined = counts.table.where(F.col("c") < counts.least)
     found = (
         rest.join(joined, "word")
         .groupBy("row_id")

@@ -155,3 +155,30 @@ def test_normalisers_sum_to_one():
         s = (r[w1] @ c[0] + r[w2] @ c[1]) @ r.T + b
         p = np.exp(s - table[w2, w1])
         assert abs(p.sum() - p[lbl.BEGIN] - 1) < 1e-4
+
+
+def test_vocabulary_grows_with_the_corpus(make_docs):
+    # 4,000 words, each always followed by its own successor: beyond 1,021 words too.
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        at = rng.randrange(4000)
+        rows.append((i, " ".join(f"v{(at + k) % 4000}" for k in range(200))))
+    docs = make_docs(rows)
+    counts = lbl.gather_counts(docs.where(~lbl.held_out()).select("text"))
+    words = lbl.model_words(counts)
+    assert len(words) > 3900 and words == {w: c for w, c in counts.carried.items() if c >= lbl.MIN_COUNT}
+    assert list(words.values()) == sorted(words.values(), reverse=True)
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    counts = np.array([900.0, 300, 200, 90, 80, 30, 20, 9, 8, 7, 6, 5])
+    starts = lbl.class_starts(counts)
+    assert len(starts) > 2
+    shape = lbl.Shape(3 + len(counts), classes=len(starts) + 1)
+    flat = np.random.default_rng(3).normal(size=shape.numbers).astype(np.float32)
+    model = lbl.Model(shape, flat, [], starts)
+    w = np.array([i for i in range(shape.size) if i != lbl.BEGIN])
+    for w2, w1 in ((0, 3), (5, 8), (2, 2)):
+        p = lbl.log_probabilities(model, lbl.class_numbers(starts), np.full(len(w), w2), np.full(len(w), w1), w)
+        assert abs(np.exp(p).sum() - 1) < 1e-4
