@@ -47,19 +47,15 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds, for documents whose id divides by 100, n_within: the number of other
-    fingerprints within the search radius of theirs."""
-    rows = simhash.next_fingerprints(
-        stage(simhash.fingerprint_rows(documents(spark, sf_dir)), "fingerprints")
-    )
-    asked = rows.where(F.col("doc_id") % 100 == 0)
-    near_by = (
-        simhash.within_radius(asked, rows)
-        .groupBy("query")
-        .agg(F.sum((F.col("distance") > 0).cast("long")).alias("n"))
-    )
+    """Classes of equal fingerprints (smallest doc_id, size) and, for documents whose id
+    divides by 100, matches: all classes within the search radius, distance 0 included, and
+    n_within: the number of other fingerprints among them. Members of a class have its
+    fingerprint."""
+    prints = stage(simhash.fingerprint_rows(documents(spark, sf_dir)), "fingerprints")
+    asked = F.col("doc_id") % 100 == 0
+    rows = simhash.with_matches(simhash.next_fingerprints(prints), prints, asked)
     fp = F.col("fp")
-    return rows.join(near_by, rows["fp"] == near_by["query"], "left").select(
+    return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -67,8 +63,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(fp, F.col("edited_fp")).alias("near_edited"),
         simhash.likeness(fp, F.col("next_fp")).alias("near_next"),
-        F.when(F.col("doc_id") % 100 == 0, F.coalesce("n", F.lit(0))).alias("n_within"),
-    )
+        F.when(asked, F.size(F.filter("matches", lambda m: m["distance"] > 0)).cast("long")).alias("n_within"),
+        "class_id",
+        "class_size",
+        F.transform(
+            "matches",
+            lambda m: F.struct(
+                m["distance"].alias("distance"), simhash.as_hex(m["fp"]).alias("fingerprint"),
+                m["doc_id"].alias("doc_id"), m["size"].alias("size"),
+            ),
+        ).alias("matches"),
+    )
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,44 @@ def within_radius(
     )
 
 
+def fingerprint_classes(rows: DataFrame) -> DataFrame:
+    """fp, class_id (the smallest doc_id) and class_size (long), one row per fingerprint.
+
+    ``class_id`` is null where no row of the class has a doc_id.
+    """
+    return rows.groupBy("fp").agg(
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")
+    )
+
+
+def with_matches(rows: DataFrame, prints: DataFrame, asked: Column) -> DataFrame:
+    """Adds class_id, class_size and, where ``asked``, matches to every row.
+
+    ``prints`` holds doc_id and fp of all rows to search in. ``matches`` is
+    array<struct<distance, fp, doc_id, size>> by distance and fp: all classes within the
+    search radius with their smallest doc_id and their size, the row's own class at
+    distance 0 among them. Other members of a class are the rows of equal fp.
+    """
+    classes = fingerprint_classes(prints)
+    listed = (
+        within_radius(prints.where(asked), prints)
+        .join(classes, "fp")
+        .groupBy("query")
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        "distance", "fp", F.col("class_id").alias("doc_id"),
+                        F.col("class_size").alias("size"),
+                    )
+                )
+            ).alias("_matches")
+        )
+    )
+    found = classes.join(listed.withColumnRenamed("query", "fp"), "fp", "left")
+    return rows.join(found, "fp").withColumn("matches", F.when(asked, F.col("_matches"))).drop("_matches")
+
+
 def _next_block(blocks: DataFrame, possible: int) -> DataFrame:
     """(blk, next) for a table of distinct block numbers; the last has none.
 

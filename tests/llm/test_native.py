@@ -129,6 +129,29 @@ def test_search_finds_all_within_radius(spark):
         assert got == want
 
 
+def test_search_names_planted_copies_and_near_documents(spark, make_docs, tmp_path):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(100, " ".join(words)), (205, " ".join(words)), (3, " ".join(words))]
+    rows += [(i, " ".join([*words, f"z{i}"])) for i in range(310, 316)] + [(None, " ".join(words))]
+    rows += [(i, " ".join(f"u{i}x{k}" for k in range(90))) for i in (200, 401)]
+    rows += [(300, ""), (302, None)]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op5_simhash"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    prints = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    assert (got[205].class_id, got[205].class_size, got[None].class_id) == (3, 4, 3)
+    for i in (100, 200, 300):
+        near = {r.fingerprint for j, r in got.items() if (prints[i] ^ prints[j]).bit_count() <= 3}
+        assert {m.fingerprint for m in got[i].matches} == near and len(got[i].matches) == len(near)
+        assert got[i].n_within == len(near) - 1
+        for m in got[i].matches:
+            members = [j for j, r in got.items() if r.fingerprint == m.fingerprint]
+            assert m.distance == (prints[i] ^ int(m.fingerprint, 16)).bit_count()
+            assert (m.doc_id, m.size) == (min(j for j in members if j is not None), len(members))
+    assert tuple(got[100].matches[0])[::2] == (0, 3) and len(got[100].matches) > 1
+    assert all(r.matches is None and r.n_within is None for i, r in got.items() if i is None or i % 100)
+
+
 def luhn(digits):
     total = sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(digits[::-1], 1))
     return total % 10 == 0
