@@ -27,6 +27,13 @@ RADIUS = 3
 BLOCKS = 6
 #: Documents that one window partition of the walk to the next document holds.
 NEIGHBOURS = 512
+#: Most stretches of doc_id, of about as many rows each, that blocks are cut from.
+STRETCHES = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where a lambda uses it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _words(text: Column) -> Column:
@@ -200,13 +207,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     bounds = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     n, low, high, rows = bounds[0], bounds[1] or 0, bounds[2] or 0, bounds[3]
-    width = max(1, (high - low + 1) * NEIGHBOURS // max(n, 1))
-    numbered = (high - low) // width + 1
+    # Stretches by quantiles, so ids far off or unevenly spread do not share a block with the rest.
+    shares = max(1, min(STRETCHES, n // NEIGHBOURS))
+    at = docs.agg(F.percentile_approx("doc_id", [k / shares for k in range(1, shares)])).first()[0] if shares > 1 else []
+    lows = sorted({low, *at})
+    inside = -(-n // (shares * NEIGHBOURS)) or 1
+    ends = [*lows[1:], high + 1]
+    widths = [-(-(end - start) // inside) for start, end in zip(lows, ends, strict=True)]
+    numbered = len(lows) * inside
     unnumbered = (rows - n) // NEIGHBOURS + 1
     text = text_of()
     place = F.xxhash64(text)
+    stretch = F.size(F.filter(F.lit(lows[1:]).cast("array<long>"), lambda x: x <= F.col("doc_id")))
+    of = lambda numbers, k: F.get(F.lit(numbers).cast("array<long>"), k)
+    within = lambda k: F.least(
+        F.floor((F.col("doc_id") - of(lows, k)) / of(widths, k)), F.lit(inside - 1)
+    )
     block = F.coalesce(
-        F.floor((F.col("doc_id") - low) / width) if width > 1 else F.col("doc_id") - low,
+        F.when(F.col("doc_id").isNotNull(), _let(stretch, lambda k: k * inside + within(k))),
         numbered + F.floor((place / float(1 << 64) + 0.5) * unnumbered),
     ).cast("long")
     cut = docs.select("doc_id", text.alias("text"), place.alias("_place"), block.alias("blk"))

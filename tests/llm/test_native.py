@@ -89,6 +89,15 @@ def test_edited_texts(make_docs, scale):
         assert got[a].next_fp == got[b].fp
 
 
+def test_blocks_stay_small_beside_a_far_id(spark):
+    ids = spark.range(20_000).union(spark.createDataFrame([(10**12,), (-(10**15),)], "id long"))
+    docs = ids.select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows = simhash.with_next(docs)
+    assert rows.groupBy("blk").count().agg(F.max("count")).first()[0] <= 4 * simhash.NEIGHBOURS
+    wrong = rows.where("doc_id between 0 and 19998 and next_text != cast(doc_id + 1 as string)")
+    assert rows.count() == 20_002 and wrong.count() == 0
+
+
 def test_odd_rows_and_likeness(odd_docs, no_docs, make_docs):
     got = prints(odd_docs.withColumn("blk", F.lit(1))).collect()
     assert len(got) == len(ODD_ROWS)
