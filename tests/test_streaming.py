@@ -49,6 +49,18 @@ def test_full_retention(spark, events, tmp_path):
     assert sum(r["received"] for r in log.reports) == events.count()
 
 
+def test_progress_keeps_all_reports(spark, events, tmp_path):
+    log = ProgressLog(keep=2, spark=spark, path=str(tmp_path / "progress"))
+    assert log.table().count() == 0
+    spark.streams.addListener(log)
+    run_full_retention(replay(spark, events, tmp_path), b.WINDOW)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(log)
+    rows = log.table().collect()
+    assert len(log.reports) == 2 < len(rows)
+    assert sum(r.received for r in rows) == events.count()
+
+
 def test_keyed_state(spark, events, tmp_path):
     got = run_keyed_state(replay(spark, events, tmp_path), b.WINDOW)
     cmp.assert_exact(cmp.verdict(window_aggregate(events, b.WINDOW), got))
