@@ -2,8 +2,8 @@
 
 Three fixed patterns give the base spans. Beyond them, every run of token characters
 is scored by two first-order Markov models of characters, one of random strings
-and one of ordinary identifiers; a run whose log-likelihood ratio per character
-exceeds a threshold is a further span. Only built-in functions are used.
+and one of ordinary identifiers; a run whose log-likelihood ratio exceeds a bar that
+depends on its length is a further span. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -29,12 +29,15 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Runs that the models judge: token characters, with a letter and a digit.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that the models judge: token characters, outside the base spans.
+LEAST_RUN = 12
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 #: Characters of the models, in the order of their rows and columns.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Mean log-likelihood ratio (nats per character) from which a run is a secret.
 THRESHOLD = 0.35
+#: The whole ratio (nats) that a run needs besides, which is more a character in a short one.
+LEAST_RATIO = 10.0
 
 # Parts of ordinary identifiers, from which labelled samples are composed.
 PARTS = (
@@ -130,17 +133,49 @@ def markov_score(run: Column, table: list[float]) -> Column:
     numbers = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
     size = len(ALPHABET)
 
-    def code(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), run.substr(i, F.lit(1))) - 1
+    def after(acc: Column, c: Column) -> Column:
+        code = F.instr(F.lit(ALPHABET), c) - 1
+        ratio = F.coalesce(F.get(numbers, acc["code"] * size + code), F.lit(0.0))
+        return F.struct(code.alias("code"), (acc["total"] + ratio).alias("total"))
 
+    # Before the first character the index is negative, which adds nothing.
     total = F.aggregate(
-        F.sequence(F.lit(1), F.length(run) - 1),
-        F.lit(0.0),
-        lambda acc, i: acc + F.coalesce(F.get(numbers, code(i) * size + code(i + 1)), F.lit(0.0)),
+        F.filter(F.split(run, ""), lambda c: c != ""),
+        F.struct(F.lit(-1).alias("code"), F.lit(0.0).alias("total")),
+        after,
+        lambda acc: acc["total"],
     )
     return F.when(F.length(run) > 1, total / (F.length(run) - 1)).otherwise(0.0)
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """The pieces of a run that no base span covers and that are long enough to judge."""
+    kind = "struct<start:int,end:int,hit:string>"
+
+    def piece(start: Column, end: Column) -> Column:
+        found = F.struct(
+            start.cast("int").alias("start"),
+            end.cast("int").alias("end"),
+            run["hit"].substr(start - run["start"] + 1, end - start).alias("hit"),
+        )
+        return F.when(end - start >= LEAST_RUN, F.array(found)).otherwise(
+            F.array().cast(f"array<{kind}>")
+        )
+
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    begin = F.struct(run["start"].alias("at"), F.array().cast(f"array<{kind}>").alias("all"))
+    cut = F.aggregate(
+        F.array_sort(F.transform(touching, lambda b: F.struct(b["start"], b["end"]))),
+        begin,
+        lambda acc, b: F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.concat(acc["all"], piece(acc["at"], b["start"])).alias("all"),
+        ),
+        lambda acc: F.concat(acc["all"], piece(acc["at"], run["end"])),
+    )
+    return F.when(F.size(touching) == 0, F.array(run)).otherwise(cut)
+
+
 def _tagged(spans: Column, kind: str) -> Column:
     return F.transform(
         spans,
@@ -166,8 +201,8 @@ def _written(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans of every row.
 
-    Null and empty texts have no spans and the digest of the empty string. A run found
-    by the models that touches a base span is left to the base. Each row is treated
+    Null and empty texts have no spans and the digest of the empty string. Of a run that
+    touches base spans the models judge the pieces outside them. Each row is treated
     alone: repeated rows repeat their result and other columns are ignored.
     """
     text = F.col("_text")
@@ -177,18 +212,20 @@ def scan_secrets(docs: DataFrame, table: list[float], threshold: float = THRESHO
         F.filter(located(text, ASSIGN), long_value).alias("assign"),
         located(text, ACCESS).alias("access"),
         located(text, HEX).alias("hex"),
-        F.filter(
-            located(text, RUN),
-            lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Za-z]"),
-        ).alias("runs"),
+        located(text, RUN).alias("runs"),
     )
     base = F.concat("assign", "access", "hex")
     rows = rows.withColumn(
         "markov",
         F.filter(
-            "runs",
-            lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-            & (markov_score(s["hit"], table) > threshold),
+            F.flatten(F.transform("runs", lambda s: _outside(s, base))),
+            lambda s: F.get(
+                F.transform(
+                    F.array(markov_score(s["hit"], table)),
+                    lambda x: (x > threshold) & (x * (F.length(s["hit"]) - 1) > LEAST_RATIO),
+                ),
+                F.lit(0),
+            ),
         ),
     )
     written = _written(F.concat(*[_tagged(F.col(k), k) for k in KINDS[:3]]))
