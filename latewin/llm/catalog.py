@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from latewin.llm import (
     bpe,
+    catalog_sql,
     exact,
     lbl,
+    licenses,
     mixing,
     near,
     pii,
+    prefix_trie,
+    resampling,
     secret_scan,
     simhash,
     token_files,
@@ -112,6 +116,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_labels(licenses.scan_licenses(documents(spark, sf_dir)))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 _RE_SPACE = r"[\x20\x09-\x0D]"
 
 EXACT_SQL = rf"""
@@ -171,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_scan, op2_token_files, op3_exact_dedup, op4_near_dedup, op5_simhash,
         op6_pseudonyms, op7_bpe, op8_log_bilinear, op9_mixing, op10_toxicity,
+        op11_resampling, op12_licenses, op13_prefix_trie,
     )
 }
-SQL = {"op3_exact_dedup": EXACT_SQL, "op9_mixing": MIX_SQL}
+SQL = {"op3_exact_dedup": EXACT_SQL, "op9_mixing": MIX_SQL} | catalog_sql.SQL
