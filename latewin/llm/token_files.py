@@ -7,6 +7,7 @@ writes to will do; a file is decoded on its own.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,7 +34,9 @@ JOINED = 2_000
 _DOUBLE = re.compile(r"\s\s")
 _PLAIN = re.compile(r"\n?\S(.*\S)?\Z", re.DOTALL)
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-FILE_SCHEMA = "first_id bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, body binary"
+#: Files are numbered in order: the task that wrote it, then its place there.
+FILE_SCHEMA = "file_no bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, body binary"
+TASK_FILES = 1 << 32
 
 
 @lru_cache(maxsize=2)
@@ -124,12 +128,14 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, file_ids: int = FILE
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = worker_encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
         doc_ids, parts, total = [], [], 0
+        # Tasks hold ascending ranges of doc_id.
+        number_of = itertools.count(TaskContext.get().partitionId() * TASK_FILES)
 
         def file() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(parts), dtype="<u4")
             return pd.DataFrame(
                 {
-                    "first_id": pd.array([doc_ids[0]], dtype="Int64"),
+                    "file_no": [next(number_of)],
                     "n_ids": [len(ids)],
                     "doc_ids": [list(doc_ids)],
                     "lengths": [[len(p) // 4 for p in parts]],
@@ -173,18 +179,9 @@ def document_digests(files: DataFrame) -> DataFrame:
 
 def _decoded(files: DataFrame, value, name: str, kind: str) -> DataFrame:
     # One row per file; what earlier files hold is a running sum over these.
-    order = (
-        Window.orderBy(F.col("first_id").asc_nulls_first(), "order")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sized = files.withColumn("order", F.xxhash64("doc_ids", "lengths"))
-    before = sized.select("first_id", "order", "n_ids").withColumn(
-        "before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))
-    )
-    placed = sized.join(
-        before.select(F.col("first_id").alias("f"), F.col("order").alias("o"), "before").distinct(),
-        F.col("first_id").eqNullSafe(F.col("f")) & (F.col("order") == F.col("o")),
-    ).select("before", "doc_ids", "lengths", "body")
+    order = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("file_no", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    placed = files.join(before, "file_no").select("before", "doc_ids", "lengths", "body")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

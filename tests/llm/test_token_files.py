@@ -102,3 +102,14 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
     assert all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
     write_files(no_docs, PATH, str(tmp_path / "none"))
     assert document_digests(read_files(spark, str(tmp_path / "none"))).collect() == []
+
+
+def test_repeated_rows_over_files(spark, make_docs, tmp_path):
+    """Files that hold the same are still different files."""
+    path = str(tmp_path / "repeats")
+    write_files(make_docs([(1, "a b"), (1, "a b"), (2, "c")] + [(None, None)] * 4, 2), PATH, path, file_ids=1)
+    got = document_digests(read_files(spark, path)).collect()
+    assert len(got) == 7 == read_files(spark, path).count()
+    spans = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * 4 + [1, 1, 2]
