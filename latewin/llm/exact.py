@@ -120,6 +120,12 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     Of several rows with the kept doc_id and the same text, one stays.
     """
     keep = exact_groups(docs, salts).where("kept").select("doc_id", "text_sha256").distinct()
-    rows = docs.withColumn("_sha", F.sha2(normalised(text_of()).cast("binary"), 256))
-    same = rows["doc_id"].eqNullSafe(keep["doc_id"]) & (rows["_sha"] == keep["text_sha256"])
-    return rows.join(keep, same, "left_semi").drop("_sha")
+    keep = keep.select(F.col("doc_id").alias("keep_doc"), F.col("text_sha256").alias("keep_sha"))
+    # The row travels whole in one column, so none of its names can clash.
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("row_doc"),
+        F.sha2(normalised(text_of()).cast("binary"), 256).alias("row_sha"),
+    )
+    same = F.col("row_doc").eqNullSafe(F.col("keep_doc")) & (F.col("row_sha") == F.col("keep_sha"))
+    return rows.join(keep, same, "left_semi").select("row.*")

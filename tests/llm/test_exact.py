@@ -44,11 +44,13 @@ def test_hot_group_and_salts(make_docs):
 
 def test_dedup_keeps_columns_and_clashing_names(make_docs):
     docs = make_docs([(1, "a"), (2, " a"), (3, "b")]).withColumns(
-        {"digest": F.lit("x"), "salt": F.lit(1), "kept": F.lit(False), "keep_id": F.lit(0)}
+        {"_sha": F.lit("own"), "keep_sha": F.lit("own"), "row": F.lit(3), "digest": F.lit("x"), "salt": F.lit(1), "kept": F.lit(False), "keep_id": F.lit(0)}
     )
     out = exact_dedup(docs)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == [2, 3]
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == [2, 3]
+    assert {(r["_sha"], r["keep_sha"], r["row"]) for r in rows} == {("own", "own", 3)}
 
 
 def test_empty(no_docs):
