@@ -81,7 +81,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, sf_dir)).select(
+    key = spark.conf.get(pii.KEY_SETTING, "key of the test tables")
+    return pii.pseudonymise(documents(spark, sf_dir), key).select(
         "doc_id", "text", "n_found",
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
         F.transform("values", lambda v: v["pseudonym"]).alias("pseudonyms"),

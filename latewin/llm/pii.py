@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from latewin.llm.tables import text_of
 
 ROUNDS = 10
-KEY = "example-key"
-#: Days from 1900-01-01 that the date permutation covers (250 * 292).
-DATE_DAYS = (250, 292)
+#: Session setting that holds the secret key.
+KEY_SETTING = "spark.latewin.pseudonymKey"
+#: Their product is the number of days from 1900-01-01 to 2099-12-31, the dates the forms accept.
+DATE_DAYS = (17, 4297)
 
 # Fixed forms. The order of the alternation decides where several begin together.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -438,13 +439,22 @@ def _run_parts(run: Column) -> Column:
     return _let(card_spans(run), cut)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def secret_key(docs: DataFrame) -> str:
+    key = docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a secret key, or pass one")
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, n_found (long), values (each with its pseudonym).
 
     ``values`` is array<struct<value, pseudonym>> in text order, changed values only.
     Null text counts as empty. Rows are treated one by one; equal values have equal
-    pseudonyms in all of them. Other columns are ignored.
+    pseudonyms in all of them. Other columns are ignored. Without ``key`` the session's
+    setting is used; whoever has the key can invert the pseudonyms.
     """
+    key = key or secret_key(docs)
     text = F.col("_text")
     rows = docs.select("doc_id", text_of().alias("_text"))
     parts = F.flatten(

@@ -12,6 +12,12 @@ DOCS = T.StructType(
 )
 
 
+@pytest.fixture(scope="session", autouse=True)
+def pseudonym_key(spark):
+    """The session's secret key, which pseudonyms need."""
+    spark.conf.set("spark.latewin.pseudonymKey", "example-key")
+
+
 @pytest.fixture(scope="session")
 def make_docs(spark):
     """Documents from (doc_id, text[, source]) rows, over several partitions."""

@@ -230,6 +230,26 @@ def test_linked_across_formats_documents_and_keys(spark, make_docs):
     assert other.text != got[3].text
 
 
+def test_every_day_is_permuted(spark):
+    """Also the last days of the century that the forms accept."""
+    first = datetime.date(1900, 1, 1)
+    days = [(first + datetime.timedelta(i)).isoformat() for i in range(0, 73_049, 293)]
+    days += ["2099-12-25", "2099-12-31", "2099-11-12", "2099-11-13"]
+    got = pseudonyms(spark, [*days, "31.12.2099"])
+    assert len({got[d] for d in days}) == len(set(days))
+    assert sum(got[d] == d for d in days) <= 2 and got["31.12.2099"] != "31.12.2099"
+    assert all(1900 <= datetime.date.fromisoformat(got[d]).year <= 2099 for d in days)
+
+
+def test_no_key_no_pseudonyms(spark, make_docs):
+    spark.conf.unset(pii.KEY_SETTING)
+    try:
+        with pytest.raises(ValueError, match="secret key"):
+            pii.pseudonymise(make_docs([(1, "a")]))
+    finally:
+        spark.conf.set(pii.KEY_SETTING, "example-key")
+
+
 def test_phones_of_every_area_code(spark, make_docs):
     phones = [f"+1 ({a:03d}) {x:03d}-0042" for a in range(0, 1000, 37) for x in (0, 17, 199, 200, 555, 999)]
     rows = pii.pseudonymise(make_docs([(i, f"at {p}.") for i, p in enumerate(phones)])).collect()
