@@ -24,7 +24,7 @@ def _stream(spark, d):
     """The arrivals cut into a few blocks and replayed one per micro-batch."""
     path = scratch_dir(spark, "replay")
     events = b.arrivals(spark, d).select("n", "event_time", "device_id", "sensor", "value")
-    write_replay(events, path, -(-events.count() // BLOCKS))
+    write_replay(events, path, -(-b.canonical(spark, d).count() // BLOCKS))
     return read_replay(spark, path, events.schema)
 
 

@@ -1,17 +1,25 @@
 """Adaptive lateness, reconciliation and guarded release on a stream.
 
-Every micro-batch turns state version b-1 into version b:
-
-    root/state/version=b/tier=hot|archive|final   window summaries
-    root/control/version=b/control.json           the scalars, written last
-
-A version counts once its control file exists. A batch that is run again either
-finds its control file and does nothing, or overwrites its unfinished version. A
-batch that carries a committed number but other rows raises. The final rows of all
-versions together are the append-only result.
-
-The last release cycle of a run is a view of its own below root/closing; it takes no
-version, so the stream can be resumed with the next batch.
+The summaries lie in a store of buckets by window end:
+
+    root/store/version=b/bucket=K    all summaries of bucket K as of micro-batch b
+    root/control/version=b/control.json    the scalars and the live buckets, written last
+
+A micro-batch reads and writes only the buckets its events fall into; a bucket it does not hit
+keeps the version that last wrote it, however many batches ago. Nothing is moved when windows
+are archived or released: a summary's tier follows from its end, the version that opened it and
+the control file. It is archived once the watermark has reached its end, and released once a
+cycle from its opening on had its frontier there. The counts of the tiers are kept by window
+end, for ends that are not released only, so they are as many as fit between the release
+frontier and the newest window.
+
+A version counts once its control file exists. A batch that is run again either finds its
+control file and does nothing, or overwrites its unfinished version. A batch that carries a
+committed number but other rows raises. A bucket's old version is deleted one batch after the
+one that replaced it.
+
+The last release cycle of a run changes counters only; it takes no version, so the stream can be
+resumed with the next batch.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ import json
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latewin.operators.lateness import arrival_lateness, budget_expression
@@ -35,15 +43,17 @@ from latewin.sources.replay import (
     write_text,
 )
 
-_STATE = (
+#: Slides a bucket of the store covers, but never less than a window.
+BUCKET_SLIDES = 64
+_STORED = (
     "start long, device_id string, sensor string, count long, sum double, min double, "
-    "max double, end long, tier string"
+    "max double, end long, opened long, added long, lost long"
 )
 
 
 @dataclass
 class Control:
-    """Scalars of the stream after a version; the two lists hold at most ``history``."""
+    """Scalars of the stream after a version; lists and maps are bounded as said above."""
 
     version: int = -1
     events: int = 0
@@ -51,7 +61,6 @@ class Control:
     first_time: int | None = None
     budget: int | None = None
     watermark: int | None = None
-    released_through: int | None = None
     max_lateness: int = 0
     max_overflow: int = 0
     ooo_events: int = 0
@@ -67,6 +76,14 @@ class Control:
     out_of_order: list = field(default_factory=list)
     #: Rows, least and greatest arrival number, and sum of times of the batch itself.
     batch: list = field(default_factory=list)
+    #: Summaries that are not released, by window end.
+    held: dict = field(default_factory=dict)
+    #: (version, frontier) of the cycles that no later one reaches beyond.
+    releases: list = field(default_factory=list)
+    #: The version that holds a bucket; one entry for BUCKET_SLIDES slides of event time.
+    buckets: dict = field(default_factory=dict)
+    #: (bucket, version) that this version replaced.
+    replaced: list = field(default_factory=list)
 
 
 class AdaptiveStream:
@@ -87,14 +104,15 @@ class AdaptiveStream:
         self.cycle_batches = cycle_batches
         self.drop_late = drop_late_after_eviction
         self.closing: Control | None = None
+        self.span = cfg.slide * max(BUCKET_SLIDES, cfg.window // cfg.slide)
 
     # -- versions -------------------------------------------------------------
 
     def _control_path(self, version: int) -> str:
         return f"{self.root}/control/version={version}/control.json"
 
-    def _state_path(self, version: int) -> str:
-        return f"{self.root}/state/version={version}"
+    def _version_path(self, version: int) -> str:
+        return f"{self.root}/store/version={version}"
 
     def control(self, version: int) -> Control:
         if version < 0:
@@ -116,83 +134,107 @@ class AdaptiveStream:
         text = json.dumps(asdict(control))
         write_text(self.spark, self._control_path(control.version), text)
 
-    def state(self, version: int) -> DataFrame:
-        """Hot and archived summaries of a version."""
-        if version < 0 or not path_exists(self.spark, self._state_path(version)):
-            return self.spark.createDataFrame([], _STATE)
-        rows = self.spark.read.schema(_STATE).parquet(self._state_path(version))
-        return rows.filter(F.col("tier").isin("hot", "archive"))
+    # -- the store --------------------------------------------------------------
+
+    def bucket_path(self, control: Control, bucket: str) -> str:
+        return f"{self._version_path(control.buckets[bucket])}/bucket={bucket}"
+
+    def stored(self, control: Control, buckets: list[str] | None = None) -> DataFrame:
+        """Summaries of the live buckets, or of those among ``buckets``."""
+        wanted = control.buckets if buckets is None else buckets
+        paths = [self.bucket_path(control, k) for k in wanted if k in control.buckets]
+        if not paths:
+            return self.spark.createDataFrame([], _STORED)
+        return self.spark.read.schema(_STORED).parquet(*paths)
 
     @staticmethod
-    def _signature(batch: DataFrame) -> list:
-        return list(
-            batch.agg(
-                F.count(F.lit(1)), F.min("n"), F.max("n"), F.sum(F.col("event_time").cast("long"))
-            ).first()
-        )
+    def _released(control: Control, opened: Column) -> Column:
+        """Whether a cycle from the opening on had its frontier at the window's end."""
+        free = F.lit(False)
+        for version, frontier in control.releases:
+            free = free | ((opened <= version) & (F.col("end") <= frontier))
+        return free
 
-    def final(self, through: int) -> DataFrame:
-        """Released summaries of all versions up to ``through``."""
-        if through < 0 or not path_exists(self.spark, f"{self.root}/state"):
-            return self.spark.createDataFrame([], _STATE)
-        rows = self.spark.read.schema(f"{_STATE}, version int").parquet(f"{self.root}/state")
-        return rows.filter((F.col("tier") == "final") & (F.col("version") <= through)).drop(
-            "version"
-        )
+    def state(self, version: int) -> DataFrame:
+        """Hot and archived summaries of a version, with their tier."""
+        now = self.control(version)
+        tier = F.when(F.col("end") <= F.lit(now.watermark).cast("long"), "archive").otherwise("hot")
+        held = self.stored(now).filter(~self._released(now, F.col("opened")))
+        return held.select("start", *KEYS, *PARTIALS, "end", tier.alias("tier"))
+
+    def final(self, version: int) -> DataFrame:
+        """Released summaries as of a version."""
+        now = self.control(version)
+        gone = self.stored(now).filter(self._released(now, F.col("opened")))
+        return gone.select("start", *KEYS, *PARTIALS, "end", F.lit("final").alias("tier"))
 
     # -- one micro-batch --------------------------------------------------------
 
+    @staticmethod
+    def _signature() -> list[Column]:
+        return [
+            F.count(F.lit(1)),
+            F.min("n"),
+            F.max("n"),
+            F.sum(F.col("event_time").cast("long")),
+        ]
+
     def __call__(self, batch: DataFrame, version: int) -> None:
         self.spark = batch.sparkSession
-        signature = self._signature(batch)
         if path_exists(self.spark, self._control_path(version)):
             committed = self.control(version).batch
+            signature = list(batch.agg(*self._signature()).first())
             if committed != signature:
                 raise RuntimeError(
                     f"batch {version} is committed with {committed} and came again as {signature}"
                 )
             return
         before = self.control(version - 1)
-        now = Control(**{**asdict(before), "version": version, "batch": signature})
+        now = Control(**{**asdict(before), "version": version, "replaced": []})
         # Recomputed from the source if an executor is lost with its part of it.
         obs = arrival_lateness(batch).persist()
         try:
-            self._observe(obs, before, now)
+            touched = self._observe(obs, before, now)
             if now.watermark is not None:
-                release = (version + 1) % self.cycle_batches == 0
-                partials = window_partials(obs, self.cfg).withColumn(
-                    "end", F.col("start") + self.cfg.window
-                )
-                self._advance(partials, before, now, release, self._state_path(version))
+                if touched:
+                    self._merge(window_partials(obs, self.cfg), touched, before, now)
+                self._archive_and_release(now, (version + 1) % self.cycle_batches == 0)
             self._commit(now)
         finally:
             obs.unpersist()
-        if version >= 2:
-            for tier in ("hot", "archive"):
-                delete_path(self.spark, f"{self._state_path(version - 2)}/tier={tier}")
+        for bucket, old in before.replaced:
+            delete_path(self.spark, f"{self._version_path(old)}/bucket={bucket}")
 
-    def _observe(self, obs: DataFrame, before: Control, now: Control) -> None:
-        """Batch statistics, the new budget and the new watermark."""
+    def _observe(self, obs: DataFrame, before: Control, now: Control) -> list[str]:
+        """Batch statistics, the new budget and watermark; the buckets that the batch hits."""
+        policy = self.lateness
         carried = F.lit(before.max_time).cast("long")
         top = F.greatest("max_before", carried)
         obs = obs.withColumn(
             "lateness",
             F.greatest(F.coalesce(top - F.col("event_time"), F.lit(0)), F.lit(0)),
         )
+        # Events were admitted under the budget in force before this batch.
+        admitted = policy.initial if before.budget is None else before.budget
+        pane = F.floor(F.col("event_time") / self.cfg.slide) * self.cfg.slide
+        ends = (pane + self.cfg.slide, pane + self.cfg.window)
         stats = obs.agg(
-            F.count(F.lit(1)).alias("events"),
+            *self._signature(),
             F.max("event_time").alias("max_time"),
             F.min_by("event_time", "n").alias("first_time"),
             F.max_by("event_time", "n").alias("last_time"),
             F.max("lateness").alias("max_lateness"),
             F.count(F.when(F.col("lateness") > 0, 1)).alias("ooo"),
+            F.count(F.when(F.col("lateness") > admitted, 1)).alias("over"),
+            # A bucket covers a window at least, so an event's ends are in two at most.
+            *[F.collect_set(F.floor(e / self.span)).alias(f"hit{i}") for i, e in enumerate(ends)],
         ).first()
-        if not stats.events:
-            return
-        policy = self.lateness
+        now.batch = list(stats[:4])
+        if not stats[0]:
+            return []
         tail = obs.orderBy(F.col("n").desc()).limit(policy.history).select("lateness").collect()
         recent = [r.lateness for r in reversed(tail)]
-        now.events += stats.events
+        now.events += stats[0]
         now.ooo_events += stats.ooo
         now.max_time = max(stats.max_time, before.max_time or stats.max_time)
         now.first_time = stats.first_time if before.first_time is None else before.first_time
@@ -204,13 +246,11 @@ class AdaptiveStream:
             now.budget = self._budget(now, stats.last_time)
         reach = now.max_time - now.budget
         now.watermark = reach if before.watermark is None else max(before.watermark, reach)
-        # Events were admitted under the budget in force before this batch.
-        admitted = policy.initial if before.budget is None else before.budget
-        over = obs.filter(F.col("lateness") > admitted).count()
-        now.over_budget_events += over
+        now.over_budget_events += stats.over
         now.max_lateness = max(before.max_lateness, stats.max_lateness)
         if now.budget > 0:
             now.max_overflow = max(before.max_overflow, stats.max_lateness - now.budget)
+        return [str(k) for k in sorted({*stats.hit0, *stats.hit1})]
 
     def _budget(self, now: Control, last_time: int) -> int:
         """The batch operator's expression over one row of signals.
@@ -244,70 +284,91 @@ class AdaptiveStream:
         budget = control.budget or 0
         return max(1, budget, control.max_lateness + 1, control.max_overflow + budget)
 
-    def _advance(
-        self, partials: DataFrame, before: Control, now: Control, release: bool, path: str
+    def _merge(
+        self, partials: DataFrame, touched: list[str], before: Control, now: Control
     ) -> None:
-        """Merge the batch into the state, move tiers, and write all to ``path``.
+        """Merge the batch into the buckets it hits and write those as a new version.
 
-        Only summaries behind the released frontier can meet a released key; when
-        the batch has any, the released rows from their earliest start on are
-        looked up.
+        A key that was released takes nothing more; what it would have taken is ``lost``.
         """
-        columns = ["start", "end", *KEYS, *PARTIALS]
-        if before.released_through is not None:
-            behind = partials.filter(F.col("end") <= before.released_through)
-            found = behind.agg(F.count(F.lit(1)), F.min("start")).first()
-            if found[0]:
-                gone = self.final(before.version).filter(F.col("start") >= found[1])
-                gone = gone.select("start", *KEYS)
-                lost = behind.join(gone, ["start", *KEYS], "left_semi")
-                number = lost.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-                now.late_after_eviction += number
-                if number and not self.drop_late:
-                    raise RuntimeError(f"{number} late events after eviction")
-                if number:
-                    partials = partials.join(
-                        lost.select("start", *KEYS), ["start", *KEYS], "left_anti"
-                    )
-        tagged = self.state(before.version).select(*columns, "tier", F.lit(0).alias("added"))
-        fresh = partials.select(
-            *columns, F.lit(None).cast("string").alias("tier"), F.col("count").alias("added")
+        old = self.stored(before, touched).select(
+            "start", "end", *KEYS, *PARTIALS, "opened", F.lit(0).cast("long").alias("added")
         )
-        merged = (
-            tagged.unionByName(fresh)
+        new = partials.select(
+            "start",
+            (F.col("start") + self.cfg.window).alias("end"),
+            *KEYS,
+            *PARTIALS,
+            F.lit(None).cast("long").alias("opened"),
+            F.col("count").alias("added"),
+        )
+        kinds = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+        held = F.col("opened").isNotNull()
+        both = (
+            old.unionByName(new)
             .groupBy("start", "end", *KEYS)
             .agg(
-                F.sum("count").alias("count"),
-                F.sum("sum").alias("sum"),
-                F.min("min").alias("min"),
-                F.max("max").alias("max"),
-                F.max("tier").alias("was"),
+                *[f(c).alias(f"{c}_all") for c, f in kinds.items()],
+                *[f(F.when(held, F.col(c))).alias(f"{c}_old") for c, f in kinds.items()],
+                F.max("opened").alias("opened"),
                 F.sum("added").alias("added"),
             )
         )
-        sealed = F.coalesce(F.col("was") == "archive", F.lit(False)) | (
-            F.col("end") <= now.watermark
+        gone = F.coalesce(self._released(before, F.col("opened")), F.lit(False))
+        path = self._version_path(now.version)
+        (
+            both.select(
+                "start",
+                *KEYS,
+                *[F.when(gone, F.col(f"{c}_old")).otherwise(F.col(f"{c}_all")).alias(c) for c in PARTIALS],
+                "end",
+                F.coalesce("opened", F.lit(now.version)).cast("long").alias("opened"),
+                F.when(gone, F.lit(0)).otherwise(F.col("added")).cast("long").alias("added"),
+                F.when(gone, F.col("added")).otherwise(F.lit(0)).cast("long").alias("lost"),
+                F.floor(F.col("end") / self.span).alias("bucket"),
+            )
+            .write.mode("overwrite")
+            .partitionBy("bucket")
+            .parquet(path)
+        )
+        now.replaced = [[k, before.buckets[k]] for k in touched if k in before.buckets]
+        now.buckets = {**before.buckets, **dict.fromkeys(touched, now.version)}
+        reached = F.lit(before.watermark).cast("long")
+        late = (F.col("opened") < now.version) & (F.col("end") <= reached)
+        # One row for every window end of the buckets hit.
+        ends = (
+            self.stored(now, touched)
+            .groupBy("end")
+            .agg(
+                F.count(F.when(F.col("opened") == now.version, 1)).alias("fresh"),
+                F.sum(F.when(late, F.col("added")).otherwise(0)).alias("reconciled"),
+                F.sum("lost").alias("lost"),
+            )
+            .collect()
         )
-        free = F.lit(False)
-        if self.guard is not None and release:
-            free = F.col("end") + self.guard_seconds(now) <= now.watermark
-        tier = F.when(sealed & free, "final").when(sealed, "archive").otherwise("hot")
-        merged.withColumn("tier", tier).write.mode("overwrite").partitionBy("tier").parquet(path)
-        written = self.spark.read.schema(f"{_STATE}, was string, added long").parquet(path)
-        sizes = written.agg(
-            F.count(F.when(F.col("tier") == "hot", 1)).alias("hot"),
-            F.count(F.when(F.col("tier") == "archive", 1)).alias("archive"),
-            F.count(F.when(F.col("tier") == "final", 1)).alias("final"),
-            F.max(F.when(F.col("tier") == "final", F.col("end"))).alias("through"),
-            F.sum(F.when(F.col("was") == "archive", F.col("added"))).alias("reconciled"),
-        ).first()
-        now.hot, now.archive = sizes.hot, sizes.archive
-        now.frozen += sizes.final
-        now.peak_hot = max(before.peak_hot, sizes.hot)
-        now.peak_total = max(before.peak_total, sizes.hot + sizes.archive)
-        now.reconciled_events += sizes.reconciled or 0
-        if sizes.through is not None:
-            now.released_through = max(sizes.through, before.released_through or sizes.through)
+        lost = sum(r.lost for r in ends)
+        if lost and not self.drop_late:
+            raise RuntimeError(f"{lost} late events after eviction")
+        now.late_after_eviction += lost
+        now.reconciled_events += sum(r.reconciled for r in ends)
+        now.held = dict(before.held)
+        for r in ends:
+            if r.fresh:
+                now.held[str(r.end)] = now.held.get(str(r.end), 0) + r.fresh
+
+    def _archive_and_release(self, now: Control, release: bool) -> None:
+        """The tiers' counts under the new watermark and, in a cycle, the new frontier."""
+        if release and self.guard is not None:
+            frontier = now.watermark - self.guard_seconds(now)
+            out = {end: n for end, n in now.held.items() if int(end) <= frontier}
+            now.frozen += sum(out.values())
+            now.held = {end: n for end, n in now.held.items() if end not in out}
+            # A frontier that a later cycle reaches or passes says nothing more.
+            now.releases = [r for r in now.releases if r[1] > frontier] + [[now.version, frontier]]
+        now.archive = sum(n for end, n in now.held.items() if int(end) <= now.watermark)
+        now.hot = sum(now.held.values()) - now.archive
+        now.peak_hot = max(now.peak_hot, now.hot)
+        now.peak_total = max(now.peak_total, now.hot + now.archive)
 
     # -- end of stream ------------------------------------------------------------
 
@@ -318,22 +379,15 @@ class AdaptiveStream:
         follow and another finish after them.
         """
         last = self.last_version()
-        before = self.control(last)
-        self.closing = before
-        if last < 0 or self.guard is None or before.watermark is None:
-            return self.rows(last)
-        now = Control(**{**asdict(before), "batch": []})
-        empty = self.state(-1).select("start", "end", *KEYS, *PARTIALS)
-        path = f"{self.root}/closing/after={last}"
-        self._advance(empty, before, now, release=True, path=path)
-        self.closing = now
-        closed = self.spark.read.schema(_STATE).parquet(path)
-        return finish(closed.unionByName(self.final(last)), self.cfg)
+        self.closing = self.control(last)
+        if last >= 0 and self.guard is not None and self.closing.watermark is not None:
+            self.closing.batch = []
+            self._archive_and_release(self.closing, release=True)
+        return self.rows(last)
 
     def rows(self, version: int) -> DataFrame:
-        """Union of the tiers of a version; a key is in exactly one of them."""
-        held = self.state(version).unionByName(self.final(version))
-        return finish(held, self.cfg)
+        """Window rows of all tiers of a version; a key is in exactly one of them."""
+        return finish(self.stored(self.control(version)), self.cfg)
 
     def report(self) -> DataFrame:
         """Counters of every version as a table."""

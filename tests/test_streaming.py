@@ -174,3 +174,57 @@ def test_messages(spark, events):
     back = messages.decode_events(wire.select(F.col("value").cast("binary").alias("value")))
     assert back.select(events.columns).exceptAll(events.limit(20)).count() == 0
     assert back.first().scenario == "mild_ooo"
+
+
+def test_a_batch_writes_only_the_buckets_it_hits(spark, tmp_path):
+    """Buckets that a batch does not hit keep their files; tiers follow without a rewrite."""
+    cfg = WindowConfig(60, 10)
+    controller = AdaptiveStream(spark, str(tmp_path / "s"), cfg, guard=GuardConfig("fixed", 100))
+
+    def readings(numbers, times):
+        rows = [(n, t, "dev0", "s0", 1.0) for n, t in zip(numbers, times, strict=True)]
+        return spark.createDataFrame(
+            rows, "n long, event_time long, device_id string, sensor string, value double"
+        )
+
+    cuts = [
+        readings(range(1, 201), range(0, 2000, 10)),  # buckets 0 to 3 of 640 s
+        readings(range(201, 301), range(2000, 3000, 10)),  # buckets 3 and 4
+        readings(range(301, 303), [3000, 700]),  # bucket 4, and 1 by a late event
+    ]
+    hit = [{"0", "1", "2", "3"}, {"3", "4"}, {"1", "4"}]
+    folder = tmp_path / "s" / "store"
+    for version, (batch, wanted) in enumerate(zip(cuts, hit, strict=True)):
+        controller(batch, version)
+        written = {p.name.split("=")[1] for p in (folder / f"version={version}").glob("bucket=*")}
+        assert written == wanted
+    now = controller.control(2)
+    assert now.buckets == {"0": 0, "1": 2, "2": 0, "3": 1, "4": 2}
+    # Replaced two batches ago: gone; replaced by the last batch: still there for a rerun.
+    assert not (folder / "version=0" / "bucket=3").exists()
+    assert (folder / "version=0" / "bucket=1").exists() and (folder / "version=1" / "bucket=4").exists()
+    # The late event met released windows only, so nothing was added.
+    assert now.late_after_eviction == 6 and now.frozen > 250
+    assert controller.state(2).count() == now.hot + now.archive == sum(now.held.values())
+    assert controller.final(2).count() == now.frozen
+    events = cuts[0].unionByName(cuts[1]).unionByName(cuts[2].filter("event_time = 3000"))
+    cmp.assert_exact(cmp.verdict(window_aggregate(events, cfg), controller.finish()))
+
+
+def test_late_new_window_behind_the_frontier(spark, tmp_path):
+    """A key never seen before opens behind the frontier, is archived at once and released by
+    the next cycle; another event for it is then lost."""
+    schema = "n long, event_time long, device_id string, sensor string, value double"
+    controller = AdaptiveStream(
+        spark, str(tmp_path / "s"), WindowConfig(10, 10), guard=GuardConfig("fixed", 0), cycle_batches=2
+    )
+    batches = [[(1, 0, "a", "s", 1.0), (2, 1000, "a", "s", 1.0)], [(3, 1001, "a", "s", 1.0)],
+               [(4, 5, "b", "s", 2.0)], [(5, 6, "b", "s", 3.0)], [(6, 7, "b", "s", 4.0)]]
+    seen = []
+    for version, rows in enumerate(batches):
+        controller(spark.createDataFrame(rows, schema), version)
+        c = controller.control(version)
+        seen.append((c.hot, c.archive, c.frozen, c.reconciled_events, c.late_after_eviction))
+    assert seen == [(1, 1, 0, 0, 0), (1, 0, 1, 0, 0), (1, 1, 1, 0, 0), (1, 0, 2, 1, 0), (1, 0, 2, 1, 1)]
+    row = controller.finish().filter("DeviceId = 'b'").first()
+    assert (row["count"], row["sum"]) == (2, 5.0)
