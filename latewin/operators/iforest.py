@@ -3,15 +3,22 @@
 Liu, Ting, Zhou: Isolation Forest, ICDM 2008. A tree sees at most 256 rows,
 whatever the table holds, so the forest is small by construction (trees x 511
 nodes) and the table is only ever scanned.
+
+A split follows from the least and greatest value of every feature in the node and a hash of
+(seed, tree, node); node i has children 2i + 1 and 2i + 2. All choices are arithmetic on MD5
+digits, so another engine that follows the same rules grows the same trees. Features are
+rounded first, so that the order in which partial sums were added cannot change a split.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +32,13 @@ EULER = 0.5772156649015329
 _NODES = (
     "tree int, node int, feature int, threshold double, left int, right int, depth double"
 )
+#: Ranks are taken modulo this prime; digits of a hash are seven hexadecimal ones.
+PRIME = 2147483647
+HASHES = 1 << 28
+#: Places to which features, leaf depths and scores are rounded.
+FEATURE_PLACES = {"sum": 6, "avg": 8, "val_range": 6, "avg_ratio": 6, "lag_avg_diff": 8}
+DEPTH_PLACES = 6
+SCORE_PLACES = 9
 
 
 @dataclass(frozen=True)
@@ -47,69 +61,96 @@ def average_path(n) -> np.ndarray:
     return out
 
 
-def _grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
-    """Nodes of one tree; leaves carry their depth plus what is still unsplit below."""
-    rng = np.random.default_rng([seed, tree])
-    limit = int(np.ceil(np.log2(max(len(x), 2))))
-    nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, None)]
-    while todo:
-        rows, depth, link = todo.pop()
-        me = len(nodes)
-        if link is not None:
-            nodes[link[0]][link[1]] = me
-        here = x[rows]
-        low, high = here.min(axis=0), here.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or len(usable) == 0:
-            nodes.append([tree, me, -1, 0.0, -1, -1, depth + float(average_path([len(rows)])[0])])
-            continue
-        feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        cut = min(cut, float(np.nextafter(high[feature], low[feature])))
-        goes_left = here[:, feature] <= cut
-        nodes.append([tree, me, feature, cut, -1, -1, float(depth)])
-        todo.append((rows[~goes_left], depth + 1, (me, 5)))
-        todo.append((rows[goes_left], depth + 1, (me, 4)))
-    return pd.DataFrame(
-        nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "depth"]
-    )
+def rounded(features: DataFrame) -> DataFrame:
+    return features.withColumns({c: F.round(c, k) for c, k in FEATURE_PLACES.items()})
+
+
+def _hash(*parts) -> Column:
+    text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def _constant(seed: int, name: str, tree: int) -> int:
+    return int(md5(f"{seed}|{name}|{tree}".encode()).hexdigest()[:7], 16)
 
 
 def subsamples(features: DataFrame, rows: int, cfg: ForestConfig) -> DataFrame:
-    """For every tree the ``sample`` rows with the smallest hash of (key, tree, seed).
+    """For every tree the ``sample`` rows of the lowest rank (a * hash of the key + b) mod PRIME.
 
-    A row first keeps only the trees for which its hash is among the lowest few
-    multiples of the sample size, so far fewer than rows x trees rows are ranked.
+    A row first keeps only the trees for which it ranks among the lowest few multiples of the
+    sample size, so far fewer than rows x trees rows are ordered. Should that leave a tree
+    short, all rows are ranked.
     """
-    share = min(1.0, 8.0 * cfg.sample / max(rows, 1))
-    scale = 1 << 30
+    wanted = min(cfg.sample, rows)
+    chosen = _ranked(features, cfg, min(1.0, 2.0 * cfg.sample / max(rows, 1)))
+    if rows > 2 * cfg.sample:
+        chosen = stage(chosen, "subsamples")
+        full = chosen.groupBy("tree").count().filter(F.col("count") >= wanted).count()
+        if full < cfg.trees:
+            chosen = _ranked(features, cfg, 1.0)
+    return chosen
+
+
+def _ranked(features: DataFrame, cfg: ForestConfig, share: float) -> DataFrame:
+    a, b = (
+        F.array(*[F.lit(_constant(cfg.seed, name, t) + 1).cast("long") for t in range(cfg.trees)])
+        for name in "ab"
+    )
 
-    def rank(tree):
-        return F.pmod(F.xxhash64(*KEYS, tree, F.lit(cfg.seed)), F.lit(scale))
+    def rank(tree: Column) -> Column:
+        return (F.col("_key") * F.get(a, tree) + F.get(b, tree)) % PRIME
 
     trees = F.sequence(F.lit(0), F.lit(cfg.trees - 1))
-    kept = F.filter(trees, lambda t: rank(t) < int(share * scale))
-    chosen = features.withColumn("tree", F.explode(kept)).withColumn("_rank", rank(F.col("tree")))
+    low = features.withColumn("_key", _hash(*[F.col(c) for c in KEYS])).withColumn(
+        "tree", F.explode(F.filter(trees, lambda t: rank(t) < int(share * PRIME) + 1))
+    )
     order = Window.partitionBy("tree").orderBy("_rank", *KEYS)
     return (
-        chosen.withColumn("_place", F.row_number().over(order))
+        low.withColumn("_rank", rank(F.col("tree")))
+        .withColumn("_place", F.row_number().over(order))
         .filter(F.col("_place") <= cfg.sample)
-        .drop("_rank", "_place")
+        .drop("_key", "_rank", "_place")
     )
 
 
-def fit_forest(features: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
-    """Node table of the forest; one small task per tree."""
+def _grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
+    """Nodes of one tree; a leaf's depth includes what is still unsplit below it."""
+
+    def digits(name: str, node: int) -> int:
+        return int(md5(f"{seed}|{name}|{tree}|{node}".encode()).hexdigest()[:7], 16)
+
+    limit = ceil(log2(max(len(x), 2)))
+    nodes, todo = [], [(0, 0, x)]
+    while todo:
+        node, depth, here = todo.pop()
+        low, high = here.min(axis=0), here.max(axis=0)
+        usable = np.flatnonzero(high > low)
+        if depth >= limit or len(here) <= 1 or len(usable) == 0:
+            below = depth + float(average_path([len(here)])[0])
+            nodes.append((tree, node, -1, 0.0, -1, -1, round(below, DEPTH_PLACES)))
+            continue
+        feature = int(usable[digits("feature", node) % len(usable)])
+        least, most = float(low[feature]), float(high[feature])
+        cut = least + (most - least) * (digits("cut", node) / HASHES)
+        cut = least if cut >= most else cut
+        left, right = 2 * node + 1, 2 * node + 2
+        nodes.append((tree, node, feature, cut, left, right, float(depth)))
+        goes_left = here[:, feature] <= cut
+        todo += [(left, depth + 1, here[goes_left]), (right, depth + 1, here[~goes_left])]
+    return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
+
+
+def fit_forest(
+    features: DataFrame, cfg: ForestConfig = ForestConfig(), rows: int | None = None
+) -> DataFrame:
+    """Node table of the forest; one small task per tree. Inner nodes name a feature, leaves -1."""
     seed, names = cfg.seed, list(FEATURES)
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(KEYS))
-        return _grow(int(key[0]), rows[names].to_numpy("float64"), seed)
+    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return _grow(int(key[0]), part[names].to_numpy("float64"), seed)
 
-    return (
-        subsamples(features, features.count(), cfg).groupBy("tree").applyInPandas(build, _NODES)
-    )
+    rows = features.count() if rows is None else rows
+    return subsamples(features, rows, cfg).groupBy("tree").applyInPandas(build, _NODES)
 
 
 def score(features: DataFrame, forest: DataFrame, sample: int) -> DataFrame:
@@ -118,11 +159,16 @@ def score(features: DataFrame, forest: DataFrame, sample: int) -> DataFrame:
     The node table (at most trees x 511 rows) travels to the executors with the
     function; rows stay in their partitions.
     """
-    nodes = forest.orderBy("tree", "node").toPandas()
-    trees = [
-        tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth"))
-        for _, part in nodes.groupby("tree", sort=True)
-    ]
+    nodes = forest.toPandas()
+    size = int(nodes["node"].max()) + 1
+    trees = []
+    for _, part in nodes.sort_values("tree", kind="stable").groupby("tree", sort=True):
+        arrays = []
+        for column, filler in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("depth", 0.0)):
+            full = np.full(size, filler)
+            full[part["node"].to_numpy()] = part[column].to_numpy()
+            arrays.append(full)
+        trees.append(tuple(arrays))
     norm = float(average_path([sample])[0]) or 1.0
     schema = T.StructType([*features.schema.fields, T.StructField("score", T.DoubleType())])
     names = list(FEATURES)
@@ -142,7 +188,8 @@ def score(features: DataFrame, forest: DataFrame, sample: int) -> DataFrame:
                     at = np.where(f >= 0, step, at)
                     inner = feature[at] >= 0
                 total += depth[at]
-            yield rows.assign(score=np.power(2.0, -total / len(trees) / norm))
+            found = np.power(2.0, -total / len(trees) / norm)
+            yield rows.assign(score=np.round(found, SCORE_PLACES))
 
     return features.mapInPandas(run, schema)
 
@@ -152,16 +199,16 @@ class Detection:
 
     def __init__(self, rows: DataFrame, cfg: ForestConfig = ForestConfig()):
         self.cfg = cfg
-        self.features = stage(window_features(rows), "features")
+        self.features = stage(rounded(window_features(rows)), "features")
         self.rows = self.features.count()
         self.sufficient = self.rows >= cfg.min_rows
         if self.sufficient:
-            forest = fit_forest(self.features, cfg)
+            forest = fit_forest(self.features, cfg, self.rows)
             scored = stage(
                 score(self.features, forest, min(cfg.sample, self.rows)), "scores"
             )
             self.threshold = exact_quantile(scored, "score", 1.0 - cfg.contamination)
-            shifted = F.col("score") - F.lit(self.threshold)
+            shifted = F.round(F.col("score") - F.lit(self.threshold), SCORE_PLACES)
             self._scored = scored.withColumns(
                 {"anomaly_score": shifted, "is_anomaly": shifted > 0}
             )

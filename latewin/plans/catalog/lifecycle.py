@@ -357,9 +357,34 @@ def _result_query(name: str, sql: str, lateness=b.LATENESS):
 
 PLAIN = f"WITH {s.arr()}, {s.pairs(W, 'arr')} {s.agg()}"
 _result_query("cmix", PLAIN)
-_result_query("fixed", PLAIN)
-_result_query("aloa", PLAIN)
-_result_query("maso", PLAIN)
+
+
+def _held_query(name: str, chain: str, lateness, extra: str = ""):
+    """A mechanism that releases nothing, executed: every row with its state at the end."""
+
+    @query(
+        f"mechanism_result_{name}",
+        f"""WITH {chain}, rows AS ({s.agg(source="categorized")})
+        SELECT r.*, CASE WHEN archived IS NOT NULL THEN 'archive' ELSE 'hot' END AS tier,
+          opened, archived{extra}
+        FROM rows r JOIN keys k ON k.start = r.start AND k.device_id = r."DeviceId"
+         AND k.sensor = r."Sensor" """,
+    )
+    def run(spark, d):
+        return _round(Run(b.observed(spark, d), b.mechanisms(lateness)[name], W).held)
+
+    return run
+
+
+_held_query("fixed", FIXED, b.LATENESS)
+_held_query("fixed_lagged", s.lifecycle(policy=None, fixed_seconds=3600, lag=True), b.LATENESS)
+_held_query("aloa", ALOA, b.LATENESS)
+_held_query(
+    "maso",
+    s.lifecycle(b.TIGHT, policy=None),
+    b.TIGHT,
+    ", (SELECT count(*) FROM ticks c WHERE c.position >= opened) AS accounted_cycles",
+)
 _result_query("earm", f"WITH {_kept(FULL)} {s.agg(source='kept')}")
 _result_query("full", f"WITH {_kept(FULL)} {s.agg(source='kept')}")
 _result_query("earm_agg", f"WITH {_kept(TIGHT)} {s.agg(source='kept')}", b.TIGHT)

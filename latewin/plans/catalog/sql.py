@@ -103,6 +103,16 @@ def fixed(seconds: int, by: str = "") -> str:
 {_marks(by)}"""
 
 
+def lagged(seconds: int, by: str = "") -> str:
+    """The watermark follows the maximum before each arrival."""
+    p = _part(by)
+    return f"""marked AS (
+  SELECT *, CAST({seconds} AS BIGINT) AS budget,
+    max(coalesce(max_before, event_time)) OVER ({p}ORDER BY n) - {seconds} AS watermark FROM obs),
+timed AS (
+  SELECT *, lag(watermark) OVER ({p}ORDER BY n) AS watermark_before FROM marked)"""
+
+
 def _marks(by: str) -> str:
     p = _part(by)
     return f"""marked AS (
@@ -224,10 +234,14 @@ def lifecycle(
     fixed_seconds: int | None = None,
     by: str = "",
     cycle: int = CYCLE,
+    lag: bool = False,
 ) -> str:
     """Everything from the events table to keys and categorized pairs."""
     parts = [source or arr(), obs(by)]
-    parts.append(fixed(fixed_seconds, by) if fixed_seconds is not None else adaptive(lateness, by))
+    if fixed_seconds is not None:
+        parts.append((lagged if lag else fixed)(fixed_seconds, by))
+    else:
+        parts.append(adaptive(lateness, by))
     parts.append(pairs())
     parts.append(cycles(cycle, by))
     if policy:

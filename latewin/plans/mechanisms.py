@@ -29,8 +29,8 @@ def presets(
 ) -> dict[str, Mechanism]:
     """The named mechanisms.
 
-    ``cmix`` keeps everything; ``fixed`` has a constant budget; ``aloa`` the
-    adaptive one; ``maso`` adds accounting; ``earm`` and ``full`` also release
+    ``cmix`` keeps everything; ``fixed`` has a constant budget, ``fixed_lagged`` the same
+    below the maximum before each arrival; ``aloa`` the adaptive one; ``maso`` adds accounting; ``earm`` and ``full`` also release
     archived summaries; ``earm_agg`` does so with a small fixed guard.
     """
     guard = GuardConfig(guard_policy, guard_seconds, cycle_events, offset)
@@ -41,8 +41,9 @@ def presets(
     return {
         "cmix": Mechanism("cmix"),
         "fixed": Mechanism("fixed", "fixed", fixed_seconds),
+        "fixed_lagged": Mechanism("fixed_lagged", "fixed", fixed_seconds, lagged=True),
         "aloa": Mechanism("aloa", **adaptive),
-        "maso": Mechanism("maso", accounting=True, **adaptive),
+        "maso": Mechanism("maso", accounting=True, cycle_events=cycle_events, **adaptive),
         "earm": Mechanism("earm", guard=guard, accounting=True, **adaptive),
         "full": Mechanism("full", guard=guard, accounting=True, **adaptive),
         "earm_agg": Mechanism("earm_agg", guard=tight, accounting=True, **adaptive),
@@ -52,7 +53,7 @@ def presets(
 def with_watermark(obs: DataFrame, mech: Mechanism, by: Sequence[str] = ()) -> DataFrame:
     """Budget and watermark of a mechanism without adaptation; null where it has none."""
     if mech.budget == "fixed":
-        return fixed_watermark(obs, mech.fixed_seconds, by)
+        return fixed_watermark(obs, mech.fixed_seconds, by, mech.lagged)
     none = F.lit(None).cast("long")
     return obs.withColumns({"budget": none, "watermark": none, "watermark_before": none})
 
@@ -71,6 +72,37 @@ def result_by_tier(
     return rows.join(tiers, ["start", "DeviceId", "Sensor"])
 
 
+def held_result(keys: DataFrame, cfg: WindowConfig = WindowConfig(), by: Sequence[str] = ()) -> DataFrame:
+    """Result rows of a mechanism that releases nothing, each with its tier at the end and the
+    arrivals that opened and archived it.
+
+    Late events are merged into archived summaries, so the key table's aggregates are whole.
+    """
+    rows = keys.select(
+        *by, "start", "device_id", "sensor", "count", "sum", "min", "max",
+        "opened", "archived", lc.tier_of().alias("tier"),
+    )
+    result = finish(rows, cfg, by=by)
+    state = rows.select(
+        *by, "start", F.col("device_id").alias("DeviceId"), F.col("sensor").alias("Sensor"),
+        "tier", "opened", "archived",
+    )
+    return result.join(state, [*by, "start", "DeviceId", "Sensor"])
+
+
+def with_accounted_cycles(
+    rows: DataFrame, last_n: DataFrame, cycle: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``accounted_cycles``: the accounting cycles that find a row's summary held.
+
+    Cycles fire at every ``cycle``-th arrival and once more after the last one. ``last_n`` has
+    one row (per ``by``) with that arrival.
+    """
+    placed = with_run_value(rows, last_n, ["last_n"], by)
+    found = F.floor(F.col("last_n") / cycle) - F.floor((F.col("opened") - 1) / cycle) + 1
+    return placed.withColumn("accounted_cycles", found.cast("long")).drop("last_n")
+
+
 def union_of_tiers(by_tier: DataFrame) -> DataFrame:
     """Frozen rows overlaid by archive overlaid by hot, one row per key."""
     return tier_union(

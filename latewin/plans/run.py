@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from latewin.operators import lifecycle as lc
 from latewin.operators.lateness import (
@@ -101,11 +102,23 @@ class Run:
     def _plain(self) -> DataFrame:
         return self.__dict__.get("obs", self.events)
 
+    @property
+    def held(self) -> DataFrame:
+        """Rows of a mechanism without release, with tier, opened and archived; with accounting
+        also the accounting cycles that find each summary held."""
+        if self.mech.guard is not None:
+            raise ValueError("summaries are released under a guard; see result_by_tier")
+        rows = m.held_result(self.keys, self.cfg, self.by)
+        if not self.mech.accounting:
+            return rows
+        last = self.timed.groupBy(*self.by).agg(F.max("n").alias("last_n"))
+        return m.with_accounted_cycles(rows, last, self.mech.cycle_events, self.by)
+
     @property
     def result(self) -> DataFrame:
         """Everything except pairs that met a released window.
 
-        Without a guard nothing can be lost, so the lifecycle is not derived.
+        Without a guard nothing can be lost, so the lifecycle is not derived; see ``held``.
         """
         if self.mech.guard is None:
             return window_aggregate(self._plain, self.cfg, by=self.by)

@@ -136,8 +136,16 @@ class Mechanism:
     guard: GuardConfig | None = None
     accounting: bool = False
     lateness: LatenessConfig = field(default_factory=LatenessConfig)
+    #: A fixed budget is taken off the maximum before the arrival, not after it.
+    lagged: bool = False
+    #: Arrivals between two accounting cycles.
+    cycle_events: int = 100
 
     def __post_init__(self):
+        if self.cycle_events <= 0:
+            raise ValueError("cycle_events must be positive")
+        if self.lagged and self.budget != "fixed":
+            raise ValueError("only a fixed budget can lag")
         if self.budget not in ("none", "fixed", "adaptive"):
             raise ValueError("budget must be 'none', 'fixed' or 'adaptive'")
         if self.budget == "none" and self.guard is not None:
