@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -163,3 +164,50 @@ def full_shuffle(
     return with_arrival_index(
         df, [order, F.col(position)], F.floor(order / (_MODULUS // blocks))
     )
+
+
+#: Rounds of the permutation of positions.
+SWAP_ROUNDS = 24
+SWAP_PRIME = (1 << 31) - 1
+
+
+def swap_rounds(rows: int, seed: int = DEFAULT_SEED) -> list[tuple[int, int, int]]:
+    """(pivot below ``rows``, multiplier, addend) of every round, from the seed alone."""
+
+    def number(r: int, name: str) -> int:
+        return int(md5(f"{seed}|{name}|{r}".encode()).hexdigest()[:12], 16)
+
+    return [
+        (number(r, "pivot") % rows, number(r, "times") % (SWAP_PRIME - 2) + 1, number(r, "plus") % SWAP_PRIME)
+        for r in range(SWAP_ROUNDS)
+    ]
+
+
+def permuted(position: Column, rows: int, seed: int = DEFAULT_SEED) -> Column:
+    """A keyed permutation of [0, rows): Hoang, Morris, Rogaway's swap-or-not.
+
+    A round pairs x with pivot - x modulo ``rows``; a hash of the larger of both, the same for
+    either, decides whether they change places. Each round is a permutation, whatever ``rows``.
+    """
+    keys = F.array(
+        *[
+            F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(key, "pmc", strict=True)])
+            for key in swap_rounds(rows, seed)
+        ]
+    )
+
+    def swapped(x: Column, key: Column) -> Column:
+        other = F.pmod(key["p"] - x, F.lit(rows))
+        mixed = ((F.greatest(x, other) % SWAP_PRIME) * key["m"] + key["c"]) % SWAP_PRIME
+        bit = F.floor((mixed * mixed) % SWAP_PRIME / 4096) % 2
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(keys, position.cast("long"), swapped)
+
+
+def keyed_shuffle(
+    df: DataFrame, rows: int, position: str = "i", seed: int = DEFAULT_SEED, name: str = "n"
+) -> DataFrame:
+    """Shuffle everything: ``position`` is dense from 0, and each row computes its arrival number
+    from it alone. No row moves and none is sorted."""
+    return df.withColumn(name, permuted(F.col(position), rows, seed) + 1)

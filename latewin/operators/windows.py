@@ -105,8 +105,9 @@ def finish(
     cfg: WindowConfig = WindowConfig(),
     round_to: int | None = None,
     by: Sequence[str] = (),
+    extra: Sequence[str | Column] = (),
 ) -> DataFrame:
-    """Result rows from partials."""
+    """Result rows from partials, with ``extra`` columns of theirs at the end."""
 
     def fixed(c: Column) -> Column:
         return F.round(c, round_to) if round_to is not None else c
@@ -122,6 +123,7 @@ def finish(
         fixed(F.col("sum") / F.col("count")).alias("avg"),
         fixed(F.col("min")).alias("min"),
         fixed(F.col("max")).alias("max"),
+        *extra,
     )
 
 

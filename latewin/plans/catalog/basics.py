@@ -372,6 +372,27 @@ def full_shuffle(spark, d):
     return disorder.full_shuffle(b.canonical(spark, d), seed=0).select("i", "n")
 
 
+def _swapped_sql() -> str:
+    """One step for every round of the permutation; the keys follow from the number of rows."""
+
+    def number(r: int, name: str) -> str:
+        return f"('0x' || md5('0|{name}|{r}')[1:12])::BIGINT"
+
+    size, steps, prime = "(SELECT count(*) FROM ev)", ["r0 AS (SELECT i, i AS x FROM ev)"], disorder.SWAP_PRIME
+    for r in range(disorder.SWAP_ROUNDS):
+        steps.append(f"""o{r} AS (SELECT i, x, (({number(r, "pivot")} % {size} - x) % {size} + {size}) % {size} AS y
+          FROM r{r}), h{r} AS (SELECT *, ((greatest(x, y) % {prime}) * ({number(r, "times")} % ({prime} - 2) + 1)
+            + {number(r, "plus")} % {prime}) % {prime} AS h FROM o{r}),
+        r{r + 1} AS (SELECT i, CASE WHEN (((h * h) % {prime}) // 4096) % 2 = 1 THEN y ELSE x END AS x FROM h{r})""")
+    return f"WITH {s.EV}, {', '.join(steps)} SELECT i, x + 1 AS n FROM r{disorder.SWAP_ROUNDS}"
+
+
+@query("keyed_shuffle", _swapped_sql())
+def keyed_shuffle(spark, d):
+    events = b.canonical(spark, d)
+    return disorder.keyed_shuffle(events, events.count(), seed=0).select("i", "n")
+
+
 @query(
     "scenario_disorder",
     f"""WITH {s.scenarios_arr()}, {s.obs("scenario")}
@@ -417,6 +438,18 @@ def profile_summary(spark, d):
     return profile.profile_summary(b.observed(spark, d))
 
 
+@query(
+    "profile_empty",
+    f"""WITH {s.EV} SELECT count(*) AS total_events, max(event_time) AS min_timestamp,
+    max(event_time) AS max_timestamp, max(event_time) AS timespan_seconds, 0::BIGINT AS ooo_events,
+    max(value) AS ooo_percentage, max(event_time) AS max_lateness_seconds,
+    max(value) AS avg_lateness_seconds, 0::BIGINT AS inversions FROM ev WHERE event_time < 0""",
+)
+def profile_empty(spark, d):
+    """The profile of arrivals before 1970, of which there are none."""
+    return profile.profile_summary(b.arrivals(spark, d).filter("event_time < 0"))
+
+
 @query(
     "profile_values",
     f"""WITH {s.EV}, dv AS (SELECT DISTINCT device_id FROM ev),

@@ -69,6 +69,24 @@ def compare_verdict(spark, d):
     return cmp.verdict(*_pair(spark, d))
 
 
+@query(
+    "compare_gate",
+    f"""SELECT 'damaged' AS result, exact AS passed FROM ({_verdict_sql(DAMAGED, "truth", "damaged")})
+    UNION ALL SELECT 'truth', exact FROM ({_verdict_sql(DAMAGED, "truth", "truth")})""",
+)
+def compare_gate(spark, d):
+    """Whether the gate lets a result pass: the truth itself, and a damaged copy."""
+    truth, damaged = _pair(spark, d)
+    outcome = []
+    for name, result in (("truth", truth), ("damaged", damaged)):
+        try:
+            cmp.assert_exact(cmp.verdict(truth, result))
+            outcome.append((name, True))
+        except AssertionError:
+            outcome.append((name, False))
+    return spark.createDataFrame(outcome, "result string, passed boolean")
+
+
 @query(
     "compare_missing",
     f"""WITH {DAMAGED} SELECT start, "DeviceId", "Sensor" FROM truth t

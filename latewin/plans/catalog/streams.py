@@ -11,7 +11,13 @@ from latewin.schema import GuardConfig
 from latewin.session import scratch_dir
 from latewin.sources.replay import read_replay, write_replay
 from latewin.streaming.adaptive import AdaptiveStream, run_adaptive
-from latewin.streaming.windows import run_fixed_lateness, run_full_retention, run_keyed_state
+from latewin.streaming.windows import (
+    IDENTITY,
+    run_deduplicated,
+    run_fixed_lateness,
+    run_full_retention,
+    run_keyed_state,
+)
 
 W = b.WINDOW
 PLAIN = f"WITH {s.arr()}, {s.pairs(W, 'arr')} {s.agg()}"
@@ -47,6 +53,16 @@ def stream_keyed_state(spark, d):
     return _round(run_keyed_state(_stream(spark, d), W))
 
 
+@query("stream_distinct", f"WITH {s.EV} SELECT DISTINCT {', '.join(IDENTITY)} FROM ev")
+def stream_distinct(spark, d):
+    """Every third reading arrives twice more, some in a later micro-batch."""
+    path = scratch_dir(spark, "replay")
+    events = b.arrivals(spark, d).select("n", *IDENTITY)
+    again = events.filter("n % 3 = 0").withColumn("n", F.explode(F.array(F.col("n") + 1, F.col("n") + 500)))
+    write_replay(events.unionByName(again), path, -(-b.canonical(spark, d).count() // BLOCKS))
+    return run_deduplicated(read_replay(spark, path, events.schema), DELAY)
+
+
 @query("stream_adaptive_union", PLAIN)
 def stream_adaptive_union(spark, d):
     """Adaptive budget, reconciliation and guarded release; nothing may be lost."""

@@ -78,16 +78,7 @@ def held_result(keys: DataFrame, cfg: WindowConfig = WindowConfig(), by: Sequenc
 
     Late events are merged into archived summaries, so the key table's aggregates are whole.
     """
-    rows = keys.select(
-        *by, "start", "device_id", "sensor", "count", "sum", "min", "max",
-        "opened", "archived", lc.tier_of().alias("tier"),
-    )
-    result = finish(rows, cfg, by=by)
-    state = rows.select(
-        *by, "start", F.col("device_id").alias("DeviceId"), F.col("sensor").alias("Sensor"),
-        "tier", "opened", "archived",
-    )
-    return result.join(state, [*by, "start", "DeviceId", "Sensor"])
+    return finish(keys, cfg, by=by, extra=[lc.tier_of().alias("tier"), "opened", "archived"])
 
 
 def with_accounted_cycles(

@@ -89,6 +89,27 @@ def run_fixed_lateness(
     return finish(closed.unionByName(still_open), cfg)
 
 
+IDENTITY = ("event_time", "device_id", "sensor", "value")
+
+
+def run_deduplicated(events: DataFrame, delay_seconds: int) -> DataFrame:
+    """Distinct readings of a stream, by all four columns of their identity.
+
+    A repeat has the time of its first, so the state forgets a reading once the watermark is
+    ``delay_seconds`` past it: repeats are found as long as they are no later than that.
+    """
+    spark = events.sparkSession
+    out, checkpoint = scratch_dir(spark, "distinct-rows"), scratch_dir(spark, "distinct-checkpoint")
+    rows = (
+        events.select(*IDENTITY, F.timestamp_seconds("event_time").alias("ts"))
+        .withWatermark("ts", f"{delay_seconds} seconds")
+        .dropDuplicatesWithinWatermark(list(IDENTITY))
+        .select(*IDENTITY)
+    )
+    _drain(rows.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 _UPDATES = "device_id string, sensor string, shard int, start long, count long, sum double, min double, max double"
 _SUMMARY = T.StructType(
     [
