@@ -56,7 +56,7 @@ class Run:
         if self.mech.budget != "adaptive":
             return m.with_watermark(self.obs, self.mech, self.by)
         policy = self.mech.lateness
-        budgets = stage(adaptive_budget(self.obs, policy, self.by), "budgets")
+        budgets = adaptive_budget(self.obs, policy, self.by)
         return stage(adaptive_watermark(self.obs, budgets, policy, self.by), "timed")
 
     @cached_property
