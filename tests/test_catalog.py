@@ -19,7 +19,8 @@ SECTION = (
     "late_categories", "accounting_cycles", "run_snapshot", "mechanism_result_full",
     "crosscheck_tight", "compare_field_mismatch", "matrix_ordering", "window_features",
     "canonical_manifest", "arrival_csv", "json_roundtrip", "stream_window_fixed",
-    "stream_adaptive_union",
+    "stream_adaptive_union", "stream_distinct", "keyed_shuffle", "profile_empty", "compare_gate",
+    "mechanism_result_fixed_lagged", "mechanism_result_maso", "anomaly_summary", "anomaly_insufficient",
 )
 NAMES = sorted(ENTRIES) if os.environ.get("LATEWIN_ALL_QUERIES") else SECTION
 
