@@ -3,9 +3,10 @@
 The two words before a token predict a vector, q = C1 r(w-1) + C2 r(w-2). Words are cut by
 frequency into classes; a class scores q . s(class) + its bias, and a word inside its class
 q . r(w) + b(w). A softmax over all classes times one over the words of the class makes the
-probability. The vocabulary is every training word seen MIN_COUNT times (at least the
-LEAST_WORDS most frequent), the end of a text and one class for all other words, inside which
-a word has its add-one share.
+probability. The vocabulary is made of the most frequent training words seen MIN_COUNT times, until
+COVERAGE of all tokens and WIDE_WORDS words are reached, or all of them (at least the LEAST_WORDS
+most frequent); of the end of a text; and of one class for all other words, inside which a word
+has its add-one share. So the vectors grow with the corpus, but slower than its words.
 
 Word counts cover all training texts. The vectors are trained in numpy by
 noise-contrastive estimation on every training token: each partition runs over its
@@ -34,6 +35,9 @@ from latewin.session import stage
 #: Words seen so often in training have vectors, and in a small corpus so many words have.
 MIN_COUNT = 5
 LEAST_WORDS = 1021
+#: Beyond so many words, only those that cover this share of the training tokens have vectors.
+WIDE_WORDS = 1 << 16
+COVERAGE = 0.9
 DIM = 16
 NOISE = 48
 NOISE_CLASSES = 24
@@ -103,6 +107,7 @@ class Counts:
     ends: int  # training texts, each of which ends once; known whatever is carried
     carried: dict[bytes, int]  # without the end
     least: int  # words counted this often are carried
+    modelled: int  # words counted this often are in the vocabulary
 
 
 def _collected(words: DataFrame) -> dict[bytes, int]:
@@ -110,8 +115,10 @@ def _collected(words: DataFrame) -> dict[bytes, int]:
     return dict(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True))
 
 
-def gather_counts(texts: DataFrame, most: int = CARRIED) -> Counts:
-    """Counts of all training texts, the words seen MIN_COUNT times and others up to ``most``."""
+def gather_counts(
+    texts: DataFrame, most: int = CARRIED, *, wide: int = WIDE_WORDS, coverage: float = COVERAGE
+) -> Counts:
+    """Counts of all training texts, the words of the vocabulary and others up to ``most``."""
     table = stage(word_counts(texts), "words")
     is_end = F.octet_length("word") == 0
     n, v, ends = table.agg(
@@ -120,19 +127,28 @@ def gather_counts(texts: DataFrame, most: int = CARRIED) -> Counts:
     words = table.where(~is_end)
     # Words by octave eighths of their count: a table of a few hundred rows at most.
     eighth = F.floor(F.log2("c") * 8)
-    steps = words.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"))
-    total, least = 0, MIN_COUNT
+    steps = words.groupBy(eighth.alias("e")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("c").alias("c"), F.sum("c").alias("tokens")
+    )
+    found, covered, others = 0, ends or 0, 0
+    modelled = least = None
     for row in sorted(steps.collect(), key=lambda r: -r["e"]):
-        total += row["n"] if row["c"] < MIN_COUNT else 0
-        if total > most:
+        enough = found >= wide and covered >= coverage * n
+        if row["c"] >= MIN_COUNT and not enough:
+            found, covered, modelled = found + row["n"], covered + row["tokens"], row["c"]
+            continue
+        others += row["n"]
+        if others > most:
             break
-        least = min(least, row["c"])
-    return Counts(table, n or 0, v or 0, ends or 0, _collected(words.where(F.col("c") >= least)), least)
+        least = row["c"]
+    modelled = modelled or MIN_COUNT
+    least = least or modelled
+    return Counts(table, n or 0, v or 0, ends or 0, _collected(words.where(F.col("c") >= least)), least, modelled)
 
 
 def model_words(counts: Counts, fewest: int = LEAST_WORDS) -> dict[bytes, int]:
     """The vocabulary with its counts, by falling count."""
-    found = {w: c for w, c in counts.carried.items() if c >= MIN_COUNT}
+    found = {w: c for w, c in counts.carried.items() if c >= counts.modelled}
     if len(found) < fewest:
         words = counts.table.where(F.octet_length("word") > 0)
         found = _collected(words.orderBy(F.desc("c"), "word").limit(fewest))
@@ -212,7 +228,7 @@ def _numbers(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
 
 def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct indices, and the sums of their rows."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.int32), kind="stable")
     ordered = index[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     return ordered[first], np.add.reduceat(rows[order], first, axis=0)

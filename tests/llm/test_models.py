@@ -171,6 +171,25 @@ def test_vocabulary_grows_with_the_corpus(make_docs):
     assert list(words.values()) == sorted(words.values(), reverse=True)
 
 
+def test_a_wide_vocabulary_covers_its_share_of_tokens(make_docs, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"z{int(rng.paretovariate(0.7))}" for _ in range(300))) for i in range(150)]
+    docs = make_docs(rows)
+    texts = docs.where(~lbl.held_out()).select("text")
+    every = lbl.model_words(lbl.gather_counts(texts), 1)
+    counts = lbl.gather_counts(texts, wide=8, coverage=0.6)
+    words = lbl.model_words(counts, 1)
+    assert 8 <= len(words) < len(every) and counts.modelled > lbl.MIN_COUNT
+    assert words == {w: c for w, c in every.items() if c >= counts.modelled}
+    assert sum(words.values()) + counts.ends >= 0.6 * counts.tokens
+    # What leaves the vocabulary keeps its exact count, carried or joined.
+    narrow = {"wide": 8, "coverage": 0.6}
+    monkeypatch.setattr(lbl.gather_counts, "__kwdefaults__", narrow)
+    check_base(docs, rows)
+    monkeypatch.setattr(lbl.gather_counts, "__defaults__", (20,))
+    check_base(docs, rows)
+
+
 def test_probabilities_of_all_words_sum_to_one():
     counts = np.array([900.0, 300, 200, 90, 80, 30, 20, 9, 8, 7, 6, 5])
     starts = lbl.class_starts(counts)
