@@ -74,6 +74,16 @@ def window_partials(
     columns = [*PARTIALS, *(["f"] if first else [])]
     aggregates = partial_aggregates(value) + ([F.min(first).alias("f")] if first else [])
     panes = df.groupBy(pane_of(F.col(ts), cfg.slide).alias("start"), *keys).agg(*aggregates)
+    return windows_of_panes(panes, cfg, keys, columns)
+
+
+def windows_of_panes(
+    panes: DataFrame,
+    cfg: WindowConfig,
+    keys: Sequence[str] = KEYS,
+    columns: Sequence[str] = PARTIALS,
+) -> DataFrame:
+    """Partials per (start, *keys) of all windows over slide-long panes, one row a pane."""
     if cfg.window == cfg.slide:
         return panes.select("start", *keys, *columns)
     length = cfg.slide * max(STRETCH_PANES, cfg.window // cfg.slide)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import accumulate, count
+
 from pyspark.sql import functions as F
 
 from latewin.plans import bindings as b
 from latewin.plans import matrix as mx
 from latewin.plans.catalog import sql as s
 from latewin.plans.catalog.registry import query
+from latewin.session import scratch_dir
+from latewin.sources.files import write_summary_csv
 
 W = b.WINDOW
 SOURCE = s.scenarios_arr()
@@ -157,8 +161,61 @@ def ablation_deltas(spark, d):
     return mx.ablation(_matrix(spark, d, mx.LADDER).summary())
 
 
-@query("run_time_deltas")
+# A clock whose steps are 1, 2, 3, ... seconds, so that SQL can repeat the times: the shared
+# part takes 1 s, the first mechanism 3 s, the second 5 s.
+def _scripted_clock():
+    return accumulate(count()).__next__
+
+
+def _timed_matrix(spark, d, names) -> mx.Matrix:
+    chosen = {n: m for n, m in b.mechanisms().items() if n in names}
+    return mx.Matrix(b.observed_scenarios(spark, d), chosen, W, clock=_scripted_clock())
+
+
+_EVENTS = f"{SOURCE}, per AS (SELECT scenario, count(*) AS events FROM arr GROUP BY scenario)"
+
+
+@query(
+    "run_time_deltas",
+    f"""WITH {_EVENTS}, t AS (SELECT scenario, round(events / 3.0, 2) AS old,
+      round(events / 5.0, 2) AS new FROM per)
+    SELECT scenario, round((6.0 - 4.0) / 4.0 * 100, 4) AS end_to_end_change_percent,
+    round((5.0 - 3.0) / 3.0 * 100, 4) AS processing_change_percent,
+    round((new - old) / old * 100, 4) AS throughput_change_percent FROM t""",
+)
 def run_time_deltas(spark, d):
-    """Measured run times differ from run to run, so there is no SQL for them."""
-    summary = _matrix(spark, d, ("cmix", "full")).summary(measure=True)
-    return mx.run_deltas(summary, "cmix", "full")
+    timed = _timed_matrix(spark, d, ("cmix", "full"))
+    return mx.run_deltas(timed.summary(measure=True), "cmix", "full", timed.shared_seconds)
+
+
+@query(
+    "matrix_runtime",
+    f"""SELECT r.scenario, r.mechanism, events_per_second, processing_seconds, events, ooo_events,
+    ooo_ratio, inversions, max_lateness_seconds, final_seconds, minimum_seconds, maximum_seconds,
+    changes, mean_seconds
+    FROM (WITH {_EVENTS} SELECT scenario, mechanism, CAST(seconds AS DOUBLE) AS processing_seconds,
+      round(events / seconds, 2) AS events_per_second
+      FROM per, (VALUES ('cmix', 3.0), ('aloa', 5.0)) m(mechanism, seconds)) r
+    LEFT JOIN ({_budget_rows("aloa", f"{_OBS}, {s.adaptive(by=BY)}")}) o
+    ON r.scenario = o.scenario AND r.mechanism = o.mechanism""",
+)
+def matrix_runtime(spark, d):
+    """One mechanism with a budget and one without."""
+    timed = _timed_matrix(spark, d, ("cmix", "aloa"))
+    return mx.runtime_table(timed.summary(measure=True), timed.ordering())
+
+
+@query(
+    "matrix_summary_csv",
+    f"""WITH {ALL} SELECT scenario, 'result_vs_batch_aggregate' AS comparison_type, mechanism,
+    exact, ground_truth_rows, result_rows, missing_in_result, extra_in_result, field_mismatches,
+    peak_hot, final_hot, final_archive, frozen, reconciled, late_after_finalization,
+    late_after_eviction, CAST(NULL AS DOUBLE) AS events_per_second,
+    CAST(NULL AS DOUBLE) AS processing_seconds, peak_hot_reduction_percent FROM all_rows""",
+)
+def matrix_summary_csv(spark, d):
+    """All 19 columns of the summary, written as CSV and read back."""
+    path = scratch_dir(spark, "summary-csv")
+    rows = _matrix(spark, d).summary()
+    write_summary_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)

@@ -7,7 +7,7 @@ lateness observations are shared by all mechanisms.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -59,12 +59,16 @@ class Matrix:
         events: DataFrame,
         mechanisms: dict[str, Mechanism],
         cfg: WindowConfig = WindowConfig(),
+        clock: Callable[[], float] = time.monotonic,
     ):
         by = ["scenario"]
+        start = clock()
         if "arrival_rate" not in events.columns:
             events = observe_lateness(events, by)
         obs = stage(events, "matrix-observations")
-        self.by, self.cfg, self.obs = by, cfg, obs
+        self.by, self.cfg, self.obs, self.clock = by, cfg, obs, clock
+        #: Time of what all mechanisms share: reading, ordering and storing the arrivals.
+        self.shared_seconds = clock() - start
         self.runs = {
             name: Run(obs, mech, cfg, by, observed=True) for name, mech in mechanisms.items()
         }
@@ -95,12 +99,12 @@ class Matrix:
 
         def rows_of(names: list[str]) -> DataFrame:
             run = self.runs[names[0]]
-            start = time.monotonic()
+            start = self.clock() if measure else 0.0
             result = run.result
             seconds = F.lit(None).cast("double")
             if measure:
                 result = stage(result, "result")
-                seconds = F.lit(time.monotonic() - start)
+                seconds = F.lit(float(self.clock() - start))
             verdict = cmp.verdict(truth, result, by=self.by)
             state = run.totals.join(run.late, self.by)
             rows = verdict.join(state, self.by).join(counts, self.by).select(
@@ -222,21 +226,27 @@ def ablation(summary: DataFrame, ladder: Sequence[str] = LADDER) -> DataFrame:
     )
 
 
-def run_deltas(summary: DataFrame, base: str, other: str) -> DataFrame:
-    """Change of run time and throughput between two mechanisms, in percent."""
+def run_deltas(
+    summary: DataFrame, base: str, other: str, shared_seconds: float = 0.0
+) -> DataFrame:
+    """Change of run times and throughput between two mechanisms, in percent of the first.
 
-    def change(column: str):
-        old, new = F.col(f"_{column}"), F.col(column)
-        return F.when(old > 0, (new - old) / old * 100).alias(
-            column.replace("_per_second", "") + "_change_percent"
+    End to end, both also take ``shared_seconds``; a change against 0 is null.
+    """
+    measures = {
+        "end_to_end": F.col("processing_seconds") + shared_seconds,
+        "processing": F.col("processing_seconds"),
+        "throughput": F.col("events_per_second"),
+    }
+
+    def of(mechanism: str, prefix: str) -> DataFrame:
+        return summary.filter(F.col("mechanism") == mechanism).select(
+            "scenario", *[m.alias(f"{prefix}{name}") for name, m in measures.items()]
         )
 
-    measured = ("processing_seconds", "events_per_second")
-    old = summary.filter(F.col("mechanism") == base).select(
-        "scenario", *[F.col(c).alias(f"_{c}") for c in measured]
-    )
-    return (
-        summary.filter(F.col("mechanism") == other)
-        .join(old, "scenario")
-        .select("scenario", *[change(c) for c in measured])
-    )
+    def change(name: str):
+        old, new = F.col(f"old_{name}"), F.col(f"new_{name}")
+        return F.when(old > 0, F.round((new - old) / old * 100, 4)).alias(f"{name}_change_percent")
+
+    pairs = of(other, "new_").join(of(base, "old_"), "scenario")
+    return pairs.select("scenario", *[change(name) for name in measures])

@@ -13,9 +13,9 @@ from latewin.operators.windows import (
     PARTIALS,
     combine,
     finish,
-    native_window_aggregate,
     partial_aggregates,
     sliding_windows,
+    windows_of_panes,
 )
 from latewin.schema import WindowConfig
 from latewin.session import scratch_dir
@@ -40,9 +40,11 @@ def _latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def run_full_retention(events: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
-    """Window rows of a stream that never finalises; changed rows are written per batch.
+    """Window rows of a stream that never finalises; changed panes are written per batch.
 
-    A repeated batch overwrites its own folder, so the output is exactly-once.
+    The state holds slide-long panes, so an event meets one row of state however many windows
+    cover it; the windows are put together when the result is read. A repeated batch
+    overwrites its own folder, so the output is exactly-once.
     """
     spark = events.sparkSession
     out, checkpoint = scratch_dir(spark, "full-rows"), scratch_dir(spark, "full-checkpoint")
@@ -50,9 +52,14 @@ def run_full_retention(events: DataFrame, cfg: WindowConfig = WindowConfig()) ->
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    rows = native_window_aggregate(events, cfg)
-    _drain(rows.writeStream.outputMode("update").foreachBatch(sink), checkpoint)
-    return _latest(spark, out, ["start", "end", "DeviceId", "Sensor"])
+    pane = F.window(F.timestamp_seconds("event_time"), f"{cfg.slide} seconds")
+    panes = (
+        events.groupBy(pane.alias("w"), *KEYS)
+        .agg(*partial_aggregates())
+        .select(F.col("w.start").cast("long").alias("start"), *KEYS, *PARTIALS)
+    )
+    _drain(panes.writeStream.outputMode("update").foreachBatch(sink), checkpoint)
+    return finish(windows_of_panes(_latest(spark, out, ["start", *KEYS]), cfg), cfg)
 
 
 def run_fixed_lateness(

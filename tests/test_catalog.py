@@ -21,6 +21,7 @@ SECTION = (
     "canonical_manifest", "arrival_csv", "json_roundtrip", "stream_window_fixed",
     "stream_adaptive_union", "stream_distinct", "keyed_shuffle", "profile_empty", "compare_gate",
     "mechanism_result_fixed_lagged", "mechanism_result_maso", "anomaly_summary", "anomaly_insufficient",
+    "run_time_deltas", "matrix_runtime", "matrix_summary_csv", "stream_window_full",
 )
 NAMES = sorted(ENTRIES) if os.environ.get("LATEWIN_ALL_QUERIES") else SECTION
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from latewin import GuardConfig, LatenessConfig, WindowConfig
 from latewin.operators import compare as cmp
-from latewin.operators.windows import window_aggregate
+from latewin.operators.windows import KEYS, pane_of, window_aggregate
 from latewin.plans import bindings as b
 from latewin.sources import messages
 from latewin.sources.replay import read_replay, write_replay
@@ -49,6 +49,20 @@ def test_full_retention(spark, events, tmp_path):
     assert sum(r["received"] for r in log.reports) == events.count()
 
 
+def test_full_retention_keeps_panes(spark, events, tmp_path, monkeypatch):
+    monkeypatch.setattr(
+        "latewin.streaming.windows.scratch_dir", lambda _, label: str(tmp_path / label)
+    )
+    run_full_retention(replay(spark, events, tmp_path), b.WINDOW)
+    held = spark.read.format("statestore").load(str(tmp_path / "full-checkpoint"))
+    pane = pane_of(F.col("event_time"), b.WINDOW.slide)
+    assert held.count() == events.select(pane, *KEYS).distinct().count()
+    # A batch writes a row for each pane it touches, not for each covering window.
+    batch = F.floor((F.col("n") - 1) / 300).alias("batch_id")
+    touched = events.select(batch, pane, *KEYS).distinct()
+    assert spark.read.parquet(str(tmp_path / "full-rows")).count() == touched.count()
+
+
 def test_progress_keeps_all_reports(spark, events, tmp_path):
     log = ProgressLog(keep=2, spark=spark, path=str(tmp_path / "progress"))
     assert log.table().count() == 0
