@@ -50,7 +50,7 @@ def stream_window_fixed(spark, d):
 
 @query("stream_keyed_state", PLAIN)
 def stream_keyed_state(spark, d):
-    return _round(run_keyed_state(_stream(spark, d), W))
+    return _round(run_keyed_state(_stream(spark, d), DELAY, W))
 
 
 @query("stream_distinct", f"WITH {s.EV} SELECT DISTINCT {', '.join(IDENTITY)} FROM ev")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,10 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from latewin.operators.windows import (
     KEYS,
     PARTIALS,
-    combine,
     finish,
+    pane_of,
     partial_aggregates,
-    sliding_windows,
     windows_of_panes,
 )
 from latewin.schema import WindowConfig
@@ -117,56 +120,131 @@ def run_deduplicated(events: DataFrame, delay_seconds: int) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(out)
 
 
-_UPDATES = "device_id string, sensor string, shard int, start long, count long, sum double, min double, max double"
-_SUMMARY = T.StructType(
+_PANE = ("start", *PARTIALS)
+_PANE_TYPES = T.StructType(
     [
+        T.StructField("start", T.LongType()),
         T.StructField("count", T.LongType()),
         T.StructField("sum", T.DoubleType()),
         T.StructField("min", T.DoubleType()),
         T.StructField("max", T.DoubleType()),
     ]
 )
+_SERIES_PANES = f"device_id string, sensor string, {_PANE_TYPES.simpleString()[7:-1]}"
+# Panes a task holds back to combine them with those of its next batches.
+HELD_PANES = 65_536
+
+
+def _merge_panes(rows: pa.Table) -> pa.Table:
+    merged = rows.group_by([*KEYS, "start"]).aggregate(
+        [("count", "sum"), ("sum", "sum"), ("min", "min"), ("max", "max")]
+    )
+    return merged.select([*KEYS, "start", "count_sum", "sum_sum", "min_min", "max_max"]).rename_columns(
+        [*KEYS, *_PANE]
+    )
+
 
+def _panes_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Combine a task's readings by series and pane, so that a hot series leaves it as one
+    row a pane; more than HELD_PANES different panes are passed on."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        value = batch.column("value")
+        one = pa.array(np.ones(batch.num_rows, np.int64))
+        columns = [batch.column(c) for c in (*KEYS, "start")]
+        rows = pa.table([*columns, one, value, value, value], names=[*KEYS, *_PANE])
+        held.append(_merge_panes(rows))
+        if sum(t.num_rows for t in held) > HELD_PANES:
+            held = [_merge_panes(pa.concat_tables(held))]
+            if held[0].num_rows > HELD_PANES // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from _merge_panes(pa.concat_tables(held)).to_batches()
+
+
+class OpenPanes(StatefulProcessor):
+    """The panes of a series that a window still open needs.
+
+    State is the list of panes, the time up to which windows are closed, and the one timer
+    of the series, set to the next end of a window with readings. When the watermark passes
+    it, all windows that end at or before the watermark are emitted, once each, and panes
+    that no later window covers are forgotten; with the last pane the rest goes too.
+    """
 
-class WindowSummaries(StatefulProcessor):
-    """Map of window start to summary, per series and shard, kept by the state store."""
+    def __init__(self, cfg: WindowConfig):
+        self._window, self._slide = cfg.window, cfg.slide
 
     def init(self, handle) -> None:
-        start = T.StructType([T.StructField("start", T.LongType())])
-        self._windows = handle.getMapState("windows", start, _SUMMARY)
-
-    def handleInputRows(self, key, rows, timer_values):
-        """Fold pandas batches of (start, value) into the map; emit what changed."""
-        changed = {}
-        for batch in rows:
-            stats = batch.groupby("start")["value"].agg(["count", "sum", "min", "max"])
-            for start, c, s, low, high in stats.itertuples():
-                old = changed.get(start)
-                if old is None and self._windows.containsKey((start,)):
-                    old = self._windows.getValue((start,))
-                if old is not None:
-                    c, s = c + old[0], s + old[1]
-                    low, high = min(low, old[2]), max(high, old[3])
-                changed[start] = (int(c), float(s), float(low), float(high))
-        for start, summary in changed.items():
-            self._windows.updateValue((int(start),), summary)
-        yield pd.DataFrame(
-            [(*key, int(start), *summary) for start, summary in changed.items()],
-            columns=["device_id", "sensor", "shard", "start", "count", "sum", "min", "max"],
-        )
+        self._handle = handle
+        self._panes = handle.getListState("panes", _PANE_TYPES)
+        self._closing = handle.getValueState("closing", "closed long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self._closing.get()
+        closed, timer = before or (self._passed(timerValues), None)
+        held = pd.concat([self._held(), *[batch[list(_PANE)] for batch in rows]])
+        self._keep(held, closed, timer)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        closed, _ = self._closing.get()
+        passed = max(closed, self._passed(timerValues))
+        held = self._held()
+        covering = np.arange(0, self._window, self._slide)
+        windows = held.loc[held.index.repeat(len(covering))]
+        windows["start"] -= np.tile(covering, len(held))
+        end = windows["start"] + self._window
+        ended = self._combine(windows[(end > closed) & (end <= passed)])
+        self._keep(held, passed, None)
+        for i, name in enumerate(KEYS):
+            ended.insert(i, name, key[i])
+        yield ended
 
     def close(self) -> None:
         pass
 
+    def _passed(self, timerValues) -> int:
+        """The last possible end of a window at or before the watermark."""
+        return timerValues.getCurrentWatermarkInMs() // 1000 // self._slide * self._slide
+
+    def _held(self) -> pd.DataFrame:
+        rows = pd.DataFrame(list(self._panes.get()), columns=list(_PANE))
+        return rows.astype({f.name: "int64" if f.dataType == T.LongType() else "float64" for f in _PANE_TYPES})
+
+    def _combine(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("start", as_index=False).agg(
+            {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
+        )
+
+    def _keep(self, panes: pd.DataFrame, closed: int, timer: int | None) -> None:
+        """Store the panes that a window ending after ``closed`` covers, and set the timer."""
+        panes = self._combine(panes[panes["start"] + self._window > closed])
+        due = None
+        if len(panes):
+            due = int(max(panes["start"].min(), closed)) + self._slide
+            self._panes.put(list(panes.itertuples(index=False, name=None)))
+            self._closing.update((closed, due))
+        else:
+            self._panes.clear()
+            self._closing.clear()
+        if timer != due:
+            if timer is not None:
+                self._handle.deleteTimer(timer * 1000)
+            if due is not None:
+                self._handle.registerTimer(due * 1000)
+
 
 def run_keyed_state(
-    events: DataFrame, cfg: WindowConfig = WindowConfig(), shards: int = 8
+    events: DataFrame, delay_seconds: int, cfg: WindowConfig = WindowConfig()
 ) -> DataFrame:
-    """Window rows from per-series state.
-
-    A series is spread over ``shards`` state keys by arrival number and the shard
-    summaries are merged at the end, so a series with a third of all events does
-    not end up in one task. Map state needs the RocksDB state store.
+    """Window rows from per-series panes whose windows close by event-time timers.
+
+    Tasks combine their readings to panes before the exchange, so a series with a third of all
+    events sends a row a pane and task. The watermark is ``delay_seconds`` behind the start of the
+    latest pane; a reading all of whose windows have ended by then is dropped, another counts in
+    those of its windows that are not closed. Windows still open when the data ends are put
+    together from the state, so the result is whole. Values are validated readings (no null,
+    no NaN) from 1970 on, where Spark's watermarks begin. The state needs the RocksDB store.
     """
     spark = events.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -175,22 +253,30 @@ def run_keyed_state(
         provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
     out, checkpoint = scratch_dir(spark, "keyed-rows"), scratch_dir(spark, "keyed-checkpoint")
-    placed = sliding_windows(events, cfg).select(
-        *KEYS, F.pmod(F.xxhash64("n"), F.lit(shards)).cast("int").alias("shard"), "start", "value"
+    panes = (
+        events.select(*KEYS, pane_of(F.col("event_time"), cfg.slide).alias("start"), "value")
+        .mapInArrow(_panes_of_task, _SERIES_PANES)
+        # A pane is late when its last window has ended.
+        .withColumn("last_end", F.timestamp_seconds(F.col("start") + cfg.window))
+        .withWatermark("last_end", f"{delay_seconds + cfg.window} seconds")
     )
-    updates = placed.groupBy(*KEYS, "shard").transformWithStateInPandas(
-        WindowSummaries(), _UPDATES, "update", "none"
+    rows = panes.groupBy(*KEYS).transformWithStateInPandas(
+        OpenPanes(cfg), _SERIES_PANES, "append", "eventTime"
     )
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
     try:
-        _drain(updates.writeStream.outputMode("update").foreachBatch(sink), checkpoint)
+        _drain(rows.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
+        held, closing = (
+            spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+            for name in ("panes", "closing")
+        )
     finally:
         if before is None:
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
-    latest = _latest(spark, out, [*KEYS, "shard", "start"])
-    return finish(combine(latest, ["start", *KEYS]), cfg)
+    ended = spark.read.schema(rows.schema).parquet(out)
+    covered = windows_of_panes(held.select("key.*", "list_element.*"), cfg)
+    still_open = covered.join(closing.select("key.*", "value.closed"), list(KEYS)).filter(
+        F.col("start") + cfg.window > F.col("closed")
+    )
+    return finish(ended.unionByName(still_open.drop("closed")), cfg)

@@ -1,5 +1,6 @@
 """Streaming runs against batch results."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,12 @@ from latewin.sources import messages
 from latewin.sources.replay import read_replay, write_replay
 from latewin.streaming.adaptive import AdaptiveStream, run_adaptive
 from latewin.streaming.progress import ProgressLog
-from latewin.streaming.windows import run_full_retention, run_keyed_state
+from latewin.streaming.windows import (
+    _merge_panes,
+    _panes_of_task,
+    run_full_retention,
+    run_keyed_state,
+)
 
 
 @pytest.fixture(scope="module")
@@ -76,10 +82,68 @@ def test_progress_keeps_all_reports(spark, events, tmp_path):
 
 
 def test_keyed_state(spark, events, tmp_path):
-    got = run_keyed_state(replay(spark, events, tmp_path), b.WINDOW)
+    got = run_keyed_state(replay(spark, events, tmp_path), 5 * 86400, b.WINDOW)
     cmp.assert_exact(cmp.verdict(window_aggregate(events, b.WINDOW), got))
 
 
+def test_keyed_state_closes_and_forgets(spark, tmp_path, monkeypatch):
+    """Windows are emitted once as the watermark passes them, panes and series go from the
+    state, and only readings all of whose windows have ended are lost."""
+    monkeypatch.setattr(
+        "latewin.streaming.windows.scratch_dir", lambda _, label: str(tmp_path / label)
+    )
+    schema = "n long, event_time long, device_id string, sensor string, value double"
+    # Two series to t=999; only the first goes on, to t=2999. Then a reading for t=100, whose
+    # windows have ended, and one for t=2945, with windows on both sides of the watermark.
+    rows = [(t, d, 1.0) for t in range(1000) for d in "ab"]
+    rows += [(t, "a", 1.0) for t in range(1000, 3000)]
+    rows += [(2999, "a", 1.0)] * 1000 + [(100, "b", 9.0), (2945, "a", 9.0)]
+    events = spark.createDataFrame(
+        [(n, t, d, "s0", v) for n, (t, d, v) in enumerate(rows, 1)], schema
+    )
+    got = run_keyed_state(replay(spark, events, tmp_path, 1000), 20, WindowConfig(60, 10))
+    want = window_aggregate(events.filter("value < 9"), WindowConfig(60, 10))
+    got, want = (
+        {(r["DeviceId"], r["start"]): (r["count"], r["sum"], r["max"]) for r in x.collect()}
+        for x in (got, want)
+    )
+    assert got.keys() == want.keys()
+    # The watermark is at 2970 when the last readings come: 2945 counts in later ends only.
+    late = {key: row for key, row in got.items() if row != want[key]}
+    assert late == {
+        ("a", start): (want["a", start][0] + 1, want["a", start][1] + 9, 9.0)
+        for start in (2920, 2930, 2940)
+    }
+    held = (
+        spark.read.format("statestore")
+        .option("stateVarName", "panes")
+        .load(str(tmp_path / "keyed-checkpoint"))
+        .select("key.device_id", "list_element.start")
+        .collect()
+    )
+    assert {tuple(r) for r in held} == {("a", start) for start in range(2920, 3000, 10)}
+
+
+def test_tasks_combine_readings_to_panes(monkeypatch):
+    monkeypatch.setattr("latewin.streaming.windows.HELD_PANES", 10)
+    batches = [
+        pa.record_batch(
+            {
+                "device_id": ["a"] * 50,
+                "sensor": ["s"] * 50,
+                "start": [10 * ((b * 50 + i) // 20) for i in range(50)],
+                "value": [float(i) for i in range(50)],
+            }
+        )
+        for b in range(20)
+    ]
+    out = pa.Table.from_batches(_panes_of_task(iter(batches)))
+    assert 50 <= out.num_rows < 80
+    whole = _merge_panes(out)
+    assert whole.num_rows == 50 and set(whole["count"].to_pylist()) == {20}
+    assert sum(whole["sum"].to_pylist()) == 20 * sum(range(50))
+
+
 def late_events(spark):
     """Two readings at t=100 around two thousand seconds of others."""
     rows = [(100, 1.0)] + [(t, 0.5) for t in range(200, 2000, 3)] + [(100, 6.0)]
