@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from latewin.operators.windows import (
@@ -121,16 +120,14 @@ def run_deduplicated(events: DataFrame, delay_seconds: int) -> DataFrame:
 
 
 _PANE = ("start", *PARTIALS)
-_PANE_TYPES = T.StructType(
-    [
-        T.StructField("start", T.LongType()),
-        T.StructField("count", T.LongType()),
-        T.StructField("sum", T.DoubleType()),
-        T.StructField("min", T.DoubleType()),
-        T.StructField("max", T.DoubleType()),
-    ]
+_SERIES_PANES = (
+    "device_id string, sensor string, start long, count long, sum double, min double, max double"
+)
+# A series' panes as one value, a list a column: one message to the store and one back.
+_SERIES_STATE = (
+    "start array<long>, count array<long>, sum array<double>, min array<double>, max array<double>,"
+    " closed long, timer long"
 )
-_SERIES_PANES = f"device_id string, sensor string, {_PANE_TYPES.simpleString()[7:-1]}"
 # Panes a task holds back to combine them with those of its next batches.
 HELD_PANES = 65_536
 
@@ -165,8 +162,8 @@ def _panes_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class OpenPanes(StatefulProcessor):
     """The panes of a series that a window still open needs.
 
-    State is the list of panes, the time up to which windows are closed, and the one timer
-    of the series, set to the next end of a window with readings. When the watermark passes
+    State is the panes, the time up to which windows are closed, and the one timer of
+    the series, set to the next end of a window with readings. When the watermark passes
     it, all windows that end at or before the watermark are emitted, once each, and panes
     that no later window covers are forgotten; with the last pane the rest goes too.
     """
@@ -176,20 +173,19 @@ class OpenPanes(StatefulProcessor):
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._panes = handle.getListState("panes", _PANE_TYPES)
-        self._closing = handle.getValueState("closing", "closed long, timer long")
+        self._series = handle.getValueState("series", _SERIES_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        before = self._closing.get()
-        closed, timer = before or (self._passed(timerValues), None)
-        held = pd.concat([self._held(), *[batch[list(_PANE)] for batch in rows]])
-        self._keep(held, closed, timer)
+        state = self._series.get()
+        *columns, closed, timer = state or ([],) * len(_PANE) + (self._passed(timerValues), None)
+        arrived = [batch[list(_PANE)] for batch in rows]
+        self._keep(self._combine(pd.concat([self._frame(columns), *arrived])), closed, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        closed, _ = self._closing.get()
+        *columns, closed, _ = self._series.get()
         passed = max(closed, self._passed(timerValues))
-        held = self._held()
+        held = self._frame(columns)
         covering = np.arange(0, self._window, self._slide)
         windows = held.loc[held.index.repeat(len(covering))]
         windows["start"] -= np.tile(covering, len(held))
@@ -207,9 +203,9 @@ class OpenPanes(StatefulProcessor):
         """The last possible end of a window at or before the watermark."""
         return timerValues.getCurrentWatermarkInMs() // 1000 // self._slide * self._slide
 
-    def _held(self) -> pd.DataFrame:
-        rows = pd.DataFrame(list(self._panes.get()), columns=list(_PANE))
-        return rows.astype({f.name: "int64" if f.dataType == T.LongType() else "float64" for f in _PANE_TYPES})
+    def _frame(self, columns) -> pd.DataFrame:
+        kinds = dict.fromkeys(_PANE, "float64") | {"start": "int64", "count": "int64"}
+        return pd.DataFrame(dict(zip(_PANE, columns, strict=True))).astype(kinds)
 
     def _combine(self, rows: pd.DataFrame) -> pd.DataFrame:
         return rows.groupby("start", as_index=False).agg(
@@ -218,15 +214,13 @@ class OpenPanes(StatefulProcessor):
 
     def _keep(self, panes: pd.DataFrame, closed: int, timer: int | None) -> None:
         """Store the panes that a window ending after ``closed`` covers, and set the timer."""
-        panes = self._combine(panes[panes["start"] + self._window > closed])
+        panes = panes[panes["start"] + self._window > closed]
         due = None
         if len(panes):
             due = int(max(panes["start"].min(), closed)) + self._slide
-            self._panes.put(list(panes.itertuples(index=False, name=None)))
-            self._closing.update((closed, due))
+            self._series.update((*[panes[c].tolist() for c in _PANE], closed, due))
         else:
-            self._panes.clear()
-            self._closing.clear()
+            self._series.clear()
         if timer != due:
             if timer is not None:
                 self._handle.deleteTimer(timer * 1000)
@@ -265,18 +259,16 @@ def run_keyed_state(
     )
     try:
         _drain(rows.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
-        held, closing = (
-            spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-            for name in ("panes", "closing")
-        )
+        held = spark.read.format("statestore").option("stateVarName", "series").load(checkpoint)
     finally:
         if before is None:
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
     ended = spark.read.schema(rows.schema).parquet(out)
-    covered = windows_of_panes(held.select("key.*", "list_element.*"), cfg)
-    still_open = covered.join(closing.select("key.*", "value.closed"), list(KEYS)).filter(
-        F.col("start") + cfg.window > F.col("closed")
-    )
+    listed = F.arrays_zip(*[F.col(f"value.{c}").alias(c) for c in _PANE])
+    open_panes = held.select("key.*", F.explode(listed).alias("pane")).select(*KEYS, "pane.*")
+    still_open = windows_of_panes(open_panes, cfg).join(
+        held.select("key.*", "value.closed"), list(KEYS)
+    ).filter(F.col("start") + cfg.window > F.col("closed"))
     return finish(ended.unionByName(still_open.drop("closed")), cfg)

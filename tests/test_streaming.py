@@ -116,9 +116,9 @@ def test_keyed_state_closes_and_forgets(spark, tmp_path, monkeypatch):
     }
     held = (
         spark.read.format("statestore")
-        .option("stateVarName", "panes")
+        .option("stateVarName", "series")
         .load(str(tmp_path / "keyed-checkpoint"))
-        .select("key.device_id", "list_element.start")
+        .select("key.device_id", F.explode("value.start"))
         .collect()
     )
     assert {tuple(r) for r in held} == {("a", start) for start in range(2920, 3000, 10)}
