@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latewin.operators.ordering import BLOCK_ROWS, POINT_BLOCK, running, with_run_value
@@ -142,20 +143,6 @@ def budget_point(n: Column, cfg: LatenessConfig) -> Column:
     return F.when(n < cfg.min_observations, F.lit(0)).otherwise(step).cast("long")
 
 
-def _history_points(n: Column, cfg: LatenessConfig) -> Column:
-    """Array of the recalculation points whose history holds arrival n."""
-    step, first = cfg.interval, cfg.min_observations
-    low = F.ceil(F.greatest(n, F.lit(first)) / step) * step
-    high = n + (cfg.history - 1)
-    regular = F.when(
-        low <= high, F.sequence(low, high, F.lit(step).cast("long"))
-    ).otherwise(F.array().cast("array<bigint>"))
-    if first % step == 0:
-        return regular
-    extra = F.when((n <= first) & (first <= high), F.array(F.lit(first).cast("long")))
-    return F.concat(F.coalesce(extra, F.array().cast("array<bigint>")), regular)
-
-
 def _aligned(cfg: LatenessConfig) -> bool:
     """Every arrival is in the history of exactly one recalculation point."""
     return cfg.history == cfg.interval and cfg.min_observations % cfg.interval == 0
@@ -168,7 +155,8 @@ def _point_groups(
     state_size: str | None,
     memory_utilization: str | None,
 ) -> DataFrame:
-    """One aggregate per recalculation point over the arrivals of its history."""
+    """One row per recalculation point over the arrivals of its history; the columns
+    ``_reached_*`` only where histories do not overlap."""
     n = F.col("n")
     narrow = obs.select(
         *by,
@@ -183,12 +171,9 @@ def _point_groups(
         .cast("double")
         .alias("memory_utilization"),
     )
-    if _aligned(cfg):
-        placed = narrow.withColumn(
-            "point", (F.ceil(n / cfg.interval) * cfg.interval).cast("long")
-        )
-    else:
-        placed = narrow.withColumn("point", F.explode(_history_points(n, cfg)))
+    if not _aligned(cfg):
+        return _merged_histories(narrow, cfg, by)
+    placed = narrow.withColumn("point", (F.ceil(n / cfg.interval) * cfg.interval).cast("long"))
 
     def at_point(c: str) -> Column:
         return F.max(F.when(n == F.col("point"), F.col(c))).alias(c)
@@ -205,6 +190,84 @@ def _point_groups(
     )
 
 
+def _histogram_percentile(entries: Column, total: Column, cut: float) -> Column:
+    """Interpolated percentile of ``total`` values given as (lateness, count) entries."""
+    position = F.lit(cut) * (total - 1)
+    low, high = F.floor(position), F.ceil(position)
+
+    def step(acc: Column, entry: Column) -> Column:
+        seen = acc["seen"] + entry["count"]
+
+        def at(rank: Column, name: str) -> Column:
+            here = (acc["seen"] <= rank) & (rank < seen)
+            return F.when(here, entry["lateness"]).otherwise(acc[name]).alias(name)
+
+        return F.struct(seen.alias("seen"), at(low, "low"), at(high, "high"))
+
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("seen"), none.alias("low"), none.alias("high"))
+    found = F.aggregate(F.array_sort(entries), start, step)
+    return found["low"] + (found["high"] - found["low"]) * (position - low)
+
+
+def _merged_histories(narrow: DataFrame, cfg: LatenessConfig, by: Sequence[str]) -> DataFrame:
+    """One row per recalculation point for any history: arrivals are counted by lateness once, in
+    panes that no history cuts, and the panes' histograms are merged over each history.
+
+    Panes are scanned in stretches; a stretch also gets the panes before it that its first
+    histories reach into, so neither arrivals nor panes are copied to every point.
+    """
+    n = F.col("n")
+    size = math.gcd(cfg.interval, cfg.history, cfg.min_observations)
+    reach = cfg.history // size
+    length = max(BLOCK_ROWS // size, reach)
+    signals = ["arrival_rate", "watermark_lag", "state_size", "memory_utilization"]
+    pane = F.floor((n - 1) / size)
+    last = [F.max(F.when(n % size == 0, F.col(c))).alias(c) for c in signals]
+    panes = (
+        narrow.groupBy(*by, pane.alias("pane"), "lateness")
+        .agg(F.count(F.lit(1)).alias("count"), F.sum("ooo").alias("ooo"), *last)
+        .groupBy(*by, "pane")
+        .agg(
+            F.collect_list(F.struct("lateness", "count")).alias("entries"),
+            F.sum("count").alias("count"),
+            F.sum("ooo").alias("ooo"),
+            *[F.max(c).alias(c) for c in signals],
+        )
+    )
+    own = F.floor(F.col("pane") / length)
+    touched = F.array_distinct(F.array(own, F.floor((F.col("pane") + (reach - 1)) / length)))
+    history = (
+        Window.partitionBy(*by, "_stretch").orderBy("pane").rangeBetween(-(reach - 1), 0)
+    )
+    point = ((F.col("pane") + 1) * size).cast("long")
+    is_point = (point == cfg.min_observations) | (
+        (point > cfg.min_observations) & (point % cfg.interval == 0)
+    )
+    merged = (
+        panes.withColumn("_stretch", F.explode(touched))
+        .select(
+            *by,
+            "pane",
+            "_stretch",
+            *signals,
+            F.flatten(F.collect_list("entries").over(history)).alias("entries"),
+            F.sum("count").over(history).alias("count"),
+            F.sum("ooo").over(history).alias("ooo"),
+        )
+        .filter((own == F.col("_stretch")) & is_point)
+    )
+    return merged.select(
+        *by,
+        point.alias("point"),
+        _histogram_percentile(F.col("entries"), F.col("count"), cfg.cut).alias(
+            "lateness_percentile"
+        ),
+        (F.col("ooo") / F.col("count")).alias("ooo_ratio"),
+        *signals,
+    )
+
+
 def rolling_lateness(
     obs: DataFrame,
     cfg: LatenessConfig = LatenessConfig(),

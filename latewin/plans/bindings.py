@@ -21,6 +21,10 @@ WINDOW = WindowConfig(window=21600, slide=3600)
 TUMBLING = WindowConfig(window=21600, slide=21600)
 LATENESS = LatenessConfig(initial=3600, minimum=600, maximum=7200)
 TIGHT = LatenessConfig(initial=600, minimum=60, maximum=900)
+# Histories that overlap and are no multiple of the interval.
+LONG_HISTORY = LatenessConfig(
+    initial=3600, minimum=600, maximum=7200, history=250, min_observations=130, interval=100
+)
 CYCLE = 100
 GUARD = 1800
 

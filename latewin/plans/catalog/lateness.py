@@ -66,6 +66,32 @@ def rolling_ooo_ratio(spark, d):
     )
 
 
+def _long_history_sql() -> str:
+    cfg = b.LONG_HISTORY
+    first, step = cfg.min_observations, cfg.interval
+    return f"""WITH {BASE}, chosen AS (SELECT n AS point, arrival_rate, watermark_lag FROM obs
+      WHERE n = {first} OR (n > {first} AND n % {step} = 0))
+    SELECT point, round(quantile_cont(o.lateness, {cfg.cut}), 6) AS lateness_percentile,
+    round(avg(CAST(o.out_of_order AS DOUBLE)), 6) AS ooo_ratio,
+    round(any_value(c.arrival_rate), 9) AS arrival_rate,
+    any_value(c.watermark_lag) AS watermark_lag
+    FROM chosen c JOIN obs o ON o.n > c.point - {cfg.history} AND o.n <= c.point
+    GROUP BY point"""
+
+
+@query("rolling_lateness_history", _long_history_sql())
+def rolling_lateness_history(spark, d):
+    """Histories longer than the interval, from histograms of panes."""
+    stats = lt.rolling_lateness(b.observed(spark, d), b.LONG_HISTORY)
+    return stats.select(
+        "point",
+        F.round("lateness_percentile", 6).alias("lateness_percentile"),
+        F.round("ooo_ratio", 6).alias("ooo_ratio"),
+        F.round("arrival_rate", 9).alias("arrival_rate"),
+        "watermark_lag",
+    )
+
+
 @query("adaptive_budget", f"WITH {ADAPTIVE} SELECT n, budget FROM timed")
 def adaptive_budget(spark, d):
     return _run(spark, d).timed.select("n", "budget")
