@@ -91,6 +91,27 @@ def arrival_csv(spark, d):
     )
 
 
+@query(
+    "arrival_csv_breaks",
+    f"""WITH {TEXT} SELECT row_number() OVER (ORDER BY line) AS n, event_time,
+    device_id || CASE WHEN line % 3 = 0 THEN chr(10) || '"' || sensor || '",' || chr(10) || 'x'
+      ELSE '' END AS device_id, sensor, value FROM parsed WHERE reject_reason IS NULL""",
+)
+def arrival_csv_breaks(spark, d):
+    """The same with line breaks, quotes and commas inside every third device's cell."""
+    path = scratch_dir(spark, "arrivals")
+    raw = text_rows(spark, d, ("Timestamp", "DeviceId", "Sensor", "Value"))
+    tail = F.concat(F.lit('\n"'), F.col("Sensor"), F.lit('",\nx'))
+    longer = (F.col("line") % 3 == 0) & (F.trim("DeviceId") != "")
+    raw = raw.withColumn(
+        "DeviceId", F.when(longer, F.concat("DeviceId", tail)).otherwise(F.col("DeviceId"))
+    ).orderBy("line")
+    raw.drop("line").write.options(header=True, emptyValue="", **files.QUOTING).csv(path)
+    return files.read_arrival_csv(spark, path, strict=False).select(
+        "n", "event_time", "device_id", "sensor", "value"
+    )
+
+
 @query(
     "json_roundtrip",
     f"""WITH {s.arr()} SELECT n, 'ev-' || CAST(n - 1 AS VARCHAR) AS event_id, event_time,

@@ -1,6 +1,8 @@
 """Reading, validating, profiling and storing."""
 
+import csv
 import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,21 +212,80 @@ def test_json_layouts(spark, tmp_path):
     assert len(array) == 2 and array[0] == nested[0] and nested[0]["sum"] == 2.0
 
 
-def test_csv_that_line_reading_would_corrupt_raises(spark, tmp_path):
-    head = "Timestamp,DeviceId,Sensor,Value\n"
-    broken = tmp_path / "broken"
-    broken.mkdir()
-    (broken / "a.csv").write_text(head + '1,"d\nd",s,2\n2,d,s,3\n')
-    with pytest.raises(ValueError, match="line 2: a quoted cell"):
-        files.read_arrival_csv(spark, str(broken))
-    mixed = tmp_path / "mixed"
-    mixed.mkdir()
-    (mixed / "a.csv").write_text(head + "1,d,s,2\n")
-    (mixed / "b.csv").write_text("Value,Sensor,DeviceId,Timestamp\n5.0,s,d,7\n")
+HEAD = "Timestamp,DeviceId,Sensor,Value\n"
+
+
+def test_files_whose_headers_differ_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + "1,d,s,2\n")
+    (tmp_path / "b.csv").write_text("Value,Sensor,DeviceId,Timestamp\n5.0,s,d,7\n")
     with pytest.raises(ValueError, match="b.csv: its header"):
-        files.read_arrival_csv(spark, str(mixed))
-    with pytest.raises(ValueError, match="line 2: a quoted cell"):
-        files.read_arrival_text(spark, head + '1,"d\nd",s,2\n')
+        files.read_arrival_csv(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text('Timestamp,DeviceId,Sensor,"Va\nlue"\n7,s,d,5.0\n')
+    with pytest.raises(ValueError, match="b.csv, line 1: a quoted cell goes over"):
+        files.read_arrival_csv(spark, str(tmp_path))
+
+
+def several_lines(rows, seed):
+    """CSV text by Python's own writer, and its records."""
+    rng = random.Random(seed)
+    bits = ["d", " ", ",", '"', "\n", "\n\n", '""', '",', ',"', "e"]
+    made = [
+        (str(k), "D" + "".join(rng.choices(bits, k=rng.randrange(6))) + "x", f"s{k % 3}", f"{k}.5")
+        for k in range(1, rows + 1)
+    ]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([HEAD.strip().split(","), *made])
+    return out.getvalue(), made
+
+
+def test_quoted_line_breaks(spark, tmp_path, monkeypatch):
+    """Records over several lines, cut in many splits and blocks, are as Python's reader has them."""
+    monkeypatch.setattr(files, "BLOCK_ROWS", 64)
+    want = []
+    for name in ("a", "b"):
+        text, made = several_lines(500, name)
+        (tmp_path / f"{name}.csv").write_text(text)
+        assert list(csv.reader(io.StringIO(text)))[1:] == [list(r) for r in made]
+        want += made
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = files.read_arrival_csv(spark, str(tmp_path)).orderBy("n").collect()
+        lines = files.checked_csv_lines(spark, str(tmp_path)).orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.n for r in rows] == list(range(1, 1001))
+    got = [(str(r.event_time), r.device_id, r.sensor, str(r.value)) for r in rows]
+    assert got == want
+    assert len(lines) == 1000 and lines[0].line == 2
+    text, made = several_lines(60, "c")
+    rows = files.read_arrival_text(spark, text).orderBy("n").collect()
+    assert [(str(r.event_time), r.device_id, r.sensor, str(r.value)) for r in rows] == made
+
+
+@pytest.mark.parametrize(
+    ("body", "line"),
+    [
+        ('1,d,s,2\n2,5" pipe,s,3\n3,d,s,4\n', 3),
+        ('1,5" pipe,s,3\n3,7" pipe,s,4\n', 2),
+        ('1,"d\nd"x,s,3\n', 3),
+        ('1,"d\nd",s,3\n2,"e,s,3\n3,f,s,4\n', 4),
+    ],
+)
+def test_stray_quotes_raise_with_their_line(spark, tmp_path, body, line):
+    (tmp_path / "a.csv").write_text(HEAD + body)
+    with pytest.raises(ValueError, match=f"line {line}: a quote neither opens nor closes"):
+        files.read_arrival_csv(spark, str(tmp_path))
+    with pytest.raises(ValueError, match=f"line {line}: a quote neither opens nor closes"):
+        files.read_arrival_text(spark, HEAD + body)
+
+
+def test_bad_cell_after_a_line_break_names_its_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + '1,"d\nd",s,2\n2,"e ""1"", f",s,3\n3,d,s,x\n')
+    with pytest.raises(ValueError, match="5"):
+        files.read_arrival_csv(spark, str(tmp_path))
+    rows = files.read_arrival_csv(spark, str(tmp_path), strict=False).orderBy("n").collect()
+    assert [(r.n, r.device_id) for r in rows] == [(1, "d\nd"), (2, 'e "1", f')]
 
 
 def test_quoted_header(spark):
