@@ -11,6 +11,7 @@ For a key whose window ends at E:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +25,13 @@ from latewin.operators.windows import (
     combine,
     finish,
     pane_of,
+    partial_aggregates,
     sliding_windows,
-    window_partials,
+    window_starts,
+    windows_of_panes,
 )
 from latewin.schema import GuardConfig, WindowConfig
+from latewin.session import stage
 
 VALUE_BLOCK = 1 << 16
 FANOUT = 1 << 10
@@ -219,6 +223,121 @@ def _first_cycle_reaching(asked: DataFrame, cycles: DataFrame, by: Sequence[str]
     return q.withColumn("found", F.coalesce("found", hit(F.lit(-1), True))).drop("_line", "b1")
 
 
+# -- panes -------------------------------------------------------------------------
+
+
+def _placed(timed: DataFrame, cfg: WindowConfig, by: Sequence[str]) -> DataFrame:
+    """Events with their pane ``start``, ``behind``, the number of windows that were behind the
+    watermark (``late``) and, where a missing key meets no summary, the last end behind (``shut``)."""
+    named = F.lit(True)
+    for c in (*by, *KEYS):
+        named = named & F.col(c).isNotNull()
+    width = cfg.window // cfg.slide
+    passed = F.floor((F.col("watermark_before") - _earliest_end(cfg)) / cfg.slide)
+    behind = F.col("behind")
+    return timed.select(
+        *by,
+        "n",
+        *KEYS,
+        "value",
+        "watermark_before",
+        pane_of(F.col("event_time"), cfg.slide).alias("start"),
+        _behind(cfg).alias("behind"),
+        F.least(F.lit(width), passed + 1).cast("long").alias("_ends"),
+        (_earliest_end(cfg) + passed * cfg.slide).cast("long").alias("_last"),
+        named.alias("_named"),
+    ).select(
+        *by,
+        "n",
+        *KEYS,
+        "value",
+        "watermark_before",
+        "start",
+        "behind",
+        F.when(behind & F.col("_named"), F.col("_ends")).alias("late"),
+        F.when(behind & ~F.col("_named"), F.col("_last")).alias("shut"),
+    )
+
+
+def _pane_aggregates() -> list[Column]:
+    return [
+        *partial_aggregates(),
+        F.min("n").alias("f"),
+        F.max("n").alias("last"),
+        F.min_by("watermark_before", "n").alias("mark"),
+        F.sum("late").alias("late"),
+    ]
+
+
+def arrival_panes(
+    timed: DataFrame, cfg: WindowConfig = WindowConfig(), by: Sequence[str] = ()
+) -> DataFrame:
+    """Events reduced to panes, those behind the watermark apart.
+
+    Besides the partials a row has the first and last arrival (``f``, ``last``), the watermark
+    before the first (``mark``) and how many pairs were late. One pass over the events serves the
+    key table, the window ends, the late pairs and the result.
+    """
+    return _placed(timed, cfg, by).groupBy(*by, "start", *KEYS, "behind", "shut").agg(
+        *_pane_aggregates()
+    )
+
+
+def late_groups(
+    timed: DataFrame,
+    keys: DataFrame,
+    cfg: WindowConfig = WindowConfig(),
+    by: Sequence[str] = (),
+    panes: DataFrame | None = None,
+) -> DataFrame:
+    """The panes behind the watermark, cut where one of their windows was released.
+
+    ``met`` is the last release before a group's arrivals, null where there is none: a window was
+    released before them exactly when that was at ``met`` or earlier. Only events of a pane that
+    saw a release before its last arrival are read again; no (event, window) pair is formed.
+    """
+    by = list(by)
+    pane = [*by, "start", *KEYS]
+    panes = arrival_panes(timed, cfg, by) if panes is None else panes
+    behind = panes.filter("behind")
+    windows = (
+        behind.select(*pane, "last")
+        .withColumn("pane", F.col("start"))
+        .withColumn("start", F.explode(window_starts(F.col("pane"), cfg)))
+    )
+    # Stored, so that the joins with it know how small it is.
+    releases = stage(
+        windows.join(keys.filter("released is not null").select(*pane, "released"), pane)
+        .filter(F.col("released") < F.col("last"))
+        .groupBy(*by, F.col("pane").alias("start"), *KEYS)
+        .agg(
+            F.collect_set("released").alias("_releases"),
+            F.min("released").alias("_first"),
+            F.max("released").alias("_end"),
+        ),
+        "releases",
+    )
+    n = F.col("n")
+    # Most arrivals follow all releases or none; only those in between are compared with each.
+    met = F.when(n > F.col("_end"), F.col("_end")).when(
+        n > F.col("_first"), F.array_max(F.filter("_releases", lambda r: r < n))
+    )
+    cut = (
+        _placed(timed.filter(_behind(cfg)), cfg, by)
+        .join(releases, pane)
+        .groupBy(*pane, met.alias("met"))
+        .agg(*_pane_aggregates())
+        .withColumn("shut", F.lit(None).cast("long"))
+    )
+    whole = behind.drop("behind").join(releases.select(*pane), pane, "left_anti")
+    return whole.withColumn("met", F.lit(None).cast("long")).unionByName(cut)
+
+
+def uncut(panes: DataFrame) -> DataFrame:
+    """:func:`late_groups` of a run that releases nothing."""
+    return panes.filter("behind").drop("behind").withColumn("met", F.lit(None).cast("long"))
+
+
 # -- the key table ---------------------------------------------------------------
 
 
@@ -226,7 +345,15 @@ def window_ends(
     timed: DataFrame, cfg: WindowConfig, by: Sequence[str] = (), horizon: int | None = None
 ) -> DataFrame:
     """All distinct window ends, and the same moved up by ``horizon``."""
-    panes = timed.select(*by, pane_of(F.col("event_time"), cfg.slide).alias("p")).distinct()
+    return _ends_of(
+        timed.select(*by, pane_of(F.col("event_time"), cfg.slide).alias("start")), cfg, by, horizon
+    )
+
+
+def _ends_of(
+    panes: DataFrame, cfg: WindowConfig, by: Sequence[str], horizon: int | None
+) -> DataFrame:
+    panes = panes.select(*by, F.col("start").alias("p")).distinct()
     last = F.col("p") + cfg.window
     ends = F.sequence(F.col("p") + cfg.slide, last, F.lit(cfg.slide).cast("long"))
     if horizon is not None:
@@ -240,18 +367,32 @@ def reach_table(
     cycles: DataFrame | None = None,
     by: Sequence[str] = (),
     horizon: int | None = None,
+    panes: DataFrame | None = None,
 ) -> DataFrame:
     """When the watermark (``reached``) and the frontier (``cleared``) got to each window end.
 
-    One row per distinct window end, however many keys end there.
+    One row per distinct window end, however many keys end there. ``panes`` are those of
+    :func:`arrival_panes`, if there already.
     """
-    series = {"reached": watermark_steps(timed, by)}
-    if cycles is not None:
-        # Cycles grow with the events, the values of the frontier only with time.
-        series["cleared"] = cycles.groupBy(*by, F.col("frontier").alias("value")).agg(
+    # Steps and cycles grow with the events, but all ends lie on one grid: what passes no end
+    # of it is dropped by moving every value down to the grid and keeping its first position.
+    grid = math.gcd(cfg.slide, horizon or 0)
+
+    def steps(table: DataFrame) -> DataFrame:
+        return table.groupBy(*by, pane_of(F.col("value"), grid).alias("value")).agg(
             F.min("position").alias("position")
         )
-    table = first_reached(window_ends(timed, cfg, by, horizon), series, by)
+
+    series = {"reached": steps(watermark_steps(timed, by))}
+    if cycles is not None:
+        series["cleared"] = steps(
+            cycles.select(*by, F.col("frontier").alias("value"), "position")
+        )
+    if panes is None:
+        ends = window_ends(timed, cfg, by, horizon)
+    else:
+        ends = _ends_of(panes, cfg, by, horizon)
+    table = first_reached(ends, series, by)
     return table if cycles is not None else table.withColumn(
         "cleared", F.lit(None).cast("long")
     )
@@ -271,14 +412,20 @@ def lifecycle_keys(
     cfg: WindowConfig = WindowConfig(),
     by: Sequence[str] = (),
     horizon: int | None = None,
+    panes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per window key with ``opened``, ``archived`` and ``cleared``.
 
     With ``horizon`` also ``behind``: when the watermark was that many seconds past
-    the end. ``released`` follows from ``cleared``, see :func:`with_release`.
+    the end. ``released`` follows from ``cleared``, see :func:`with_release`. ``panes`` are those
+    of :func:`arrival_panes`, if there already.
     """
     by = list(by)
-    keys = window_partials(timed, cfg, [*by, *KEYS], first="n").withColumn(
+    panes = arrival_panes(timed, cfg, by) if panes is None else panes
+    columns = [*PARTIALS, "f"]
+    # A pane may have rows before and behind the watermark.
+    whole = combine(panes, ["start", *by, *KEYS], columns)
+    keys = windows_of_panes(whole, cfg, [*by, *KEYS], columns).withColumn(
         "end", F.col("start") + cfg.window
     )
     keys = keys.join(reach.withColumnRenamed("value", "end"), [*by, "end"], "left")
@@ -417,21 +564,47 @@ def classify_pairs(
     )
 
 
+def _windows_met(
+    groups: DataFrame, keys: DataFrame, cfg: WindowConfig, by: Sequence[str], how: str
+) -> DataFrame:
+    """Late groups once per window they cover, with ``opened`` and ``released`` of its key."""
+    spread = groups.withColumn("start", F.explode(window_starts(F.col("start"), cfg)))
+    found = keys.select(*by, "start", *KEYS, "opened", "released")
+    return spread.join(found, [*by, "start", *KEYS], how).withColumn(
+        "end", F.col("start") + cfg.window
+    )
+
+
 def late_categories(
-    timed: DataFrame, keys: DataFrame, cfg: WindowConfig = WindowConfig(), by: Sequence[str] = ()
+    timed: DataFrame,
+    keys: DataFrame,
+    cfg: WindowConfig = WindowConfig(),
+    by: Sequence[str] = (),
+    panes: DataFrame | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """Pair counts per category; only late events are expanded."""
+    """Pair counts per category, from the panes; no pair is formed.
+
+    ``panes`` and ``groups`` are those of :func:`arrival_panes` and :func:`late_groups`, if there
+    already. A window was opened by a late event exactly when its first arrival is the first of
+    a late group and its end lay at or below the watermark before it.
+    """
     by = list(by)
     width = cfg.window // cfg.slide
-    total = timed.groupBy(*by).agg((F.count(F.lit(1)) * width).alias("pairs"))
-    late = late_pairs(timed, keys, cfg, by)
-
-    def number(category: str) -> Column:
-        return F.count(F.when(F.col("category") == category, 1))
-
-    counts = late.groupBy(*by).agg(number("B").alias("_b"), number("C").alias("_c"))
-    out = with_run_value(total, counts, ["_b", "_c"], by)
-    b, c = F.coalesce("_b", F.lit(0)), F.coalesce("_c", F.lit(0))
+    panes = arrival_panes(timed, cfg, by) if panes is None else panes
+    groups = late_groups(timed, keys, cfg, by, panes) if groups is None else groups
+    total = panes.groupBy(*by).agg(
+        (F.sum("count") * width).alias("pairs"), F.coalesce(F.sum("late"), F.lit(0)).alias("_late")
+    )
+    met = _windows_met(groups, keys, cfg, by, "inner")
+    opening = (F.col("f") == F.col("opened")) & (F.col("end") <= F.col("mark"))
+    counts = met.groupBy(*by).agg(
+        F.count(F.when(opening, 1)).alias("_a"),
+        F.sum(F.when(F.col("released") <= F.col("met"), F.col("count"))).alias("_c"),
+    )
+    out = with_run_value(total, counts, ["_a", "_c"], by)
+    c = F.coalesce("_c", F.lit(0))
+    b = F.col("_late") - F.coalesce("_a", F.lit(0)) - c
     return out.select(
         *by,
         "pairs",
@@ -450,33 +623,33 @@ def enforce_no_late_after_eviction(categories: DataFrame) -> None:
 
 
 def surviving_partials(
-    timed: DataFrame, keys: DataFrame, cfg: WindowConfig = WindowConfig(), by: Sequence[str] = ()
+    timed: DataFrame,
+    keys: DataFrame,
+    cfg: WindowConfig = WindowConfig(),
+    by: Sequence[str] = (),
+    panes: DataFrame | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """Window partials of all pairs except those that met a released window."""
+    """Window partials of all pairs except those that met a released window.
+
+    ``panes`` and ``groups`` are those of :func:`arrival_panes` and :func:`late_groups`, if there
+    already.
+    """
     by = list(by)
     grouping = [*by, *KEYS]
-    punctual = window_partials(timed.filter(~_behind(cfg)), cfg, grouping)
-    expanded = sliding_windows(
-        timed.filter(_behind(cfg)).select(
-            *by, "event_time", *KEYS, "value", "watermark_before"
-        ),
-        cfg,
-    ).filter(F.col("end") > F.col("watermark_before"))
-    met = late_pairs(timed, keys, cfg, by).filter("category <> 'C'")
-    columns = ["start", *grouping, "value"]
-    rest = (
-        expanded.select(*columns)
-        .unionByName(met.select(*columns))
-        .groupBy("start", *grouping)
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.sum("value").alias("sum"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
     order = ["start", *grouping, *PARTIALS]
-    return combine(punctual.select(order).unionByName(rest.select(order)), order[:-4])
+    panes = arrival_panes(timed, cfg, by) if panes is None else panes
+    groups = late_groups(timed, keys, cfg, by, panes) if groups is None else groups
+    free = F.col("met").isNull() & F.col("shut").isNull()
+    plain = panes.filter(~F.col("behind")).select(order).unionByName(
+        groups.filter(free).select(order)
+    )
+    whole = windows_of_panes(combine(plain, order[:-4]), cfg, grouping)
+    kept = ~F.coalesce(F.col("released") <= F.col("met"), F.lit(False)) & ~F.coalesce(
+        F.col("end") <= F.col("shut"), F.lit(False)
+    )
+    rest = _windows_met(groups.filter(~free), keys, cfg, by, "left").filter(kept)
+    return combine(whole.select(order).unionByName(rest.select(order)), order[:-4])
 
 
 # -- tiers --------------------------------------------------------------------------

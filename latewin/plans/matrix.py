@@ -70,7 +70,8 @@ class Matrix:
         #: Time of what all mechanisms share: reading, ordering and storing the arrivals.
         self.shared_seconds = clock() - start
         self.runs = {
-            name: Run(obs, mech, cfg, by, observed=True) for name, mech in mechanisms.items()
+            name: Run(obs, mech, cfg, by, observed=True, lean=True)
+            for name, mech in mechanisms.items()
         }
         # The same mechanism under two names is run once.
         seen: dict[tuple, Run] = {}
@@ -99,14 +100,16 @@ class Matrix:
 
         def rows_of(names: list[str]) -> DataFrame:
             run = self.runs[names[0]]
-            start = self.clock() if measure else 0.0
-            result = run.result
             seconds = F.lit(None).cast("double")
             if measure:
-                result = stage(result, "result")
+                start = self.clock()
+                result = stage(run.result, "result")
                 seconds = F.lit(float(self.clock() - start))
-            verdict = cmp.verdict(truth, result, by=self.by)
             state = run.totals.join(run.late, self.by)
+            if not measure:
+                # Untimed, it may share the panes that the state was derived from.
+                result = run.result
+            verdict = cmp.verdict(truth, result, by=self.by)
             rows = verdict.join(state, self.by).join(counts, self.by).select(
                 "scenario",
                 F.lit("result_vs_batch_aggregate").alias("comparison_type"),

@@ -106,8 +106,9 @@ def run_snapshot(
     keys: DataFrame,
     cfg: WindowConfig = WindowConfig(),
     by: Sequence[str] = (),
+    late: DataFrame | None = None,
 ) -> DataFrame:
-    """The counters of a run as one row per ``by``."""
+    """The counters of a run as one row per ``by``; ``late`` are its late categories, if there."""
     by = list(by)
     stream = timed.groupBy(*by).agg(
         F.max("max_event_time").alias("max_event_time"),
@@ -117,7 +118,7 @@ def run_snapshot(
     out = stream
     marks = watermark_updates(timed, by).withColumnRenamed("final_watermark", "watermark")
     totals = lc.tier_totals(keys, by)
-    late = lc.late_categories(timed, keys, cfg, by)
+    late = lc.late_categories(timed, keys, cfg, by) if late is None else late
     for table, names in (
         (marks, ["watermark", "watermark_updates"]),
         (

@@ -14,11 +14,29 @@ from latewin.operators.lateness import (
     adaptive_watermark,
     observe_lateness,
 )
-from latewin.operators.windows import finish, window_aggregate
+from latewin.operators.windows import (
+    KEYS,
+    combine,
+    finish,
+    window_aggregate,
+    windows_of_panes,
+)
 from latewin.plans import mechanisms as m
 from latewin.schema import Mechanism, WindowConfig
 from latewin.session import stage
 
+LEAN = (
+    "n",
+    "event_time",
+    *KEYS,
+    "value",
+    "max_event_time",
+    "lateness",
+    "budget",
+    "watermark",
+    "watermark_before",
+)
+
 
 class Run:
     """Tables of a run, each built once on first use.
@@ -37,9 +55,11 @@ class Run:
         by: Sequence[str] = (),
         horizon: int | None = None,
         observed: bool = False,
+        lean: bool = False,
     ):
-        """With ``observed`` the events already are stored observations."""
-        self.events, self.mech, self.cfg = events, mech, cfg
+        """With ``observed`` the events already are stored observations; with ``lean`` an
+        adaptive ``timed`` stores only the columns that the life of the keys is read from."""
+        self.events, self.mech, self.cfg, self.lean = events, mech, cfg, lean
         self.by, self.horizon = list(by), horizon
         if observed:
             self.obs = events
@@ -56,8 +76,10 @@ class Run:
         if self.mech.budget != "adaptive":
             return m.with_watermark(self.obs, self.mech, self.by)
         policy = self.mech.lateness
-        budgets = adaptive_budget(self.obs, policy, self.by)
-        return stage(adaptive_watermark(self.obs, budgets, policy, self.by), "timed")
+        # Stored, so that the join knows whether the budgets are small enough to send around.
+        budgets = stage(adaptive_budget(self.obs, policy, self.by), "budgets")
+        timed = adaptive_watermark(self.obs, budgets, policy, self.by)
+        return stage(timed.select(*self.by, *LEAN) if self.lean else timed, "timed")
 
     @cached_property
     def cycles(self) -> DataFrame | None:
@@ -65,6 +87,20 @@ class Run:
             return None
         return stage(lc.guard_series(self.timed, self.mech.guard, self.by), "cycles")
 
+    @cached_property
+    def panes(self) -> DataFrame:
+        """The events reduced to panes, those behind the watermark apart."""
+        return stage(lc.arrival_panes(self.timed, self.cfg, self.by), "panes")
+
+    @cached_property
+    def late_groups(self) -> DataFrame:
+        """The panes behind the watermark, cut where their windows were released."""
+        if self.mech.guard is None:
+            return lc.uncut(self.panes)
+        return stage(
+            lc.late_groups(self.timed, self.keys, self.cfg, self.by, self.panes), "late-groups"
+        )
+
     @cached_property
     def keys(self) -> DataFrame:
         """The key table; the search for late-opened keys runs only if there are any."""
@@ -73,10 +109,14 @@ class Run:
             reach = lc.never_reached(self.obs, self.by)
         else:
             reach = stage(
-                lc.reach_table(self.timed, self.cfg, self.cycles, self.by, self.horizon),
+                lc.reach_table(
+                    self.timed, self.cfg, self.cycles, self.by, self.horizon, self.panes
+                ),
                 "reach",
             )
-        keys = lc.lifecycle_keys(self.timed, reach, self.cfg, self.by, self.horizon)
+        keys = lc.lifecycle_keys(
+            self.timed, reach, self.cfg, self.by, self.horizon, self.panes
+        )
         keys = stage(keys, "keys")
         search = (
             guard is not None
@@ -88,7 +128,9 @@ class Run:
 
     @property
     def late(self) -> DataFrame:
-        return lc.late_categories(self.timed, self.keys, self.cfg, self.by)
+        return lc.late_categories(
+            self.timed, self.keys, self.cfg, self.by, self.panes, self.late_groups
+        )
 
     @property
     def totals(self) -> DataFrame:
@@ -96,7 +138,7 @@ class Run:
 
     @property
     def snapshot(self) -> DataFrame:
-        return m.run_snapshot(self.timed, self.keys, self.cfg, by=self.by)
+        return m.run_snapshot(self.timed, self.keys, self.cfg, self.by, self.late)
 
     @property
     def _plain(self) -> DataFrame:
@@ -120,7 +162,12 @@ class Run:
 
         Without a guard nothing can be lost, so the lifecycle is not derived; see ``held``.
         """
-        if self.mech.guard is None:
+        if self.mech.guard is None and "panes" not in self.__dict__:
             return window_aggregate(self._plain, self.cfg, by=self.by)
-        partials = lc.surviving_partials(self.timed, self.keys, self.cfg, self.by)
+        if self.mech.guard is None:
+            whole = combine(self.panes, ["start", *self.by, *KEYS])
+            return finish(windows_of_panes(whole, self.cfg, [*self.by, *KEYS]), self.cfg, by=self.by)
+        partials = lc.surviving_partials(
+            self.timed, self.keys, self.cfg, self.by, self.panes, self.late_groups
+        )
         return finish(partials, self.cfg, by=self.by)

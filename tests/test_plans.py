@@ -51,3 +51,27 @@ def test_many_cycles_on_few_values_leave_one_step_per_value(spark, monkeypatch):
     table = lc.reach_table(timed, WindowConfig(10, 10), cycles)
     assert {r["value"]: r["cleared"] for r in table.collect()} == {10: 1, 30: 3}
     assert seen["cleared"].count() == 7
+
+
+def test_many_rises_leave_one_step_per_slide(spark, monkeypatch):
+    seen, real = {}, lc.first_reached
+
+    def spy(values, series, by=(), value="value"):
+        seen.update(series)
+        return real(values, series, by, value)
+
+    monkeypatch.setattr(lc, "first_reached", spy)
+    n = F.col("id")
+    timed = spark.range(1, 1001).select(
+        n.alias("n"),
+        (n + 5).alias("event_time"),
+        n.alias("watermark"),
+        F.when(n > 1, n - 1).alias("watermark_before"),
+    )
+    for horizon in (None, 7):
+        table = lc.reach_table(timed, WindowConfig(300, 100), horizon=horizon)
+        got = {r["value"]: r["reached"] for r in table.collect()}
+        ends = {100 * k for k in range(1, 14)}
+        ends |= {e + horizon for e in ends} if horizon else set()
+        assert got == {e: e if e <= 1000 else None for e in ends}
+        assert seen["reached"].count() == (1001 if horizon else 11) - bool(horizon)
