@@ -18,6 +18,7 @@ over batches of tokens: all classes for each token, and a class's words for its
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -50,6 +51,9 @@ WORD_BYTES = 64
 #: Words whose trained numbers travel in one row, and tokens that are scored together.
 CHUNK = 256
 SLICE = 1 << 16
+#: Scores of tokens that are held at once, and the largest that needs no scaling.
+SCORES = 1 << 16
+PLAIN = 70.0
 #: Distinct words a task counts before it hands them on.
 COUNTED = 400_000
 # Numbers of the vocabulary before the words.
@@ -211,27 +215,46 @@ def start_numbers(shape: Shape, share: np.ndarray, class_share: np.ndarray, seed
     return flat
 
 
-class _Lookup(dict):
-    """Words outside the vocabulary are OTHER."""
-
-    def __missing__(self, key: bytes) -> int:
-        return OTHER
-
-
 def _numbers(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """Words outside the vocabulary are OTHER."""
     out = np.empty(len(words) + 3, dtype=np.int64)
     out[:2] = BEGIN
-    out[2:-1] = list(map(number.__getitem__, words))
+    out[2:-1] = np.fromiter(map(number.get, words, itertools.repeat(OTHER)), np.int64, len(words))
     out[-1] = END
     return out
 
 
+def _grouped(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct indices, stable order by index, where each distinct index begins in it)."""
+    bits = len(index).bit_length()
+    ordered = np.sort((index.astype(np.int64) << bits) | np.arange(len(index)))
+    order = ordered & ((1 << bits) - 1)
+    ordered >>= bits
+    new = np.empty(len(index), dtype=bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return ordered[first], order, first
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each group that :func:`_grouped` gives."""
+    out = rows.take(order.take(first), axis=0)
+    times = np.diff(first, append=len(order))
+    several = np.flatnonzero(times > 1)
+    if len(several):
+        lengths = times[several]
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        here = np.arange(ends[-1]) + np.repeat(first[several] - starts, lengths)
+        out[several] = np.add.reduceat(rows.take(order.take(here), axis=0), starts, axis=0)
+    return out
+
+
 def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct indices, and the sums of their rows."""
-    order = np.argsort(index.astype(np.int32), kind="stable")
-    ordered = index[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
+    at, order, first = _grouped(index)
+    return at, _sums(rows, order, first)
 
 
 class _Noise:
@@ -247,75 +270,111 @@ class _Noise:
         return np.minimum(np.searchsorted(self.cumulated, u, side="right"), len(self.log) - 1)
 
 
-def _contrast(q, target, vectors, bias, noise: _Noise, rng):
-    """Gradients of the log-likelihood of "the target is data, noise is noise".
+def _contrast(q, mine, theirs, log_mine, log_theirs, rows):
+    """Gradient of q of the log-likelihood of "the target is data, noise is noise".
 
-    Those of q; and indices with the gradients of their vector and bias.
+    A last column holds the biases of ``mine`` and ``theirs``, and ones in q. The gradients of
+    the targets' vectors and biases, then those of the noise, go into ``rows``.
     """
-    drawn = noise.draw(rng)
-    mine, theirs = vectors[target], vectors[drawn]
-    good = np.einsum("ij,ij->i", q, mine) + bias[target] - noise.log[target]
-    bad = q @ theirs.T + (bias[drawn] - noise.log[drawn])
-    up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-    down = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-    dq = up[:, None] * mine + down @ theirs
-    rows = np.concatenate([up[:, None] * q, down.T @ q])
-    return dq, np.r_[target, drawn], rows, np.r_[up, down.sum(0)]
+    n = len(q)
+    good = np.einsum("ij,ij->i", q, mine) - log_mine
+    up = (1 / (1 + np.exp(np.clip(good, -30, 30))))[:, None]
+    noise = theirs.copy()
+    noise[:, -1] -= log_theirs
+    down = q @ noise.T
+    np.clip(down, -30, 30, out=down)
+    np.exp(np.negative(down, out=down), out=down)
+    down += 1
+    np.divide(-1, down, out=down)
+    np.multiply(up, q, out=rows[:n])
+    np.matmul(down.T, q, out=rows[n : n + len(theirs)])
+    dq = down @ theirs
+    dq += up * mine
+    return dq
+
+
+class _Table:
+    """Rows of numbers, a vector and its bias, each with its sum of squared gradients."""
+
+    def __init__(self, vectors: np.ndarray, bias: np.ndarray):
+        self.values = np.column_stack([vectors, bias])
+        self.squares = np.full(self.values.shape, 1e-2, dtype=np.float32)
+
+    def change(self, at: np.ndarray, grad: np.ndarray, values: np.ndarray | None = None) -> None:
+        """``values`` are those ``at``, where they have been looked up."""
+        squares = self.squares.take(at, axis=0)
+        squares += grad * grad
+        self.squares[at] = squares
+        grad *= RATE
+        grad /= np.sqrt(squares, out=squares)
+        grad += self.values.take(at, axis=0) if values is None else values
+        self.values[at] = grad
 
 
 class Trainer:
     """Noise-contrastive estimation by AdaGrad over batches of (w-2, w-1, w).
 
-    Only the numbers of words in a batch change. ``met`` counts the batch entries of each
-    word, by which the partitions' results are averaged.
+    Only the numbers of words in a batch change, and each distinct word is read and written
+    once. ``met`` counts the batch entries of each word, by which the partitions' results
+    are averaged.
     """
 
     def __init__(self, shape: Shape, flat: np.ndarray, share, class_share, class_of, seed: int):
         self.shape = shape
-        self.flat = flat.astype(np.float32)
-        self.squares = np.full(shape.numbers, 1e-2, dtype=np.float32)
+        flat = flat.astype(np.float32)
+        r, c, b = shape.split(flat)
+        self.words, self.heads = _Table(r, b), _Table(*shape.heads(flat))
+        # Rows have a column more, for the biases: contexts do without it.
+        width = shape.dim + 1
+        self.c = np.zeros((2, width, width), dtype=np.float32)
+        self.c[:, :-1, :-1] = c
+        self.c_squares = np.full(c.shape, 1e-2, dtype=np.float32)
         self.rng = np.random.default_rng(seed)
         self.noise = _Noise(share, NOISE)
         self.class_noise = _Noise(class_share, NOISE_CLASSES)
         self.class_of = class_of
         self.met = np.zeros(shape.size, dtype=np.float32)
         self.seen = 0
-        self.at = list(zip(
-            [*shape.split(self.flat), *shape.heads(self.flat)],
-            [*shape.split(self.squares), *shape.heads(self.squares)],
-            strict=True,
-        ))
-
-    def _change(self, which: int, index: np.ndarray, grad: np.ndarray) -> None:
-        values, squares = self.at[which]
-        new = squares[index] + grad * grad
-        squares[index] = new
-        values[index] += RATE * grad / np.sqrt(new)
+        # Kept from step to step.
+        self.rows = np.empty((3 * BATCH + NOISE, width), dtype=np.float32)
+        self.class_rows = np.empty((BATCH + NOISE_CLASSES, width), dtype=np.float32)
+
+    @property
+    def numbers(self) -> tuple[np.ndarray, ...]:
+        """Word vectors with their biases, contexts, class vectors, class biases."""
+        heads = self.heads.values
+        return self.words.values, self.c[:, :-1, :-1], heads[:, :-1], heads[:, -1]
 
     def step(self, before2: np.ndarray, before1: np.ndarray, word: np.ndarray) -> None:
-        r, c, b = self.shape.split(self.flat)
-        s, bias = self.shape.heads(self.flat)
-        n = len(word)
-        v1, v2 = r[before1], r[before2]
-        q = v1 @ c[0] + v2 @ c[1]
-        dq, index, rows, up = _contrast(q, word, r, b, self.noise, self.rng)
-        dq2, index2, rows2, up2 = _contrast(
-            q, self.class_of[word], s, bias, self.class_noise, self.rng
-        )
-        dq += dq2
-        dc = np.stack([v1.T @ dq, v2.T @ dq])
-        every = np.r_[index, before1, before2]
-        wide = np.zeros((len(every), self.shape.dim + 1), dtype=np.float32)
-        wide[:, :-1] = np.concatenate([rows, dq @ c[0].T, dq @ c[1].T])
-        wide[: len(up), -1] = up
-        at, sums = _summed(every, wide / n)
-        self._change(0, at, sums[:, :-1])
-        self._change(2, at, sums[:, -1])
-        at, sums = _summed(index2, np.c_[rows2, up2] / n)
-        self._change(3, at, sums[:, :-1])
-        self._change(4, at, sums[:, -1])
-        self._change(1, np.arange(2), dc / n)
-        np.add.at(self.met, every, np.float32(1))
+        n, c = len(word), self.c
+        drawn, class_drawn = self.noise.draw(self.rng), self.class_noise.draw(self.rng)
+        every = np.concatenate([word, drawn, before1, before2])
+        at, order, first = _grouped(every)
+        times = np.diff(first, append=len(every))
+        found = self.words.values.take(at, axis=0)
+        place = np.empty(len(every), dtype=np.int64)
+        place[order] = np.repeat(np.arange(len(at)), times)
+        mine, theirs, v1, v2 = np.split(found.take(place, axis=0), [n, n + NOISE, 2 * n + NOISE])
+        q = v1 @ c[0]
+        q += v2 @ c[1]
+        q[:, -1] = 1
+        rows = self.rows[: 3 * n + NOISE]
+        dq = _contrast(q, mine, theirs, self.noise.log[word], self.noise.log[drawn], rows)
+
+        classes = np.concatenate([self.class_of[word], class_drawn])
+        heads, log = self.heads.values.take(classes, axis=0), self.class_noise.log[classes]
+        class_rows = self.class_rows[: n + NOISE_CLASSES]
+        dq += _contrast(q, heads[:n], heads[n:], log[:n], log[n:], class_rows)
+
+        dc = np.stack([v1.T @ dq, v2.T @ dq])[:, :-1, :-1] / n
+        np.matmul(dq, c[0].T, out=rows[n + NOISE : 2 * n + NOISE])
+        np.matmul(dq, c[1].T, out=rows[2 * n + NOISE :])
+        self.words.change(at, _sums(rows, order, first) / n, found)
+        class_at, sums = _summed(classes, class_rows)
+        self.heads.change(class_at, sums / n)
+        self.c_squares += dc * dc
+        c[:, :-1, :-1] += RATE * dc / np.sqrt(self.c_squares)
+        self.met[at] += times
         self.seen += n
 
 
@@ -368,7 +427,6 @@ def train(texts: DataFrame, words: dict[bytes, int], counts: Counts, passes: int
 
         def run(batches: Iterator[pd.DataFrame], begin=begin) -> Iterator[pd.DataFrame]:
             flat0, share, class_share, class_of, lookup = begin.value
-            lookup = _Lookup(lookup)
             trainer = Trainer(shape, flat0, share, class_share, class_of, seed=13)
             for batch in batches:
                 rows = [_numbers(tokens(t), lookup) for t in batch["text"]]
@@ -383,8 +441,7 @@ def train(texts: DataFrame, words: dict[bytes, int], counts: Counts, passes: int
                     trainer.step(flat_rows[here - 2], flat_rows[here - 1], flat_rows[here])
             if not trainer.seen:
                 return
-            r, c, b = shape.split(trainer.flat)
-            s, bias = shape.heads(trainer.flat)
+            r, c, s, bias = trainer.numbers
 
             def row(chunk: int, at: np.ndarray, x: np.ndarray, weight: np.ndarray) -> tuple:
                 parts = (at.astype(np.int32), x.astype(np.float32), weight.astype(np.float32))
@@ -394,7 +451,7 @@ def train(texts: DataFrame, words: dict[bytes, int], counts: Counts, passes: int
             out = []
             for at in np.split(met, np.searchsorted(met, np.arange(CHUNK, shape.size, CHUNK))):
                 if len(at):
-                    out.append(row(at[0] // CHUNK, at, np.c_[r[at], b[at]], trainer.met[at]))
+                    out.append(row(at[0] // CHUNK, at, r[at], trainer.met[at]))
             rest = np.r_[c.ravel(), s.ravel(), bias]
             for i in range(0, len(rest), CHUNK):
                 x = rest[i : i + CHUNK, None]
@@ -422,11 +479,48 @@ def train(texts: DataFrame, words: dict[bytes, int], counts: Counts, passes: int
 
 def log_sums(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """log of the softmax's sum over all ``vectors`` for every row of ``q``."""
-    scores = q @ vectors.T
-    scores += bias
-    top = scores.max(1)
-    scores -= top[:, None]
-    return top + np.log(np.exp(scores, out=scores).sum(1))
+    one = np.ones((len(q), 1), dtype=q.dtype)
+    return _log_sums(np.hstack([q, one]), np.c_[vectors, bias])
+
+
+def _log_sums(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The same for biases in the last column of ``vectors``, where ``q`` holds ones.
+
+    Runs over blocks of rows whose scores stay in the processor's cache.
+    """
+    return _block_log_sums(q, vectors, _longest(q) * _longest(vectors) + _highest(vectors))
+
+
+def _longest(rows: np.ndarray) -> float:
+    """The largest length of a row without its last column."""
+    short = rows[:, :-1]
+    return math.sqrt(np.einsum("ij,ij->i", short, short).max(initial=0))
+
+
+def _highest(rows: np.ndarray) -> float:
+    """The largest number in the last column, whatever its sign."""
+    return float(np.abs(rows[:, -1]).max(initial=0))
+
+
+def _block_log_sums(q: np.ndarray, vectors: np.ndarray, most: float) -> np.ndarray:
+    """No score is beyond ``most``; where its exponential is a plain number, the largest score
+    needs no taking away."""
+    out = np.empty(len(q), dtype=q.dtype)
+    step = max(16, SCORES // max(1, len(vectors)))
+    scores = np.empty((min(step, len(q)), len(vectors)), dtype=q.dtype)
+    turned, ones = vectors.T, np.ones(len(vectors), dtype=q.dtype)
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
+        found = np.matmul(part, turned, out=scores[: len(part)])
+        if most < PLAIN:
+            np.exp(found, out=found)
+            np.log(found @ ones, out=out[i : i + step])
+        else:
+            top = found.max(1)
+            found -= top[:, None]
+            np.exp(found, out=found)
+            out[i : i + step] = top + np.log(found @ ones)
+    return out
 
 
 def normalisers(shape: Shape, flat: np.ndarray) -> np.ndarray:
@@ -437,24 +531,51 @@ def normalisers(shape: Shape, flat: np.ndarray) -> np.ndarray:
     return np.stack([log_sums(first + w2, r[possible], b[possible]) for w2 in second])
 
 
+class Scorer:
+    """The model's numbers as rows of a vector and its bias, laid out once for many tokens."""
+
+    def __init__(self, model: Model, class_of: np.ndarray):
+        r, self.c, b = model.shape.split(model.flat)
+        self.words = np.column_stack([r, b])
+        self.heads = np.column_stack(model.shape.heads(model.flat))
+        self.class_of = class_of
+        self.cuts = _FIRST + model.starts
+        # The longest vector of each class and its highest bias.
+        parts = [self.words[a:z] for a, z in zip(self.cuts, self.cuts[1:], strict=False)]
+        self.limits = [(_longest(x), _highest(x)) for x in parts]
+
+    def log_probabilities(self, w2, w1, w) -> np.ndarray:
+        """Natural logarithms of the model's probabilities of w after (w2, w1)."""
+        k = self.class_of.take(w)
+        # By class, so that the tokens of a class lie together.
+        order = np.argsort(k.astype(np.int16) if len(self.heads) < 1 << 15 else k, kind="stable")
+        w2, w1, w, k = (x.take(order) for x in (w2, w1, w, k))
+        width = self.words.shape[1]
+        c = np.zeros((2, width, width), dtype=self.words.dtype)
+        c[:, :-1, :-1] = self.c
+        q = self.words.take(w1, axis=0) @ c[0]
+        q += self.words.take(w2, axis=0) @ c[1]
+        q[:, -1] = 1
+        here = np.einsum("ij,ij->i", q, self.heads.take(k, axis=0)) - _log_sums(q, self.heads)
+        # The first two classes are END and OTHER.
+        cuts = np.searchsorted(k, np.arange(2, len(self.heads) + 1))
+        low, longest = cuts[0], _longest(q)
+        here[low:] += np.einsum("ij,ij->i", q[low:], self.words.take(w[low:], axis=0))
+        for j in np.flatnonzero(np.diff(cuts)):
+            length, high = self.limits[j]
+            here[cuts[j] : cuts[j + 1]] -= _block_log_sums(
+                q[cuts[j] : cuts[j + 1]],
+                self.words[self.cuts[j] : self.cuts[j + 1]],
+                longest * length + high,
+            )
+        out = np.empty_like(here)
+        out[order] = here
+        return out
+
+
 def log_probabilities(model: Model, class_of: np.ndarray, w2, w1, w) -> np.ndarray:
     """Natural logarithms of the model's probabilities of w after (w2, w1)."""
-    r, c, b = model.shape.split(model.flat)
-    s, bias = model.shape.heads(model.flat)
-    q = r[w1] @ c[0] + r[w2] @ c[1]
-    k = class_of[w]
-    out = np.einsum("ij,ij->i", q, s[k]) + bias[k]
-    for i in range(0, len(w), 2048):
-        out[i : i + 2048] -= log_sums(q[i : i + 2048], s, bias)
-    order = np.argsort(k, kind="stable")
-    cuts = np.searchsorted(k[order], np.arange(2, model.shape.classes + 1))
-    for j in np.flatnonzero(np.diff(cuts)):
-        a, z = _FIRST + model.starts[j], _FIRST + model.starts[j + 1]
-        for i in range(cuts[j], cuts[j + 1], 2048):
-            at = order[i : min(i + 2048, cuts[j + 1])]
-            here, word = q[at], w[at]
-            out[at] += np.einsum("ij,ij->i", here, r[word]) + b[word] - log_sums(here, r[a:z], b[a:z])
-    return out
+    return Scorer(model, class_of).log_probabilities(w2, w1, w)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -486,8 +607,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, logs, more_words = shared.value
-        lookup = _Lookup({w: i + _FIRST for i, w in enumerate(model.words + more_words)})
-        class_of = class_numbers(model.starts)
+        lookup = {w: i + _FIRST for i, w in enumerate(model.words + more_words)}
+        scorer = Scorer(model, class_numbers(model.starts))
 
         def model_scores(texts: list[np.ndarray]) -> np.ndarray:
             """Sum of each text's natural logarithms."""
@@ -498,7 +619,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             sums = np.zeros(len(texts))
             for i in range(0, len(at), SLICE):
                 here = at[i : i + SLICE]
-                p = log_probabilities(model, class_of, ids[here - 2], ids[here - 1], ids[here])
+                p = scorer.log_probabilities(ids[here - 2], ids[here - 1], ids[here])
                 sums += np.bincount(text[here], weights=p, minlength=len(texts))
             return sums
 

@@ -201,3 +201,69 @@ def test_probabilities_of_all_words_sum_to_one():
     for w2, w1 in ((0, 3), (5, 8), (2, 2)):
         p = lbl.log_probabilities(model, lbl.class_numbers(starts), np.full(len(w), w2), np.full(len(w), w1), w)
         assert abs(np.exp(p).sum() - 1) < 1e-4
+
+
+def test_sums_of_small_and_of_large_scores():
+    # Large scores take the way with the largest taken away; blocks end within the rows.
+    rng = np.random.default_rng(4)
+    for scale, rows, columns in ((0.3, 700, 300), (40.0, 700, 300), (1.0, 3, 70_000), (1.0, 0, 5)):
+        q, v = rng.normal(0, scale, (rows, 4)), rng.normal(0, 1, (columns, 4))
+        b = rng.normal(0, 9, columns)
+        scores = q @ v.T + b
+        top = scores.max(1, initial=-np.inf)
+        want = top + np.log(np.exp(scores - top[:, None]).sum(1))
+        got = lbl.log_sums(*(x.astype(np.float32) for x in (q, v, b)))
+        assert got.dtype == np.float32 and np.allclose(got, want, rtol=1e-4, atol=1e-3)
+        ones = np.ones((rows, 1))
+        assert np.allclose(lbl._log_sums(np.hstack([q, ones]), np.c_[v, b]), want)
+
+
+def plain_contrast(q, target, drawn, vectors, bias, log):
+    """Gradients of q, vectors and biases, one pair of a token and a word at a time."""
+    dq, dv, db = np.zeros_like(q), np.zeros_like(vectors), np.zeros_like(bias)
+    for i in range(len(q)):
+        for w, sign in [(target[i], 1), *((w, -1) for w in drawn)]:
+            x = q[i] @ vectors[w] + bias[w] - log[w]
+            g = sign / (1 + np.exp(sign * x))
+            dq[i] += g * vectors[w]
+            dv[w] += g * q[i]
+            db[w] += g
+    return dq, dv, db
+
+
+def test_a_step_equals_the_plain_gradient():
+    # A batch that meets words and classes many times, once and never.
+    counts = np.array([90.0, 60, 40, 9, 8, 7, 6, 5, 5, 5])
+    starts = np.array([0, 3, 10])
+    class_of = lbl.class_numbers(starts)
+    shape = lbl.Shape(3 + len(counts), 4, len(starts) + 1)
+    share = np.r_[20, 30, 1e-9, counts] / (50 + counts.sum())
+    class_share = np.bincount(class_of, weights=share)
+    flat = lbl.start_numbers(shape, share, class_share)
+    trainer = lbl.Trainer(shape, flat, share, class_share, class_of, seed=5)
+    r, c, b = (x.astype(float) for x in shape.split(flat))
+    s, bias = (x.astype(float) for x in shape.heads(flat))
+    state = [[x.copy(), np.full(x.shape, 1e-2)] for x in (r, c, b, s, bias)]
+    draws = np.random.default_rng(5)
+    met = np.zeros(shape.size)
+    for n in (40, 7):
+        w2, w1, w = np.random.default_rng(n).choice([0, 1, 3, 4, 5, 12], (3, n))
+        r, c, b, s, bias = (x for x, _ in state)
+        drawn, class_drawn = trainer.noise.draw(draws), trainer.class_noise.draw(draws)
+        q = r[w1] @ c[0] + r[w2] @ c[1]
+        dq, dr, db = plain_contrast(q, w, drawn, r, b, trainer.noise.log)
+        more, ds, dbias = plain_contrast(q, class_of[w], class_drawn, s, bias, trainer.class_noise.log)
+        dq += more
+        dc = np.stack([r[w1].T @ dq, r[w2].T @ dq])
+        np.add.at(dr, w1, dq @ c[0].T)
+        np.add.at(dr, w2, dq @ c[1].T)
+        for (x, squares), g in zip(state, (dr, dc, db, ds, dbias), strict=True):
+            squares += (g / n) ** 2
+            x += lbl.RATE * g / n / np.sqrt(squares)
+        np.add.at(met, np.r_[w, drawn, w1, w2], 1)
+        trainer.step(w2, w1, w)
+    words, contexts, heads, head_bias = trainer.numbers
+    want = [np.c_[state[0][0], state[2][0]], *(state[i][0] for i in (1, 3, 4))]
+    for got, plain in zip((words, contexts, heads, head_bias), want, strict=True):
+        assert np.allclose(got, plain, atol=1e-5)
+    assert trainer.met.tolist() == met.tolist() and trainer.seen == 47
