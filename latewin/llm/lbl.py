@@ -279,11 +279,11 @@ def _contrast(q, mine, theirs, log_mine, log_theirs, rows):
     n = len(q)
     good = np.einsum("ij,ij->i", q, mine) - log_mine
     up = (1 / (1 + np.exp(np.clip(good, -30, 30))))[:, None]
-    noise = theirs.copy()
-    noise[:, -1] -= log_theirs
+    noise = -theirs
+    noise[:, -1] += log_theirs
     down = q @ noise.T
     np.clip(down, -30, 30, out=down)
-    np.exp(np.negative(down, out=down), out=down)
+    np.exp(down, out=down)
     down += 1
     np.divide(-1, down, out=down)
     np.multiply(up, q, out=rows[:n])
@@ -535,8 +535,12 @@ class Scorer:
     """The model's numbers as rows of a vector and its bias, laid out once for many tokens."""
 
     def __init__(self, model: Model, class_of: np.ndarray):
-        r, self.c, b = model.shape.split(model.flat)
+        r, c, b = model.shape.split(model.flat)
         self.words = np.column_stack([r, b])
+        # What a word adds to q as w-1 and as w-2; the ones in q come with w-1.
+        first, second = r @ c[0], r @ c[1]
+        self.first = np.column_stack([first, np.ones_like(b)])
+        self.second = np.column_stack([second, np.zeros_like(b)])
         self.heads = np.column_stack(model.shape.heads(model.flat))
         self.class_of = class_of
         self.cuts = _FIRST + model.starts
@@ -550,12 +554,8 @@ class Scorer:
         # By class, so that the tokens of a class lie together.
         order = np.argsort(k.astype(np.int16) if len(self.heads) < 1 << 15 else k, kind="stable")
         w2, w1, w, k = (x.take(order) for x in (w2, w1, w, k))
-        width = self.words.shape[1]
-        c = np.zeros((2, width, width), dtype=self.words.dtype)
-        c[:, :-1, :-1] = self.c
-        q = self.words.take(w1, axis=0) @ c[0]
-        q += self.words.take(w2, axis=0) @ c[1]
-        q[:, -1] = 1
+        q = self.first.take(w1, axis=0)
+        q += self.second.take(w2, axis=0)
         here = np.einsum("ij,ij->i", q, self.heads.take(k, axis=0)) - _log_sums(q, self.heads)
         # The first two classes are END and OTHER.
         cuts = np.searchsorted(k, np.arange(2, len(self.heads) + 1))
