@@ -22,8 +22,16 @@ KEY_SETTING = "spark.latewin.pseudonymKey"
 #: Their product is the number of days from 1900-01-01 to 2099-12-31, the dates the forms accept.
 DATE_DAYS = (17, 4297)
 
-# Fixed forms. The order of the alternation decides where several begin together.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Fixed forms. The order of the alternation decides where several begin together. Repeats without
+# a bound are possessive: Java matches any other repeat of a group by recursion, and a long
+# value would overflow the stack, which ends the executor.
+_LABEL = r"\.(?![A-Za-z]{2})[A-Za-z0-9-]++"  # of a host; none that begins with two letters
+# The host ends with the letters that begin its last label with two of them.
+MAIL = (
+    r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++"
+    rf"(?:(?:{_LABEL})*+\.[A-Za-z]{{2}}[A-Za-z0-9-]*+(?=(?:{_LABEL})*+\.[A-Za-z]{{2}}))*+"
+    rf"(?:{_LABEL})*+\.[A-Za-z]{{2,}}+"
+)
 PHONE = r"(?<![\w+])(?:\+1[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"
 ADDRESS = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 SOCIAL = r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"
@@ -32,17 +40,22 @@ DATE_DMY = r"(?<![\w.])[0-3]\d\.[01]\d\.(?:19|20)\d\d(?!\w)"
 DATE_MDY = r"(?<![\w/])[01]\d/[0-3]\d/(?:19|20)\d\d(?![\w/])"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
 # Groups of digits with 13 or more in all. The last group is not the start of a mail
-# address, or of an address, date or phone number written with dots or slashes.
+# address, or of an address, date or phone number written with dots or slashes; where
+# it is, or a word goes on behind it, the run ends at the last blank before.
 RUN = (
-    r"(?<![\w-])\d(?:[ -]?\d){12,}(?![\w-])"
+    r"(?<![\w-])\d(?:[ -]?\d){12}+(?:(?:[ -]?\d)*+(?![\w-])"
     r"(?![.%+]?[A-Za-z0-9._%+-]*@|\.\d{1,3}\.\d{1,3}\.\d|[./]\d\d[./]\d{4}|\.\d{3}[ .-]\d{4}|\.\d{4}(?!\d))"
+    r"|(?:-?\d)*+(?= \d)(?: \d(?:-?\d)*+(?= \d))*+)"
 )
 FORMS = {
     "mail": MAIL, "social": SOCIAL, "date": DATE, "date_dmy": DATE_DMY, "date_mdy": DATE_MDY,
     "phone": PHONE, "address": ADDRESS, "card": CARD,
 }
-SINGLE = "|".join(pattern for name, pattern in FORMS.items() if name != "card")
-ANY = "|".join([MAIL, RUN, SINGLE])
+_SINGLE = "|".join(pattern for name, pattern in FORMS.items() if name not in ("mail", "card"))
+# All but mail begin with one of three kinds of sign; elsewhere they are not tried.
+SINGLE = rf"{MAIL}|(?=[\d+(])(?:{_SINGLE})"
+NUMBER = rf"(?=[\d+(])(?:{RUN}|{_SINGLE})"
+ANY = f"{MAIL}|{NUMBER}"
 #: The usual groups of a card number.
 USUAL = r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
 #: Those of a card number of 17 to 19 digits, which may begin with a valid shorter one.
@@ -93,22 +106,34 @@ def _ten(n: Column) -> Column:
     return F.pow(F.lit(10.0), n).cast("long")
 
 
-def _refill(form: Column, digits: Column) -> Column:
-    """The digits put, in order, in place of those of ``form``."""
-    return _let(digits, lambda d: _filled(form, d))
+def _at(ascii: Column, i: Column) -> Column:
+    """The character at ``i`` (from 1) of a binary; a string would be read from its start."""
+    return ascii.substr(i, F.lit(1)).cast("string")
 
 
-def _filled(form: Column, digits: Column) -> Column:
-    return F.array_join(
-        F.transform(
-            F.sequence(F.lit(1), F.length(form)),
-            lambda i: F.when(
-                form.substr(i, F.lit(1)).rlike("[0-9]"),
-                digits.substr(F.length(_digits(form.substr(F.lit(1), i))), F.lit(1)),
-            ).otherwise(form.substr(i, F.lit(1))),
-        ),
-        "",
-    )
+def _refill(form: Column, signs: Column, kind: str = "[0-9]") -> Column:
+    """The signs put, in order, in place of the characters of ``kind`` in ``form`` (both ASCII).
+
+    Both kinds of place are listed with their characters, then ordered by place.
+    """
+    placed = lambda i, c: F.struct(i.alias("i"), c.alias("c"))
+
+    def filled(b: Column) -> Column:
+        form, signs = b["form"], b["signs"]
+        places = F.sequence(F.lit(1), F.length(form))
+        return F.concat(
+            F.transform(
+                F.filter(places, lambda i: _at(form, i).rlike(kind)),
+                lambda i, j: placed(i, _at(signs, j + 1)),
+            ),
+            F.transform(
+                F.filter(places, lambda i: ~_at(form, i).rlike(kind)),
+                lambda i: placed(i, _at(form, i)),
+            ),
+        )
+
+    both = F.struct(form.cast("binary").alias("form"), signs.cast("binary").alias("signs"))
+    return F.array_join(F.transform(F.array_sort(_let(both, filled)), lambda p: p["c"]), "")
 
 
 def _luhn_sum(digits: Column, doubled_first: Column) -> Column:
@@ -272,21 +297,7 @@ def mail_pseudonym(value: Column, key: str) -> Column:
     long = F.repeat(digest, F.ceil(n / 64).cast("int")).substr(F.lit(1), n)
     new = F.when(n == 0, "").when(n <= 22, permuted).otherwise(long)
     # Signs between letters and digits keep their places.
-    sign_before = lambda i: F.length(
-        F.regexp_replace(local.substr(F.lit(1), i), "[^0-9a-z]", "")
-    )
-    filled = _let(
-        new,
-        lambda v: F.array_join(
-            F.transform(
-                F.sequence(F.lit(1), F.length(local)),
-                lambda i: F.when(
-                    local.substr(i, F.lit(1)).rlike("[0-9a-z]"), v.substr(sign_before(i), F.lit(1))
-                ).otherwise(local.substr(i, F.lit(1))),
-            ),
-            "",
-        ),
-    )
+    filled = _refill(local, new, "[0-9a-z]")
     return F.concat(filled, value.substr(at, F.length(value)))
 
 
@@ -339,11 +350,12 @@ def card_spans(run: Column) -> Column:
     others; each from the left, the longest first, and none overlaps another.
     """
     span = "array<struct<start:int,n:int,end:int,usual:boolean>>"
-    groups = F.split(run, "[ -]")
-    ends = F.aggregate(
-        groups,
+    # As a run may be long, it is cut as binary, and nothing goes through all spans for each span.
+    ascii = run.cast("binary")
+    ends = F.concat(
         F.array(F.lit(-1)),
-        lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + 1 + F.length(g))),
+        F.filter(F.sequence(F.lit(0), F.length(run) - 1), lambda i: _at(ascii, i + 1).isin(" ", "-")),
+        F.array(F.length(run)),
     )
 
     def tested(at: Column) -> Column:
@@ -352,7 +364,7 @@ def card_spans(run: Column) -> Column:
         def one(i: Column, k: Column) -> Column:
             start, end = F.get(at, i) + 1, F.get(at, i + k)
             digits = end - start - k + 1
-            cut = run.substr(start + 1, end - start)
+            cut = ascii.substr(start + 1, end - start).cast("string")
             return F.struct(
                 start.alias("start"),
                 (-digits).alias("n"),
@@ -372,7 +384,7 @@ def card_spans(run: Column) -> Column:
         return F.filter(
             all_spans,
             lambda s: s["n"].between(-19, -13)
-            & luhn_valid(run.substr(s["start"] + 1, s["end"] - s["start"])),
+            & luhn_valid(ascii.substr(s["start"] + 1, s["end"] - s["start"]).cast("string")),
         )
 
     def disjoint(spans: Column) -> Column:
@@ -387,28 +399,37 @@ def card_spans(run: Column) -> Column:
             lambda acc: acc["all"],
         )
 
+    def covered(spans: Column) -> Column:
+        """For each place of the run, whether one of the spans, in order, holds it."""
+        after = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+        return F.concat(
+            F.flatten(
+                F.transform(
+                    spans,
+                    lambda s, i: F.concat(
+                        F.array_repeat(F.lit(False), s["start"] - after(i)),
+                        F.array_repeat(F.lit(True), s["end"] - s["start"]),
+                    ),
+                )
+            ),
+            F.array_repeat(F.lit(False), F.length(run) - after(F.size(spans))),
+        )
+
     def chosen(valid: Column) -> Column:
         whole = F.filter(
             valid,
             lambda s: (s["start"] == 0) & (s["end"] == F.length(run)) & run.rlike(LONG),
         )
         usual = disjoint(F.filter(valid, lambda s: s["usual"]))
-        both = _let(
-            usual,
-            lambda u: F.array_sort(
-                F.concat(
-                    u,
-                    disjoint(
-                        F.filter(
-                            valid,
-                            lambda s: ~F.exists(
-                                u, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])
-                            ),
-                        )
-                    ),
-                )
-            ),
-        )
+
+        def with_others(u: Column) -> Column:
+            free = lambda c: F.filter(
+                valid,
+                lambda s: ~F.array_contains(F.slice(c, s["start"] + 1, s["end"] - s["start"]), True),
+            )
+            return F.array_sort(F.concat(u, disjoint(_let(covered(u), free))))
+
+        both = _let(usual, with_others)
         return F.when(F.size(whole) > 0, whole).otherwise(both)
 
     return _let(_let(ends, tested), chosen)
@@ -416,6 +437,7 @@ def card_spans(run: Column) -> Column:
 
 def _run_parts(run: Column) -> Column:
     """The parts of a run: its card numbers, and the other forms beside them."""
+    ascii = run.cast("binary")
 
     def cut(spans: Column) -> Column:
         edges = F.concat(
@@ -426,7 +448,7 @@ def _run_parts(run: Column) -> Column:
         pieces = F.transform(
             F.sequence(F.lit(0), F.size(edges) - 2),
             lambda i: F.struct(
-                run.substr(F.get(edges, i) + 1, F.get(edges, i + 1) - F.get(edges, i)).alias("s"),
+                ascii.substr(F.get(edges, i) + 1, F.get(edges, i + 1) - F.get(edges, i)).cast("string").alias("s"),
                 (i % 2 == 1).alias("hit"),
             ),
         )
@@ -466,7 +488,8 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
         )
     )
     none = F.array().cast("array<struct<s:string,hit:boolean>>")
-    rows = rows.withColumn("_parts", F.when(text.rlike(ANY), parts).otherwise(none))
+    found = F.when(text.contains("@"), text.rlike(ANY)).otherwise(text.rlike(NUMBER))
+    rows = rows.withColumn("_parts", F.when(found, parts).otherwise(none))
     rows = rows.withColumn(
         "_new", F.transform("_parts", lambda p: F.when(p["hit"], pseudonym(p["s"], key)).otherwise(p["s"]))
     )

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import random
 import re
 
 import pytest
@@ -294,6 +295,49 @@ def test_long_text_and_empty_table(make_docs, no_docs):
     assert pii.pseudonymise(no_docs).collect() == []
 
 
+def cards_of(run):
+    """The card numbers of a run: the usual groups first, then others, from the left, the longest first."""
+    ends = [-1, *(m.start() for m in re.finditer("[ -]", run)), len(run)]
+    cuts = [(a + 1, b) for i, a in enumerate(ends) for b in ends[i + 1 : i + 20]]
+    digits = lambda s: re.sub(r"\D", "", run[s[0] : s[1]])
+    valid = [s for s in cuts if 13 <= len(digits(s)) <= 19 and luhn(digits(s))]
+    valid.sort(key=lambda s: (s[0], -len(digits(s))))
+    chosen = []
+    for usual in (True, False):
+        first, at = list(chosen), 0
+        for a, b in valid:
+            free = a >= at and all(y <= a or b <= x for x, y in first)
+            if free and (not usual or re.match(pii.USUAL, run[a:b])):
+                chosen.append((a, b))
+                at = b
+    return [run[a:b] for a, b in sorted(chosen)]
+
+
+def test_values_of_any_length(make_docs):
+    """Runs of thousands of digits, long mail names and hosts: Java matches groups by recursion."""
+    rng = random.Random(6)
+    group = lambda: "".join(rng.choices("0123456789", k=rng.choice((4, 4, 4, 5, 6, 16))))
+    run = "".join(group() + rng.choice("  -") for _ in range(2500))[:-1]
+    name, host = "Ab.c-" * 2000, "b.c1-d." * 3000 + "com"
+    letters = re.sub("[^a-z]", "", name.lower())
+    digest = hashlib.sha256(f"example-key|{letters}".encode()).hexdigest() * (len(letters) // 64 + 1)
+    new = iter(digest)
+    hidden = "".join(next(new) if c.isalpha() else c for c in name)
+    rows = [
+        (1, run), (2, f"at {run}, {run}x"), (3, "7" * 9000), (4, "1234 " * 3000 + "x"),
+        (5, "12 " * 3000 + "34@example.com"), (6, f"{name}@example.com"), (7, f"user7@{host}1 "),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(make_docs(rows)).collect()}
+    found = {i: [v.value for v in r["values"]] for i, r in got.items()}
+    shorter = run[: run.rindex(" ")]
+    assert len(found[1]) > 100 and found[1] == cards_of(run)
+    assert found[2] == cards_of(run) + cards_of(shorter)
+    assert found[3] == found[4] == []
+    assert found[5] == ["34@example.com"] and found[7] == [f"user7@{host}"]
+    assert got[6].text == f"{hidden}@example.com"
+    assert all(len(got[i].text) == len(t) for i, t in rows)
+
+
 @pytest.mark.parametrize("name", ["op1_secret_scan", "op5_simhash", "op6_pseudonyms"])
 def test_no_python_in_the_plan(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
